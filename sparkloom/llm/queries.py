@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, decontaminate, secrets, sharding, token_files
+from sparkloom.llm import byte_bpe, decontaminate, language_id, quality, secrets, sharding, token_files, topk_join
 from sparkloom.llm.common import read
 
 
@@ -19,6 +19,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = language_id.held_out("doc_id", 5, 0)
+    model = quality.fit(docs, labels, ~held_out)
+    return quality.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_join.topk(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +41,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out()
+    model = language_id.fit(docs, ~held_out)
+    asked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language_id.predict(asked, model, keep=["doc_id", "held_out"])
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +56,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_decontamination, op5_byte_bpe, op7_sharding, op9_token_files)
+    f.__name__: f for f in (
+        op1_secret_scans, op2_decontamination, op3_quality, op4_topk, op5_byte_bpe, op7_sharding, op8_language_id, op9_token_files,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
-ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, decontaminate, language_id, quality, secrets, sharding, token_files, topk_join
+from sparkloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality, secrets, sharding, suffix_dedup, token_files, topk_join
 from sparkloom.llm.common import read
 
 
@@ -37,6 +37,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, with_ids=False, keep=["doc_id"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,9 +59,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scans, op2_decontamination, op3_quality, op4_topk, op5_byte_bpe, op7_sharding, op8_language_id, op9_token_files,
+        op1_secret_scans, op2_decontamination, op3_quality, op4_topk, op5_byte_bpe, op6_suffix_dedup, op7_sharding, op8_language_id, op9_token_files,
+        op10_jaccard_join,
     )
 }
 ORACLES: dict[str, str] = {

@@ -19,9 +19,12 @@ end id alone. Columns other than doc_id and text are not stored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import shared_dir, small_batches
 
-BLOCK = 512
+BLOCK = 4096
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 18
 #: Bytes of text in a range of doc_id, on average.
 RANGE_BYTES = 24 << 20
-#: Encoded words that a task keeps at most.
+#: Encoded pieces that a worker keeps at most, in each of two generations.
 KEPT_WORDS = 300_000
 END_ID = 2
 
@@ -83,25 +86,73 @@ def unpack(image: bytes) -> np.ndarray:
     return ids
 
 
-def word_encoder(tokenizer_json: str):
-    """From texts to ids. The tokenizer drops white space, so words between it can be encoded once each."""
-    from tokenizers import Tokenizer
+class Recent(dict):
+    """Values by key, made when first asked for. When it is full, what was not asked for since the last time goes."""
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    known: dict[bytes, np.ndarray] = {}
+    def __init__(self, size: int, make: Callable):
+        self.size, self.make, self.old = size, make, {}
 
-    def encode(texts: list[bytes | None]) -> list[np.ndarray]:
-        cut = [x.split() if x else [] for x in texts]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list({w for words in cut for w in words if w not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, got in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in cut]
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
-    return encode
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, then the next free."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordEncoder:
+    """From texts to ids by the tokenizers library. The tokenizer drops white space, so what stands between it can be
+    encoded once each. Texts of ASCII and Latin letters alone are cut into the tokenizer's pieces (contractions, runs of
+    letters, digits, runs of other marks) and its model is asked for each new piece; words of other texts go through the
+    whole tokenizer. One encoder serves all tasks of a worker."""
+
+    _of: ClassVar[dict] = {}
+    #: Texts in which composed and small forms go letter by letter, and their pieces.
+    _LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+    _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0c0-9a-zß-öø-ÿ]+")
+    _LETTERS = byte_letters()
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.words, self.pieces = Recent(KEPT_WORDS, self._whole), Recent(KEPT_WORDS, self._piece)
+        probe = "The quick-brown fox's jumped, über 12 lazily... dogs' Élevées (niños)!\x01 _x_"
+        self.plain = self._pieces(probe) == b"".join(map(self._whole, probe.encode().split()))
+
+    @classmethod
+    def shared(cls, tokenizer_json: str) -> WordEncoder:
+        if tokenizer_json not in cls._of:
+            cls._of = {tokenizer_json: cls(tokenizer_json)}
+        return cls._of[tokenizer_json]
+
+    def _whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self._LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self._PIECE.findall(text.lower())))
+
+    def encode(self, text: bytes | None) -> np.ndarray:
+        whole = (text or b"").decode()
+        # special tokens, which the tokenizer finds first, begin with these marks
+        if self.plain and "<|" not in whole and self._LATIN.fullmatch(whole):
+            return np.frombuffer(self._pieces(whole), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, whole.encode().split())), "<u4")
 
 
 def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
@@ -112,7 +163,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str =
     cuts = []
     if ranges > 1:  # borders of ranges: a bounded number
         cuts = sorted({int(x) for x in docs.agg(F.percentile_approx(doc_id, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []})
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     below = F.lit(0)
     if cuts:
         below = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id")))
@@ -122,7 +173,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str =
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        encode = word_encoder(shared.value)
+        encode = WordEncoder.shared(shared.value).encode
         held, part, n, segment = [], None, 0, 0
 
         def flush():
@@ -135,8 +186,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str =
 
         for batch in batches:
             columns = batch.to_pydict()
-            texts = [x.encode() if x is not None else None for x in columns["text"]]
-            for d, p, ids in zip(columns["doc_id"], columns["part"], encode(texts), strict=True):
+            for d, p, ids in zip(columns["doc_id"], columns["part"], map(encode, columns["text"]), strict=True):
                 if held and (p != part or n + len(ids) + 1 > SEGMENT_IDS):
                     yield flush()
                     segment = segment + 1 if p == part else 0

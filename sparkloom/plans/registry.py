@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from sparkloom.plans import sequence, tabular, text
+from sparkloom.plans.base import ORACLES, QUERIES, Query
+
+MODULES = (tabular, text, sequence)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Character vocabulary by first occurrence, ids of fixed length and labels of all documents."""
+    return text.content_to_id_char(spark, sf_dir)

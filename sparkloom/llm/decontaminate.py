@@ -15,6 +15,7 @@ an id count once. A document column with the name of a result column is replaced
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -148,14 +149,17 @@ class WordAutomaton:
         return spans, names
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of about block_words words; each block is read on its own."""
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+    """How many blocks of about block_words words the items make, and the blocks; each is read on its own."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * block_words)))  # a word has 4 bytes or more, with its space, on the whole
-    for k in range(n):
+
+    def block(k: int) -> list[tuple[str, list[bytes]]]:
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield [(r.name, words_of(r.text.encode() if r.text else None)) for r in part.toLocalIterator()]
+        return [(r.name, words_of(r.text.encode() if r.text else None)) for r in part.toLocalIterator()]
+
+    return n, map(block, range(n))
 
 
 def decontaminate(
@@ -183,7 +187,7 @@ def decontaminate(
     ]
     sc = docs.sparkSession.sparkContext
     found = docs
-    parts = list(blocks_of(benchmark, item_id, item_text, block_words))
+    n_blocks, parts = blocks_of(benchmark, item_id, item_text, block_words)
     for k, block in enumerate(parts):
         shared = sc.broadcast(WordAutomaton(block, window))
 
@@ -202,7 +206,7 @@ def decontaminate(
 
             return work
 
-        last = k == len(parts) - 1
+        last = k == n_blocks - 1
         held = [F.col("word_spans").alias("_spans"), F.col("items").alias("_items")] if k else []
         if held:
             found = written(found.select(*[c for c in found.columns if c not in ("n_words", "word_spans", "items")], *held))

@@ -31,7 +31,7 @@ def tree_of(shards: int, rack: int = RACK, region: int = REGION) -> list[list[li
 
 
 def draws_of(key: Column, tree: list[list[list[int]]], weights: dict[int, float] | None = None) -> Column:
-    """Every leaf's draw, an array by shard."""""
+    """Every leaf's draw, an array by shard."""
     leaves = F.array(*[
         F.struct(F.lit(i).alias("region"), F.lit(j).alias("rack"), F.lit(s).alias("shard"), F.lit((weights or {}).get(s, 1.0)).alias("weight"))
         for i, region in enumerate(tree) for j, rack in enumerate(region) for s in rack
@@ -41,7 +41,7 @@ def draws_of(key: Column, tree: list[list[list[int]]], weights: dict[int, float]
 
 
 def descend(draws: Column, tree: list[list[list[int]]]) -> Column:
-    """The shard with which the descent through the tree ends; draws: an array by shard."""""
+    """The shard with which the descent through the tree ends; draws: an array by shard."""
     nodes = F.array(*[F.array(*[F.array(*[F.lit(s) for s in rack]) for rack in region]) for region in tree])
     least = lambda shards: F.array_min(F.transform(shards, lambda s: F.get(draws, s)))
     down = lambda options, draw: F.array_min(F.transform(options, lambda o: F.struct(draw(o).alias("draw"), o.alias("node"))))["node"]

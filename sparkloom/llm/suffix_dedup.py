@@ -102,6 +102,12 @@ def _ordered(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], p
         yield part.column("doc_id").to_numpy(zero_copy_only=False), [t or b"" for t in texts[lo:hi]], part
 
 
+def _places(r: Runs, lists: list[np.ndarray]) -> np.ndarray:
+    """Places of each document's strings in the joined texts. Those of a longer text with the same doc_id aren't its own."""
+    sizes = np.diff(r.starts)
+    return np.concatenate([m[m + r.size <= n] + at for m, n, at in zip(lists, sizes, r.starts[:-1], strict=True)]).astype(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -140,7 +146,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                 if not any((m & 1).any() for m in wanted):
                     continue
                 r = Runs(texts, size)
-                starts = np.concatenate([(m[(m & 1) == 1] >> 1) + r.starts[i] for i, m in enumerate(wanted)])
+                starts = _places(r, [m[(m & 1) == 1] >> 1 for m in wanted])
                 run = np.flatnonzero(np.isin(r.low, starts))
                 count = r.high[run] - r.low[run] + 1
                 at = np.repeat(r.low[run] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -165,9 +171,9 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                 r = Runs(texts, size)
                 over = np.zeros(len(r.text) + 1, np.int32)
                 lists = part.column("marks").to_pylist(), part.column("again").to_pylist()
-                kept = np.concatenate([np.array(m or [], np.int64) // 2 + r.starts[i] for i, m in enumerate(lists[0])])
+                kept = _places(r, [np.array(m or [], np.int64) >> 1 for m in lists[0]])
                 gone = ~np.isin(r.low, kept)
-                single = np.concatenate([np.array(m or [], np.int64) + r.starts[i] for i, m in enumerate(lists[1])]).astype(np.int64)
+                single = _places(r, [np.array(m or [], np.int64) for m in lists[1]])
                 np.add.at(over, np.concatenate([r.low[gone], single]), 1)
                 np.add.at(over, np.concatenate([r.high[gone], single]) + size, -1)
                 removed = np.cumsum(over[:-1]) > 0
@@ -186,5 +192,3 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_kept + ", kept_sha256 string"
     result = small_batches(last).mapInArrow(cut, schema)
     return result.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
-
-

@@ -43,10 +43,10 @@ def vocab_extend(spark, sf):
     return V.extended(old, table(spark, sf, "events").groupBy(F.col("event_type").alias("token")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query(_FIRST + ", m AS (SELECT map_from_entries(list((token, id))) AS m FROM v), d AS (SELECT doc_id, list_filter(string_split(trim(coalesce(text, '')), ''), lambda c: c <> '')[1:64] AS t FROM documents) SELECT d.doc_id, array_to_string(list_concat(list_transform(t, lambda c: m[c]), list_transform(range(64 - len(t)), lambda i: 0)), ',') AS ids, len(t) AS real_len, quality FROM d, m LEFT JOIN labels USING (doc_id)")
+@query(_FIRST + ", m AS (SELECT map_from_entries(list((token, id))) AS m FROM v), d AS (SELECT doc_id, list_filter(string_split(trim(coalesce(text, '')), ''), lambda c: c <> '')[1:64] AS t FROM documents) SELECT d.doc_id, array_to_string(list_concat(list_transform(t, lambda c: m[c]), list_transform(range(64 - len(t)), lambda i: 0)), ',') AS ids, len(t) AS real_len, coalesce(quality, -1) AS quality FROM d CROSS JOIN m LEFT JOIN labels USING (doc_id)")
 def content_to_id_char(spark, sf):
     ids = V.encode(_docs(spark, sf), "doc_id", V.chars(F.col("text")), _first(spark, sf), 64)
-    return ids.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "real_len", "quality")
+    return ids.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "real_len", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
 @query(f"WITH w AS ({_WORDS}), c AS (SELECT token, count(*) AS n FROM w GROUP BY token HAVING count(*) >= 50), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM c), m AS (SELECT map_from_entries(list((token, id))) AS m, max(id) + 1 AS unk FROM v), d AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda c: c <> '')[1:32] AS t FROM documents) SELECT doc_id, array_to_string(list_concat(list_transform(t, lambda c: coalesce(m[c], unk)), list_transform(range(32 - len(t)), lambda i: 0)), ',') AS ids, len(t) AS real_len FROM d, m")

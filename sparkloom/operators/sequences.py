@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bio_tags(length: Column, spans: Column) -> Column:
-    """Tags of a text of this length from spans (tag, start, end), ends included; null if spans overlap."""
-    at = lambda i: F.element_at(F.filter(spans, lambda s: (s["start"] <= i) & (i <= s["end"])), 1)
-    tags = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i <= s["end"])), F.concat(F.when(at(i)["start"] == i, "B-").otherwise("I-"), at(i)["tag"])).otherwise("O"))
-    clash = F.exists(spans, lambda s: F.size(F.filter(spans, lambda t: (t["start"] <= s["end"]) & (s["start"] <= t["end"]))) > 1)
-    return F.when(length <= 0, F.array().cast("array<string>")).when(~clash, tags)
+def bio_tags(df: DataFrame, key: str, length: str, spans: str) -> DataFrame:
+    """key and tags, from a text's length and spans (tag, start, end), ends included.
+
+    Null if spans overlap or leave the text. Runs of tags are laid between the ends of spans in the order of their
+    starts, so the work grows with the text, not with texts times spans.
+    """
+    none = F.array().cast("array<struct<tag:string,start:int,end:int>>")
+    ordered = F.array_sort(F.transform(F.coalesce(spans, none), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["tag"].alias("tag"))))
+    before = lambda i: F.coalesce(F.get("_s", i - 1)["end"], F.lit(-1))
+    runs = F.transform("_s", lambda s, i: F.concat(F.array_repeat(F.lit("O"), s["start"] - before(i) - 1), F.array(F.concat(F.lit("B-"), s["tag"])), F.array_repeat(F.concat(F.lit("I-"), s["tag"]), s["end"] - s["start"])))
+    last = F.coalesce(F.get("_s", F.size("_s") - 1)["end"], F.lit(-1))
+    clash = F.exists(F.transform("_s", lambda s, i: (s["start"] <= before(i)) | (s["end"] < s["start"])), lambda x: x) | (last >= F.col("_n"))
+    tags = F.concat(F.flatten(runs), F.array_repeat(F.lit("O"), F.col("_n") - 1 - last))
+    return df.select(key, F.col(length).alias("_n"), ordered.alias("_s")).select(key, F.when(~clash, tags).alias("tags"))
 
 
 def bio_entities(df: DataFrame, key: str, tags: str) -> DataFrame:

@@ -24,9 +24,11 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
 def first_seen(df: DataFrame, order: str, tokens: Column) -> DataFrame:
     """token, id and n: ids from 1 by first occurrence in (order, position). PAD is 0 and UNK comes last.
 
-    The tokens are aggregated first; the numbering sees a row for each distinct token.
+    Tokens are aggregated within documents, over longs alone, before they are shuffled; the numbering sees a row for
+    each distinct token.
     """
-    seen = df.select(F.col(order).alias("o"), F.posexplode(tokens).alias("p", "token")).groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"), F.count(F.lit(1)).alias("n"))
+    each = df.select(F.col(order).alias("o"), F.posexplode(tokens).alias("p", "token")).groupBy("o", "token").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    seen = each.groupBy("token").agg(F.min(F.struct("o", "p")).alias("at"), F.sum("n").alias("n"))
     return with_specials(seen.withColumn("id", F.row_number().over(Window.orderBy("at")).cast("long")).select("token", "id", "n"))
 
 
@@ -53,8 +55,8 @@ def extended(old: DataFrame, counts: DataFrame) -> DataFrame:
     return old.select("token", "id").unionByName(numbered.select("token", (F.col("m") + F.col("r")).cast("long").alias("id")))
 
 
-#: Entries up to which a vocabulary is sent to every task as one map; larger ones are joined.
-MAP_ENTRIES = 200_000
+#: Entries up to which a vocabulary is sent to every task as one map, which is searched from its start; larger ones are joined.
+MAP_ENTRIES = 2000
 
 
 def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, length: int, carry: list[str] | None = None) -> DataFrame:
@@ -65,8 +67,9 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, length: in
     cut = F.slice(tokens, 1, length)
     base = df.select(key, *(carry or []), cut.alias("_t"), F.least(F.size(cut), F.lit(length)).cast("long").alias("real_len"))
     padded = lambda ids: F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("long"), length)), 1, length)
-    if vocab.limit(MAP_ENTRIES + 1).count() <= MAP_ENTRIES:
-        table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_v"))
+    few = vocab.select("token", "id").limit(MAP_ENTRIES + 1).collect()
+    if len(few) <= MAP_ENTRIES:
+        table = df.sparkSession.createDataFrame(few, "token string, id long").coalesce(1).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_v"))
         found = lambda t: F.coalesce(F.try_element_at("_v", t), F.element_at("_v", F.lit(UNK)))
         return base.crossJoin(F.broadcast(table)).select(key, *(carry or []), padded(F.transform("_t", found)).alias("ids"), "real_len")
     unk = vocab.where(F.col("token") == UNK).first()["id"]

@@ -9,13 +9,13 @@ from sparkloom.plans.base import query, table
 
 
 def _tags(spark, sf):
-    """A tag for each of a document's first words: capitals begin an entity, endings in `n` go on with one."""
-    words = F.slice(F.split("text", " "), 1, 40)
+    """A tag for each word of a document: capitals begin an entity, endings in `n` go on with one."""
+    words = F.split("text", " ")
     tag = lambda w: F.when(w.rlike("^[A-Z]"), "B-CAP").when(w.endswith("n"), F.when(F.length(w) > 5, "I-CAP").otherwise("I-LOW")).otherwise("O")
     return table(spark, sf, "documents").select("doc_id", F.transform(words, tag).alias("tags"))
 
 
-_TAGS = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:40]) AS w, generate_subscripts(string_split(text, ' ')[1:40], 1) - 1 AS pos FROM documents),
+_TAGS = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
 t AS (SELECT doc_id, pos, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'B-CAP' WHEN suffix(w, 'n') THEN CASE WHEN length(w) > 5 THEN 'I-CAP' ELSE 'I-LOW' END ELSE 'O' END AS t FROM w),
 i AS (SELECT *, t[1] AS h, t[3:] AS k, sum((t[1] = 'B')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS isl FROM t),
 b AS (SELECT *, first_value(k) OVER x AS own FROM i WHERE isl > 0 WINDOW x AS (PARTITION BY doc_id, isl ORDER BY pos)),
@@ -36,13 +36,13 @@ def entity_prf(spark, sf):
     return out.select("n_true", "n_predicted", "n_correct", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@query(_TAGS + ", x AS (SELECT doc_id, len(string_split(text, ' ')[1:40]) AS n FROM documents) SELECT x.doc_id, string_agg(CASE WHEN e.tag IS NULL THEN 'O' WHEN e.\"start\" = j THEN 'B-' || e.tag ELSE 'I-' || e.tag END, ' ' ORDER BY j) AS tags FROM x JOIN range(0, 40) r(j) ON j < n LEFT JOIN e ON e.doc_id = x.doc_id AND j BETWEEN e.\"start\" AND e.\"end\" GROUP BY x.doc_id")
+@query(_TAGS + """, x AS (SELECT doc_id, unnest(range(len(string_split(text, ' ')))) AS j FROM documents), y AS (SELECT doc_id, tag, "start", unnest(range("start", "end" + 1)) AS j FROM e)
+SELECT doc_id, md5(string_agg(CASE WHEN tag IS NULL THEN 'O' WHEN "start" = j THEN 'B-' || tag ELSE 'I-' || tag END, ' ' ORDER BY j)) AS tags FROM x LEFT JOIN y USING (doc_id, j) GROUP BY doc_id""")
 def bio_encode(spark, sf):
     tags = _tags(spark, sf)
     spans = Q.bio_entities(tags, "doc_id", "tags").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
     rows = tags.select("doc_id", F.size("tags").alias("n")).join(spans, "doc_id", "left")
-    none = F.array().cast("array<struct<tag:string,start:int,end:int>>")
-    return rows.select("doc_id", F.array_join(Q.bio_tags(F.col("n"), F.coalesce("spans", none)), " ").alias("tags"))
+    return Q.bio_tags(rows, "doc_id", "n", "spans").select("doc_id", F.md5(F.array_join("tags", " ")).alias("tags"))
 
 
 @query("WITH t AS (SELECT conv_id, list(len(text) ORDER BY turn) AS x FROM conversations GROUP BY conv_id) SELECT conv_id, unnest(x[1:len(x) - 1]) AS input, unnest(x[2:]) AS target FROM t")

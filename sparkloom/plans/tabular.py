@@ -285,13 +285,11 @@ def masked_cross_entropy(spark, sf):
 
 
 def _trials(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 40")
+    e = table(spark, sf, "events")
     return e.groupBy((F.col("user_id") + 1).alias("trial")).agg(F.round(F.avg("value"), 1).alias("effect"), F.count(F.lit(1)).alias("seconds"))
 
 
-
-
-@query("WITH t AS (SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect, count(*) AS seconds FROM events WHERE user_id < 40 GROUP BY 1) SELECT trial, effect, seconds FROM t ORDER BY effect DESC, seconds, trial LIMIT 1")
+@query("WITH t AS (SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect, count(*) AS seconds FROM events GROUP BY 1) SELECT trial, effect, seconds FROM t ORDER BY effect DESC, seconds, trial LIMIT 1")
 def best_trial_strict(spark, sf):
     return C.best_trial(_trials(spark, sf))
 
@@ -301,7 +299,7 @@ def best_trial_with_err(spark, sf):
     return C.best_trial(_trials(spark, sf), 5.0)
 
 
-@query("WITH t AS (SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect FROM events WHERE user_id < 40 GROUP BY 1), s AS (SELECT trial, 1 / (1 + exp(-effect / 100)) AS s FROM t) SELECT trial, round(s / sum(s) OVER (), 6) AS weight FROM s")
+@query("WITH t AS (SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect FROM events GROUP BY 1), s AS (SELECT trial, 1 / (1 + exp(-effect / 100)) AS s FROM t) SELECT trial, round(s / sum(s) OVER (), 6) AS weight FROM s")
 def importance_probability(spark, sf):
     return C.sigmoid_weights(_trials(spark, sf).select("trial", (F.col("effect") / 100).alias("e")), "e").select("trial", r6("weight").alias("weight"))
 
@@ -311,7 +309,7 @@ def early_stop_point(spark, sf):
     return C.early_stop(_trials(spark, sf).select(F.col("trial").alias("step"), F.col("effect").alias("metric")), 3)
 
 
-_PHI = "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'feature': 'l_quantity', 'phi': 1500 * (l_quantity - q)}, {'feature': 'l_discount', 'phi': 90000 * (l_discount - d)}, {'feature': 'l_tax', 'phi': -90000 * (l_tax - t)}], recursive := true) FROM lineitem, m WHERE l_orderkey < 200), "
+_PHI = "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'feature': 'l_quantity', 'phi': 1500 * (l_quantity - q)}, {'feature': 'l_discount', 'phi': 90000 * (l_discount - d)}, {'feature': 'l_tax', 'phi': -90000 * (l_tax - t)}], recursive := true) FROM lineitem, m), "
 
 
 def _phi(spark, sf):
@@ -320,7 +318,7 @@ def _phi(spark, sf):
     parts = [("l_quantity", 1500.0, "q"), ("l_discount", 90000.0, "d"), ("l_tax", -90000.0, "t")]
     phi = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (w * (F.col(f) - F.col(c))).alias("phi"), F.col(f).alias("value")) for f, w, c in parts]))
     key = F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row")
-    return li.where("l_orderkey < 200").crossJoin(F.broadcast(m)).select(key, phi.alias("x")).select("row", "x.*")
+    return li.crossJoin(F.broadcast(m)).select(key, phi.alias("x")).select("row", "x.*")
 
 
 def _top_sql(order):

@@ -47,6 +47,20 @@ def capped(counts: DataFrame, min_freq: int = 1, max_size: int | None = None) ->
     return kept.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")).cast("long")).select("token", "id", "n")
 
 
+def legacy(counts: DataFrame, min_freq: int = 1) -> DataFrame:
+    """token and id, from 0 by count; UNK follows and PAD is last."""
+    kept = capped(counts, min_freq).select("token", (F.col("id") - 1).alias("id"))
+    n = kept.agg(F.count(F.lit(1)).alias("m"))
+    ends = n.select(F.explode(F.array(F.struct(F.lit(UNK).alias("token"), F.col("m").alias("id")), F.struct(F.lit(PAD).alias("token"), (F.col("m") + 1).alias("id")))).alias("x")).select("x.*")
+    return kept.unionByName(ends)
+
+
+def pad_mask(length: Column, size: int) -> Column:
+    """Ones for the real part, zeros for the padding."""
+    real = F.least(length, F.lit(size))
+    return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(size) - real))
+
+
 def extended(old: DataFrame, counts: DataFrame) -> DataFrame:
     """Ids of `old` stay; new tokens follow by count."""
     new = counts.join(old.select("token"), "token", "left_anti")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import learning, sequence, tabular, text
+from sparkloom.plans import learning, sampling, sequence, tabular, text
 from sparkloom.plans.base import ORACLES, QUERIES, Query
 
-MODULES = (tabular, text, sequence, learning)
+MODULES = (tabular, text, sequence, sampling, learning)
 
 
 def queries() -> dict[str, Query]:

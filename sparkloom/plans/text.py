@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
+from sparkloom.operators import selection as C
 from sparkloom.operators import vocabulary as V
+from sparkloom.operators.pieces import word_pieces
 from sparkloom.plans.base import query, table
 
 _CHARS = "SELECT doc_id, unnest(list_filter(string_split(trim(coalesce(text, '')), ''), lambda c: c <> '')) AS token, generate_subscripts(list_filter(string_split(trim(coalesce(text, '')), ''), lambda c: c <> ''), 1) AS pos FROM documents"
@@ -80,3 +83,75 @@ def json_concat(spark, sf):
 def bad_lines(spark, sf):
     lines = F.split("text", "\n")
     return _docs(spark, sf).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda s: F.size(F.split(s, ",")) != 2)).cast("long").alias("n_bad"))
+
+
+@query(f"WITH c AS (SELECT token, count(*) AS n FROM ({_WORDS}) GROUP BY token HAVING count(*) >= 50), i AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM c) SELECT token, id FROM i UNION ALL SELECT '[UNK]', count(*) FROM i UNION ALL SELECT '[PAD]', count(*) + 1 FROM i")
+def vocab_legacy_layout(spark, sf):
+    return V.legacy(V.token_counts(_docs(spark, sf), V.words(F.col("text"))), 50)
+
+
+@query(r"SELECT doc_id, least(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda c: c <> '')), 256) AS real_len, repeat('1', least(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda c: c <> '')), 256)::INT) || repeat('0', 256 - least(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda c: c <> '')), 256)::INT) AS mask FROM documents")
+def pad_mask(spark, sf):
+    n = F.least(F.size(V.words(F.col("text"))), F.lit(256))
+    return _docs(spark, sf).select("doc_id", n.cast("long").alias("real_len"), F.array_join(V.pad_mask(n, 256).cast("array<string>"), "").alias("mask"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}])', ' \1 ', 'g')) AS spaced FROM documents")
+def cjk_spacing(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.space_ideographs(F.col("text"))).alias("spaced"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\t\n\r\p{Zs}]', ' ', 'g'), '[\x{0}\x{FFFD}\p{C}]', '', 'g')) AS cleaned FROM documents")
+def text_clean(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned"))
+
+
+@query("SELECT doc_id, md5(strip_accents(lower(text))) AS plain FROM documents")
+def lower_strip_accents(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.strip_accents(F.lower("text"))).alias("plain"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\t\n\r\p{Zs}]', ' ', 'g'), '[\x{0}\x{FFFD}\p{C}]', '', 'g') AS t FROM documents),
+b AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(t)), '([!-/:-@\[-`{-~\p{P}])', ' \1 ', 'g'), '\s+'), lambda w: w <> '') AS w FROM a) SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS tokens FROM b""")
+def basic_tokens(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.basic_tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("tokens"))
+
+
+@query()
+def wordpiece(spark, sf):
+    """Pieces are the letters, with and without the mark, and the frequent words of the corpus, at most 5000."""
+    frequent = V.capped(V.token_counts(_docs(spark, sf), T.basic_tokens(F.col("text"))), 20, 5000)
+    letters = [m + chr(c) for c in range(ord("a"), ord("z") + 1) for m in ("", "##")]
+    vocab = letters + [r["token"] for r in frequent.collect()]
+    out = word_pieces(_docs(spark, sf), "doc_id", T.basic_tokens(F.col("text")), vocab)
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n"), F.md5(F.array_join("pieces", " ")).alias("pieces"))
+
+
+@query()
+def gpt2_pretokens(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.explode(T.pre_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(translate(text, '—–―…´', '---.'''), '(-+|~+|!+|"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)', ' \1 ', 'g') AS t FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '\s*\n\s*', e' \n ', 'g'), '[ \t\r\f\v]+', ' ', 'g'))) AS t FROM a""")
+def text_standardize(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.standardise(F.col("text"))).alias("t"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_append(string_split(text, ' '), '<eos>'), '|') AS one, array_to_string(list_append(list_prepend('<S>', string_split(text, ' ')), '<S>'), '|') AS two FROM conversations")
+def eos_tokens(spark, sf):
+    w = F.split("text", " ")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.with_ends(w), "|").alias("one"), F.array_join(T.with_ends(w, "<S>", "<S>"), "|").alias("two"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%H:%M:%S') AS clock FROM events")
+def clock_text(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.clock(F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("clock"))
+
+
+@query(f"WITH c AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda c: c <> ''))) AS token FROM documents), p AS (SELECT doc_id, token, len(token) * (CASE WHEN token < 'm' THEN -1 ELSE 1 END) AS phi FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY phi DESC, token) AS rank FROM p) SELECT doc_id, token, rank::INT AS rank, phi::BIGINT AS phi FROM r WHERE rank <= 3")
+def token_top_n(spark, sf):
+    w = F.explode(F.array_distinct(V.words(F.col("text"))))
+    phi = F.length("feature") * F.when(F.col("feature") < "m", -1).otherwise(1)
+    rows = _docs(spark, sf).select("doc_id", w.alias("feature")).withColumn("phi", phi)
+    return C.top_contributions(rows, "doc_id", 3, "max").select("doc_id", F.col("feature").alias("token"), "rank", F.col("phi").cast("long").alias("phi"))

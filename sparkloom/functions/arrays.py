@@ -89,3 +89,25 @@ def histogram_bin(x: Column, low: float, high: float, n: int) -> Column:
 def text(a: Column, digits: int = 6) -> Column:
     """The elements rounded and joined, so that engines agree."""
     return F.array_join(F.transform(a, lambda x: F.format_number(x, digits)), ";")
+
+
+def percentile(a: Column, q: float) -> Column:
+    """With linear interpolation between neighbours; null for an empty array."""
+    at = (F.size(a) - 1) * F.lit(float(q))
+    low = F.floor(at).cast("int")
+    s = F.array_sort(a)
+    return F.get(s, low) + (at - low) * (F.coalesce(F.get(s, low + 1), F.get(s, low)) - F.get(s, low))
+
+
+def covariance(a: Column, b: Column) -> Column:
+    """Of a sample."""
+    return F.try_divide(dot(a, b) - F.try_divide(total(a) * total(b), F.size(a)), F.size(a) - 1)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    return F.try_divide(dot(a, b) / F.size(a) - mean(a) * mean(b), F.sqrt(variance(a) * variance(b)))
+
+
+def bincount(a: Column, n: int) -> Column:
+    """How often each of 0 to n - 1 occurs."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.size(F.filter(a, lambda x: x == k)))

@@ -52,6 +52,32 @@ def top_contributions(phi: DataFrame, row: str, k: int, strategy: str = "max", s
     return phi.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def grouped(phi: DataFrame, row: str, groups: dict[str, list[str]]) -> DataFrame:
+    """Adds group and group_phi, the sum of the row's contributions of the feature's group.
+
+    A feature in two groups is an error; one in none is a group of its own.
+    """
+    named = [(f, g) for g, fs in groups.items() for f in fs]
+    if len({f for f, _ in named}) < len(named):
+        raise ValueError("a feature is in more than one group")
+    group = F.coalesce(*[F.when(F.col("feature") == f, g) for f, g in named], F.col("feature"))
+    return phi.withColumn("group", group).withColumn("group_phi", F.sum("phi").over(Window.partitionBy(row, "group")))
+
+
+def top_by_group(phi: DataFrame, row: str, k: int, groups: dict[str, list[str]]) -> DataFrame:
+    """k features of each row: one of each of the k best groups, or k dealt to fewer groups, the best taking the rest.
+
+    Groups are ordered by their summed contribution, features inside by theirs; ties by name. A group with fewer
+    features than its share leaves the rest open.
+    """
+    g = grouped(phi, row, groups)
+    place = F.dense_rank().over(Window.partitionBy(row).orderBy(F.desc("group_phi"), "group"))
+    ranked = g.withColumn("group_rank", place).withColumn("in_group", F.row_number().over(Window.partitionBy(row, "group").orderBy(F.desc("phi"), "feature")))
+    n = F.max("group_rank").over(Window.partitionBy(row))
+    quota = F.when(n >= k, F.when(F.col("group_rank") <= k, 1).otherwise(0)).otherwise(F.floor(F.lit(k) / n) + F.when(F.col("group_rank") <= F.lit(k) % n, 1).otherwise(0))
+    return ranked.withColumn("_quota", quota).where(F.col("in_group") <= F.col("_quota")).drop("_quota")
+
+
 def reason(top: DataFrame, row: str, value: str) -> DataFrame:
     """One phrase for each row: `feature value is v`, in the order of rank."""
     phrase = F.concat(F.col("feature"), F.lit(" value is "), F.col(value).cast("string"))

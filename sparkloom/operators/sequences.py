@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranking import running_totals
+
 
 def bio_tags(df: DataFrame, key: str, length: str, spans: str) -> DataFrame:
     """key and tags, from a text's length and spans (tag, start, end), ends included.
@@ -58,3 +60,24 @@ def next_targets(ids: Column) -> Column:
 def chunks(ids: Column, size: int) -> Column:
     """Runs of `size` ids; the last may be shorter."""
     return F.when(F.size(ids) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / size).cast("int")), lambda k: F.slice(ids, k * size + 1, size)))
+
+
+def streams(ids: Column, count: int) -> Column:
+    """`count` parallel streams of equal length, one after another; what is left over at the end is dropped."""
+    n = F.floor(F.size(ids) / count).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.slice(ids, k * n + 1, n))
+
+
+def length_batches(df: DataFrame, key: str, length: str, size: int) -> DataFrame:
+    """key, length, batch_id and longest: batches of rows in the order of falling length, ties by key.
+
+    Rows are numbered within a length; where lengths start comes from counts. A length that very many rows share is
+    numbered in one task.
+    """
+    by = df.groupBy(length).agg(F.count(F.lit(1)).alias("_same")).withColumn("_down", -F.col(length))
+    start = running_totals(by, "_down", {"_start": "_same"}).select(length, "_start")
+    within = F.row_number().over(Window.partitionBy(length).orderBy(key))
+    rows = df.select(key, length).withColumn("_row", within - 1).join(start, length)
+    out = rows.withColumn("batch_id", F.floor((F.col("_start") + F.col("_row")) / size).cast("long"))
+    longest = out.groupBy("batch_id").agg(F.max(length).alias("longest"))
+    return out.join(longest, "batch_id").select(key, length, "batch_id", "longest")

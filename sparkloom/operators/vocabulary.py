@@ -87,6 +87,6 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, length: in
         found = lambda t: F.coalesce(F.try_element_at("_v", t), F.element_at("_v", F.lit(UNK)))
         return base.crossJoin(F.broadcast(table)).select(key, *(carry or []), padded(F.transform("_t", found)).alias("ids"), "real_len")
     unk = vocab.where(F.col("token") == UNK).first()["id"]
-    rows = base.select(key, F.posexplode("_t").alias("_p", "token")).join(vocab.select("token", "id"), "token", "left")
-    ids = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("id", F.lit(unk)).alias("id")))), lambda x: x["id"]).alias("_ids"))
+    rows = base.select(key, F.posexplode("_t").alias("_p", "_token")).join(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")), "_token", "left")
+    ids = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_id", F.lit(unk)).alias("_id")))), lambda x: x["_id"]).alias("_ids"))
     return base.join(ids, key, "left").select(key, *(carry or []), padded(F.coalesce("_ids", F.array().cast("array<bigint>"))).alias("ids"), "real_len")

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import learners as L
+from sparkloom.operators import search as S
 from sparkloom.operators import selection as C
 from sparkloom.plans.base import query, table
 
@@ -135,3 +136,47 @@ def position_encoding(spark, sf):
     angle = F.col("pos") / F.pow(F.lit(10000.0), (F.col("dim") - F.col("dim") % 2) / 16.0)
     grid = spark.range(50).select(F.col("id").alias("pos"), F.explode(F.expr("sequence(0L, 15L)")).alias("dim"))
     return grid.select("pos", "dim", F.round(F.when(F.col("dim") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 6).alias("value"))
+
+
+@query(_FOLDS + ", w AS (SELECT avg(a) AS a, avg(b) AS b FROM m) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(w.a * x + w.b, 3) AS p FROM d, w")
+def stack_fold_mean(spark, sf):
+    s = L.stack(_lines(spark, sf), ["l_quantity"], "l_extendedprice", _fold(), [(0,)])
+    return _lines(spark, sf).select(*KEYS, F.round(L.linear(np.mean(list(s.by_fold[0].values()), axis=0), ["l_quantity"]), 3).alias("p"))
+
+
+@query("WITH s AS (SELECT regr_r2(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_discount) AS b FROM lineitem), t AS (SELECT 1 / (1 + exp(-a)) AS a, 1 / (1 + exp(-b)) AS b FROM s) SELECT 0::BIGINT AS learner, round(a / (a + b), 6) AS weight FROM t UNION ALL SELECT 1, round(b / (a + b), 6) FROM t")
+def metric_to_weight(spark, sf):
+    m = L.total(_moments(spark, sf))
+    w = L.vote_weights([L.score(m, L.fit(m, (j,))) for j in (0, 1)])
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "learner long, weight double").withColumn("weight", F.round("weight", 6))
+
+
+_SPACE = {"alpha": S.Box(1e-3, 1e8, log=True), "features": S.Box(1, 3.999, cast=int)}
+
+
+def _searched(spark, sf, search):
+    m = _moments(spark, sf)
+    trials = search(_SPACE, lambda p: L.try_out(m, tuple(range(p["features"])), p["alpha"]).effect, seed=1)
+    top = S.best(trials)
+    rows = [(i, t.params["alpha"], t.params["features"], t.effect, t is top) for i, t in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial long, alpha double, features int, effect double, best boolean")
+
+
+@query()
+def ml_bayes(spark, sf):
+    return _searched(spark, sf, S.bayesian)
+
+
+@query()
+def ml_tpe(spark, sf):
+    return _searched(spark, sf, S.parzen)
+
+
+@query("""WITH p AS (SELECT s::BIGINT AS step, s / 1000.0::DOUBLE AS x FROM range(0, 1000) t(s)), c AS (SELECT *, (x - 0.1) / 0.9 * 4 AS h, x * 4 - floor(x * 4) AS u FROM p)
+SELECT step, round(CASE WHEN x < 0.1 THEN x / 0.1 ELSE 0.5 * (1 + cos(pi() * (h - floor(h + 1e-9)))) END, 6) AS hard, round(CASE WHEN u < 0.1 THEN u / 0.1 ELSE 0.5 * (1 + cos(pi() * (u - 0.1) / 0.9)) END, 6) AS warm FROM c""")
+def restart_schedules(spark, sf):
+    """Cosine in four cycles: after one warm-up, and with a warm-up in each."""
+    x = F.col("id") / 1000.0
+    h, u = (x - 0.1) / 0.9 * 4, x * 4 - F.floor(x * 4)
+    half = lambda v: 0.5 * (1 + F.cos(F.pi() * v))
+    return spark.range(1000).select(F.col("id").alias("step"), F.round(F.when(x < 0.1, x / 0.1).otherwise(half(h - F.floor(h + 1e-9))), 6).alias("hard"), F.round(F.when(u < 0.1, u / 0.1).otherwise(half((u - 0.1) / 0.9)), 6).alias("warm"))

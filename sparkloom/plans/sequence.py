@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sparkloom.operators import decoding as D
 from sparkloom.operators import sequences as Q
+from sparkloom.operators import state as A
 from sparkloom.plans.base import query, table
 
 
@@ -61,3 +64,46 @@ def lm_chunks(spark, sf):
 def causal_mask(spark, sf):
     n = spark.range(8)
     return n.select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("j")).select("i", "j", (F.col("j") <= F.col("i")).cast("int").alias("seen"))
+
+
+@query("WITH r AS (SELECT doc_id, len(text) AS n, (row_number() OVER (ORDER BY len(text) DESC, doc_id) - 1) // 32 AS batch_id FROM documents) SELECT doc_id, n, batch_id, max(n) OVER (PARTITION BY batch_id) AS longest FROM r")
+def len_sorted_batches(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    return Q.length_batches(d, "doc_id", "n", 32)
+
+
+@query("WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS x FROM conversations GROUP BY conv_id) SELECT conv_id, k::INT AS stream, array_to_string(x[k * (len(x) // 2) + 1:(k + 1) * (len(x) // 2)], ',') AS turns FROM t, range(0, 2) r(k)")
+def lm_streams(spark, sf):
+    x = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("x"))
+    return x.select("conv_id", F.posexplode(Q.streams(F.col("x"), 2)).alias("stream", "s")).select("conv_id", "stream", F.array_join(F.col("s").cast("array<string>"), ",").alias("turns"))
+
+
+MOVES = np.array([[0.5, -0.2, 0.1], [-0.4, 0.6, 0.0], [0.2, 0.1, 0.3]])
+
+
+def _scores():
+    """Three tags' scores for each word, from its length and capitals."""
+    words = F.split("text", " ")
+    one = lambda w: F.array(F.length(w) / 10.0, F.when(w.rlike("^[A-Z]"), 1.0).otherwise(0.0), 1.0 - F.length(w) / 8.0)
+    return F.flatten(F.transform(words, one))
+
+
+@query()
+def viterbi(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(D.viterbi(_scores(), MOVES).cast("array<string>"), "").alias("path"))
+
+
+@query()
+def crf_loss(spark, sf):
+    gold = F.transform(F.split("text", " "), lambda w: F.length(w) % 3)
+    return table(spark, sf, "documents").select("doc_id", F.round(D.crf_loss(_scores(), gold, MOVES), 6).alias("loss"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, len(text) / 97.0::DOUBLE - 1 AS g FROM conversations),
+s AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0::DOUBLE AS m, 0::DOUBLE AS v, 1::DOUBLE AS p FROM conversations
+UNION ALL SELECT conv_id, g.k, 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, p - 0.001 * ((0.9 * m + 0.1 * g) / (sqrt(0.999 * v + 0.001 * g * g) + 1e-6) + 0.01 * p) FROM s JOIN g USING (conv_id) WHERE g.k = s.k + 1)
+SELECT conv_id, round(arg_max(m, k), 6) AS m, round(arg_max(v, k), 6) AS v, round(arg_max(p, k), 6) AS p FROM s GROUP BY conv_id""")
+def adam_steps(spark, sf):
+    x = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") / 97.0 - 1).alias("g")))).alias("x"))
+    out = x.select("conv_id", A.adam(F.transform("x", lambda e: e["g"]), 1.0, decay=0.01).alias("s"))
+    return out.select("conv_id", *[F.round(f"s.{c}", 6).alias(c) for c in "mvp"])

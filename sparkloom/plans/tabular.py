@@ -294,7 +294,18 @@ def best_trial_strict(spark, sf):
     return C.best_trial(_trials(spark, sf))
 
 
-@query()
+_TRIALS = "WITH RECURSIVE t AS (SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect, count(*) AS seconds FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY trial) AS k FROM t), "
+
+
+@query("SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect, count(*) AS seconds FROM events GROUP BY 1")
+def trial_scores(spark, sf):
+    return _trials(spark, sf)
+
+
+@query(_TRIALS + """b AS (SELECT k, trial, effect, seconds FROM o WHERE k = 1 UNION ALL
+SELECT o.k, CASE WHEN w THEN o.trial ELSE b.trial END, CASE WHEN w THEN o.effect ELSE b.effect END, CASE WHEN w THEN o.seconds ELSE b.seconds END
+FROM b JOIN o ON o.k = b.k + 1, LATERAL (SELECT o.effect > b.effect + 5 OR (abs(o.effect - b.effect) <= 5 AND o.seconds < b.seconds) AS w))
+SELECT trial, effect, seconds FROM b ORDER BY k DESC LIMIT 1""")
 def best_trial_with_err(spark, sf):
     return C.best_trial(_trials(spark, sf), 5.0)
 
@@ -304,7 +315,9 @@ def importance_probability(spark, sf):
     return C.sigmoid_weights(_trials(spark, sf).select("trial", (F.col("effect") / 100).alias("e")), "e").select("trial", r6("weight").alias("weight"))
 
 
-@query()
+@query(_TRIALS + """c AS (SELECT k, trial AS step, effect AS best, 0 AS bad FROM o WHERE k = 1 UNION ALL
+SELECT o.k, o.trial, greatest(o.effect, c.best), CASE WHEN o.effect > c.best THEN 0 ELSE c.bad + 1 END FROM c JOIN o ON o.k = c.k + 1 WHERE c.bad < 3)
+SELECT max(step) FILTER (WHERE bad >= 3) AS stop_at, max(best) AS best FROM c""")
 def early_stop_point(spark, sf):
     return C.early_stop(_trials(spark, sf).select(F.col("trial").alias("step"), F.col("effect").alias("metric")), 3)
 
@@ -344,7 +357,23 @@ def top_abs(spark, sf):
     return _top(spark, sf, "abs")
 
 
-@query()
+_GROUPS = {"amount": ["l_quantity"], "terms": ["l_discount", "l_tax"]}
+_GROUPED = _PHI + "g AS (SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, feature, phi, CASE WHEN feature = 'l_quantity' THEN 'amount' ELSE 'terms' END AS grp FROM p), s AS (SELECT *, sum(phi) OVER (PARTITION BY row, grp) AS gphi FROM g), r AS (SELECT *, dense_rank() OVER (PARTITION BY row ORDER BY gphi DESC, grp) AS gr, row_number() OVER (PARTITION BY row, grp ORDER BY phi DESC, feature) AS ir FROM s) "
+
+
+@query(_GROUPED + "SELECT row, grp, round(gphi, 4) AS group_phi, gr::INT AS rank FROM r WHERE ir = 1")
+def group_sorted(spark, sf):
+    g = C.grouped(_phi(spark, sf), "row", _GROUPS).select("row", F.col("group").alias("grp"), "group_phi")
+    g = g.groupBy("row", "grp").agg(F.first("group_phi").alias("group_phi"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("group_phi"), "grp"))).withColumn("group_phi", F.round("group_phi", 4))
+
+
+@query(_GROUPED + "SELECT row, feature, grp, round(phi, 4) AS phi FROM r WHERE ir <= CASE WHEN gr = 1 THEN 2 ELSE 1 END")
+def group_quota(spark, sf):
+    return C.top_by_group(_phi(spark, sf), "row", 3, _GROUPS).select("row", "feature", F.col("group").alias("grp"), F.round("phi", 4).alias("phi"))
+
+
+@query(_PHI + "v AS (SELECT p.*, CASE feature WHEN 'l_quantity' THEN l.l_quantity WHEN 'l_discount' THEN l.l_discount ELSE l.l_tax END AS value FROM p JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber)), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY abs(phi) DESC, feature) AS k FROM v) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, string_agg(feature || ' value is ' || value::VARCHAR, ',' ORDER BY k) AS reason FROM r WHERE k <= 2 GROUP BY ALL")
 def reason_string(spark, sf):
     return C.reason(C.top_contributions(_phi(spark, sf), "row", 2, "abs"), "row", "value")
 

@@ -322,14 +322,14 @@ def early_stop_point(spark, sf):
     return C.early_stop(_trials(spark, sf).select(F.col("trial").alias("step"), F.col("effect").alias("metric")), 3)
 
 
-_PHI = "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'feature': 'l_quantity', 'phi': 1500 * (l_quantity - q)}, {'feature': 'l_discount', 'phi': 90000 * (l_discount - d)}, {'feature': 'l_tax', 'phi': -90000 * (l_tax - t)}], recursive := true) FROM lineitem, m), "
+_PHI = "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'feature': 'l_quantity', 'phi': round(1500 * (l_quantity - q), 6), 'value': l_quantity}, {'feature': 'l_discount', 'phi': round(90000 * (l_discount - d), 6), 'value': l_discount}, {'feature': 'l_tax', 'phi': round(-90000 * (l_tax - t), 6), 'value': l_tax}], recursive := true) FROM lineitem, m), "
 
 
 def _phi(spark, sf):
     li = table(spark, sf, "lineitem")
     m = li.agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
     parts = [("l_quantity", 1500.0, "q"), ("l_discount", 90000.0, "d"), ("l_tax", -90000.0, "t")]
-    phi = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (w * (F.col(f) - F.col(c))).alias("phi"), F.col(f).alias("value")) for f, w, c in parts]))
+    phi = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), r6(w * (F.col(f) - F.col(c))).alias("phi"), F.col(f).alias("value")) for f, w, c in parts]))
     key = F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row")
     return li.crossJoin(F.broadcast(m)).select(key, phi.alias("x")).select("row", "x.*")
 
@@ -373,7 +373,7 @@ def group_quota(spark, sf):
     return C.top_by_group(_phi(spark, sf), "row", 3, _GROUPS).select("row", "feature", F.col("group").alias("grp"), F.round("phi", 4).alias("phi"))
 
 
-@query(_PHI + "v AS (SELECT p.*, CASE feature WHEN 'l_quantity' THEN l.l_quantity WHEN 'l_discount' THEN l.l_discount ELSE l.l_tax END AS value FROM p JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber)), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY abs(phi) DESC, feature) AS k FROM v) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, string_agg(feature || ' value is ' || value::VARCHAR, ',' ORDER BY k) AS reason FROM r WHERE k <= 2 GROUP BY ALL")
+@query(_PHI + "r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY abs(phi) DESC, feature) AS k FROM p) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, string_agg(feature || ' value is ' || value::VARCHAR, ',' ORDER BY k) AS reason FROM r WHERE k <= 2 GROUP BY ALL")
 def reason_string(spark, sf):
     return C.reason(C.top_contributions(_phi(spark, sf), "row", 2, "abs"), "row", "value")
 

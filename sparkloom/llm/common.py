@@ -5,18 +5,20 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows in one Arrow batch: texts may be hundreds of kilobytes long.
-BATCH_ROWS = 256
-#: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+#: Rows and bytes of text handled at once inside a task. Spark bounds the bytes of an Arrow batch, these bound what Python makes of it.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,24 +26,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. Without one a local folder serves a local session; a cluster needs one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 @contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs here go when it has ended, as nothing reads them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def own_settings(spark: SparkSession) -> Iterator[None]:
+    """For jobs that run here: shuffle files go when a job has ended, as nothing reads them again, and Arrow batches are
+    short. The session's settings come back afterwards."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 * SLICE_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -49,15 +56,20 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     schema = df.schema
-    with freed_shuffles(spark):
+    with own_settings(spark):
         df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
-def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Keeps Arrow batches short, as one row may be a very long text."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again; what reads them lazily must have run."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -66,16 +78,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x.as_py() or b"") if isinstance(x, pa.Scalar) else len(x or b"")
-        if size >= SLICE_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about SLICE_BYTES in a column of texts or bytes, and a bounded number of rows."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        seen = ends[start - 1] if start else 0
+        stop = min(start + rows, int(np.searchsorted(ends, seen + SLICE_BYTES)) + 1, len(ends))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def map_texts(
@@ -85,7 +96,7 @@ def map_texts(
     text: str = "text",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Adds columns computed from batches of UTF-8 texts.
+    """Adds columns computed from slices of UTF-8 texts.
 
     make() runs once in each task and returns a function from a list of texts (bytes or None) to the new
     columns. keep names the columns returned beside them (all, by default); a column of df that has the name
@@ -101,13 +112,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(width).to_pylist()
-            for lo, hi in slices(texts):
-                made = work(texts[lo:hi])
+            for part in slices(batch, "_text_bytes"):
+                made = work(part.column(width).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(lo, hi - lo) for i in range(width)]
-                    + [pa.array(made[f.name], t) for f, t in zip(fields, types, strict=True)],
+                    [part.column(i) for i in range(width)] + [pa.array(made[f.name], t) for f, t in zip(fields, types, strict=True)],
                     names=[*kept, *(f.name for f in fields)],
                 )
 
-    return small_batches(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, small_batches, written
+from sparkloom.llm.common import slices, written
 from sparkloom.llm.hashing import Substrings, U, mix
 
 SIZE = 100
@@ -96,10 +96,8 @@ def firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _ordered(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], pa.RecordBatch]]:
     """Slices of a batch in the order of doc_id."""
     batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")))
-    texts = batch.column("text").to_pylist()
-    for lo, hi in slices(texts):
-        part = batch.slice(lo, hi - lo)
-        yield part.column("doc_id").to_numpy(zero_copy_only=False), [t or b"" for t in texts[lo:hi]], part
+    for part in slices(batch, "text"):
+        yield part.column("doc_id").to_numpy(zero_copy_only=False), [t or b"" for t in part.column("text").to_pylist()], part
 
 
 def _places(r: Runs, lists: list[np.ndarray]) -> np.ndarray:
@@ -127,7 +125,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                         names=["key", "context", "doc_id", "at"],
                     )
 
-    found = small_batches(rows).mapInArrow(contexts, "key long, context long, doc_id long, at int")
+    found = rows.mapInArrow(contexts, "key long, context long, doc_id long, at int")
     same = Window.partitionBy("key", "context").orderBy("doc_id", "at")
     by_key = Window.partitionBy("key")
     first = (
@@ -160,7 +158,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                     names=["low", "high", "doc_id", "at", "known"],
                 )
 
-    pairs = small_batches(marked.select("doc_id", "text", "marks")).mapInArrow(strings, "low long, high long, doc_id long, at int, known boolean")
+    pairs = marked.select("doc_id", "text", "marks").mapInArrow(strings, "low long, high long, doc_id long, at int, known boolean")
     equal = Window.partitionBy("low", "high").orderBy("doc_id", "at")
     again = pairs.withColumn("n", F.row_number().over(equal)).where("known or n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("again"))
     last = marked.join(again, "doc_id", "left").select("doc_id", "text", "marks", "again")
@@ -190,5 +188,5 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_kept + ", kept_sha256 string"
-    result = small_batches(last).mapInArrow(cut, schema)
+    result = last.mapInArrow(cut, schema)
     return result.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

@@ -28,6 +28,49 @@ def secrets(text: str | None) -> dict:
     }
 
 
+def all_secrets(text: str | None) -> list[tuple[int, str, int]]:
+    """Base spans and those of the entropy method, by start, then kind: windows counted anew, the allow-list word by word."""
+    from collections import Counter
+
+    text = text or ""
+    kinds = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+    level = lambda w: max(-sum(c / 20 * log(c / 20, 2) for c in Counter(w[i : i + 20]).values()) for i in range(len(w) - 19))
+
+    def allowed(w: str) -> bool:
+        words = re.split("[-_/=]+", w)
+        joined = len(words) > 1 and all(re.fullmatch("[A-Za-z]+|[0-9]{1,6}", x) for x in words)
+        uuid = re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", w)
+        named = any(x in w.lower() for x in ("example", "sample", "dummy", "placeholder", "xxxx", "0123456789", "abcdefgh"))
+        return not any("0" <= c <= "9" for c in w) or not re.search("[A-Za-z]", w) or bool(joined or uuid or named)
+
+    found = []
+    for kind, (pattern, wanted) in enumerate((
+        (r"(?ia:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6),
+        (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+        (r"[0-9A-Fa-f]+", lambda m: len(m[0]) >= 20 and not allowed(m[0]) and level(m[0]) >= 3.05),
+        (r"[A-Za-z0-9+/_=-]+", lambda m: len(m[0]) >= 20 and not re.fullmatch("[0-9A-Fa-f]+", m[0]) and not allowed(m[0]) and level(m[0]) >= 3.65),
+    )):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if wanted(m)]
+    return [(a, kinds[k], b) for a, k, b in sorted(found)]
+
+
+def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
+    if text is None:
+        return None
+    out, stretches = [], []
+    for a, _, b in all_secrets(text):
+        if stretches and a <= stretches[-1][1]:
+            stretches[-1][1] = max(b, stretches[-1][1])
+        else:
+            stretches.append([a, b])
+    at = 0
+    for a, b in stretches:
+        out.append(text[at:a])
+        at = b
+    return mark.join([*out, text[at:]])
+
+
 def contamination(docs: dict[int, str | None], items: dict[int, str | None]) -> dict[int, tuple]:
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows: dict[tuple, set] = {}
@@ -73,17 +116,22 @@ def word_ids(tokenizer_path: str, docs: dict[int, str | None]) -> dict[int, tupl
     return out
 
 
-def shard_of(key: int, shards: int) -> int:
-    """The leaf of least draw: a subtree's draw is the least below it."""
+def shard_of(key: int, tree: list, weights: dict[int, float] | None = None) -> int:
+    """Down the tree, at each level into the option of least draw."""
     import xxhash
 
-    best = []
-    for s in range(shards):
+    def leaves(node) -> list[int]:
+        return [node] if isinstance(node, int) else [s for x in node for s in leaves(x)]
+
+    def draw(node, level: int) -> float:
         h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
-        for p in (s // 8, s % 8 // 4, s):
+        for p in (level, leaves(node)[0]):
             h = xxhash.xxh64_intdigest(struct.pack("<i", p), h)
-        best.append((-log(((h & ((1 << 52) - 1)) + 0.5) / (1 << 52)), s))
-    return min(best)[1]
+        return -log(((h & ((1 << 52) - 1)) + 0.5) / (1 << 52)) / sum((weights or {}).get(s, 1.0) for s in leaves(node))
+
+    for level in range(3):
+        tree = min(tree, key=lambda node: draw(node, level))
+    return tree
 
 
 def removed(docs: list[tuple[int, str | None]], size: int) -> dict[int, tuple]:

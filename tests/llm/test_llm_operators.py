@@ -47,17 +47,47 @@ def by_id(df, *columns, key="doc_id"):
     return {r[key]: tuple(r[c] for c in columns) for r in df.select(key, *columns).collect()}
 
 
-def test_secrets(docs, texts, empty):
-    names = ("n_assign", "n_access", "n_hex", "base_sha256")
-    found = secrets.scan(docs)
+def candidates(n: int) -> list[str]:
+    """Texts of secrets, near-secrets and forms of the allow-list, some of them adjacent or overlapping."""
+    rnd = random.Random(8)
+    base64, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    run = lambda chars, low, high: "".join(rnd.choices(chars, k=rnd.randrange(low, high)))
+    makers = [
+        lambda: run(base64, 15, 90), lambda: run(hexes, 15, 60), lambda: run(hexes.upper(), 15, 60), lambda: "token: " + run(base64, 2, 40), lambda: "AKIA" + run("ABCXYZ019", 10, 22),
+        lambda: "-".join(run("abcXYZ", 1, 9) for _ in range(8)), lambda: "/".join(run("0123456789", 1, 8) for _ in range(6)), lambda: "a" * 25 + run("0123456789", 1, 5), lambda: "example" + run(base64, 20, 40),
+        lambda: "-".join(run(hexes, k, k + 1) for k in (8, 4, 4, 4, 12)), lambda: "password=" + run(hexes, 20, 50) + "=" + run(base64, 20, 30), lambda: "word \U0001f600 ",
+    ]
+    return ["".join(rnd.choice(makers)() + rnd.choice(["", " ", ", ", "\n", "é"]) for _ in range(rnd.randrange(1, 30))) for _ in range(n)]
+
+
+def test_secrets(spark, docs, texts, empty):
+    names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    line = lambda t: ",".join(f"{k}:{a}:{b}" for a, k, b in brute.all_secrets(t))
+    more = dict(enumerate(candidates(150), 10_000))
+    more[20_000] = "".join(f"token={i}abcdef0123 " + f"{i * 7919:026x}, " for i in range(1500))  # more matches than a block holds
+    texts = texts | more
+    found = secrets.scan(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id long, text string")).withColumn("secret_spans", F.lit(1)))
     got = by_id(secrets.digest(found), *names)
-    assert got == {d: tuple(brute.secrets(t)[n] for n in names) for d, t in texts.items()}
-    clean = by_id(secrets.redact(found), "text")
     for d, t in texts.items():
-        assert (clean[d][0] is None) == (t is None)
-        assert not t or brute.secrets(clean[d][0])["n_access"] == 0
-    assert clean[3][0] == "a"
-    assert secrets.digest(secrets.scan(empty)).count() == 0
+        assert got[d] == (*(brute.secrets(t)[n] for n in names[:4]), line(t)), t
+    assert {d: r[0] for d, r in by_id(secrets.redact(found), "text").items()} == {d: brute.redacted(t) for d, t in texts.items()}
+    assert secrets.digest(secrets.scan(empty)).count() == secrets.redact(secrets.scan(empty)).count() == 0
+
+
+def test_secrets_of_any_length(spark):
+    """A token of 200 KB, joined words as long, and ten thousand secrets in one text."""
+    import time
+
+    rnd = random.Random(6)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rnd.choices(chars, k=200_000)), "-".join(f"a-{i % 999999}" for i in range(40_000)), " ".join("token=" + "".join(rnd.choices(chars, k=30)) for _ in range(10_000))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secrets.redact(secrets.scan(table.where("doc_id < 0"))).collect()
+    start = time.perf_counter()
+    found = secrets.redact(secrets.scan(table)).select("doc_id", "text", F.size("secret_spans").alias("n")).collect()
+    took = time.perf_counter() - start
+    assert {r.doc_id: (r.text, r.n) for r in found} == {i: (brute.redacted(t), len(brute.all_secrets(t))) for i, t in enumerate(texts)}
+    assert took < 30
 
 
 def test_windowed_entropy(spark):
@@ -125,25 +155,45 @@ def test_suffix_dedup(spark, docs, texts, empty):
         assert sorted(r.n_removed for r in suffix_dedup.dedup(odd).collect()) == [0, 0, len(PASSAGE)]
 
 
-def test_sharding(docs, texts, empty):
+@pytest.mark.parametrize("bucket_rows", [50_000, 3])
+def test_sharding(docs, texts, empty, bucket_rows):
     import zlib
 
-    got = by_id(sharding.shard(docs), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    tree = sharding.tree_of(24)
+    got = by_id(sharding.shard(docs, bucket_rows=bucket_rows), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     assert set(got) == set(texts)
     for d, (size, crc, law, shard, _, grown) in got.items():
         raw = (texts[d] or "").encode()
-        assert (size, crc, law, shard, grown) == (len(raw) + 8, zlib.crc32(raw), "key", brute.shard_of(d, 24), brute.shard_of(d, 25))
+        assert (size, crc, law, shard, grown) == (len(raw) + 8, zlib.crc32(raw), "key", brute.shard_of(d, tree), brute.shard_of(d, sharding.grown(tree)))
         assert grown in (shard, 24)
     for s in range(24):
         assert sorted(r[4] for r in got.values() if r[3] == s) == list(range(sum(r[3] == s for r in got.values())))
     assert sharding.shard(empty).count() == 0
 
 
-def test_weights_move_rows_of_their_subtree_alone(spark):
-    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    before, after = (by_id(sharding.shard(ids, weights=w), "shard") for w in (None, {5: 2.0}))
-    moved = {(before[d][0], after[d][0]) for d in before if before[d] != after[d]}
-    assert moved and all(b == 5 for _, b in moved)
+def test_one_key_fills_slots_without_gaps(spark):
+    rows = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard(rows.unionByName(spark.createDataFrame([(None, None)], "doc_id long, text string")), bucket_rows=2).collect()
+    for s in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_weights_move_rows_into_subtrees_that_gain_alone(spark):
+    """At each level rows that move go into the node whose weight rises; rows whose nodes' weights stay don't move there."""
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    tree = sharding.tree_of(24)
+    path = {s: (i, j, s) for i, region in enumerate(tree) for j, rack in enumerate(region) for s in rack}
+    before, after = (by_id(sharding.shard(ids, weights=w), "shard") for w in (None, {5: 3.0}))
+    moved = [(path[before[d][0]], path[after[d][0]]) for d in before if before[d] != after[d]]
+    assert moved
+    for old, new in moved:
+        level = next(i for i in range(3) if old[i] != new[i])
+        assert new[level] == path[5][level]
+    assert {b[0] for b in after.values()} == set(range(24))
+    share = sum(r[0] == 5 for r in after.values()) / 6000
+    assert abs(share - 3 / 26) < 0.02
+    assert all(brute.shard_of(d, tree, {5: 3.0}) == after[d][0] for d in range(300))
 
 
 def test_token_files(docs, texts, empty):
@@ -151,6 +201,26 @@ def test_token_files(docs, texts, empty):
     assert token_files.token_files(empty, WORDS).count() == 0
 
 
+def test_token_files_of_several_ranges(spark, docs, texts, tmp_path):
+    """Ranges of few bytes: many of them, in the order of doc_id, and no two in one partition."""
+    with open(WORDS, encoding="utf-8") as f:
+        token_files.write_ids(docs, f.read(), str(tmp_path / "ids"), range_bytes=16 << 10)
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    places = files.select("part", F.input_file_name().alias("file")).distinct().collect()
+    assert len(places) > 10 and len({r.part for r in places}) == len({r.file for r in places}) == len(places)
+    assert by_id(token_files.read_ids(spark, str(tmp_path / "ids")), "start", "n_tokens", "ids_crc32") == brute.word_ids(WORDS, texts)
+
+
+def test_kept_pieces_are_bounded():
+    made = []
+    kept = token_files.Recent(lambda k: made.append(k) or k * 3, most=4000)
+    rnd = random.Random(1)
+    for _ in range(5000):
+        k = str(min(int(rnd.expovariate(0.02)), 500)).encode()
+        assert kept[k] == k * 3
+    assert len(kept) + len(kept.old) < 80 and len(made) < 4000
+
+
 def test_blocks_of_ids():
     import numpy as np
 
@@ -165,9 +235,32 @@ def test_blocks_of_ids():
 
 def test_jaccard_join(docs, texts, empty):
     assert by_id(jaccard_join.jaccard_components(docs), "n_shingles", "component_id") == brute.jaccard_components(texts)
+    assert by_id(jaccard_join.jaccard_components(docs, bucket_bytes=5000), "n_shingles", "component_id") == brute.jaccard_components(texts)  # many buckets
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_join_of_rows_without_ids(spark):
+    rows = [(None, PASSAGE), (7, PASSAGE + " more"), (7, "else"), (3, PASSAGE), (None, "alone here"), (None, None), (5, None), (9, "else")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    key = lambda r: str(tuple(r))
+    want = [(None, 76, 3), (7, 77, 3), (7, 1, 7), (3, 76, 3), (None, 1, None), (None, 0, None), (5, 0, 5), (9, 1, 7)]
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_jaccard_join_of_a_chain(spark, monkeypatch):
+    """A large cluster of small groups that semi-common shingles chain together: pivots tell few of them apart."""
+    rnd = random.Random(3)
+    texts = {}
+    for d in range(0, 240, 2):
+        own = [f"o{d}x{i}" for i in range(24)]
+        chain = [f"c{d // 2}y{i}" for i in range(8)] + [f"c{d // 2 + 1}y{i}" for i in range(8)]
+        texts[d] = " ".join(own + chain)
+        texts[d + 1] = " ".join((own if rnd.random() < 0.6 else [f"p{d}x{i}" for i in range(24)]) + chain + ["end"])
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert by_id(jaccard_join.jaccard_components(table), "n_shingles", "component_id") == brute.jaccard_components(texts)
+
+
 def test_jaccard_join_of_large_regions(spark, monkeypatch):
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(60)]
@@ -202,6 +295,44 @@ def test_topk(spark):
     assert topk_join.topk(table.where("vec_id in (50, 51)")).count() == 1
 
 
+def plain_topk(rows, k=5):
+    """Python's integers and a sort for each query."""
+    from math import floor
+
+    whole = [(i, [floor(256 * x) for x in v]) for i, v in rows]
+    out = {}
+    for q, x in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole if i != q and len(x) == len(y))
+            out |= {(q, r): (i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(scored[:k], 1)}
+    return out
+
+
+def test_topk_skips_most_cells_of_clusters(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 12))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(x) for x in centres[i % 37 % 40] + 0.03 * rnd.normal(size=12)]) for i in range(3000)]
+    table, seen = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), {}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_join.topk(table, block=64, seen=seen).collect()}
+    assert got == plain_topk(rows)
+    assert seen["visits"] < 0.5 * seen["pairs"]
+
+
+def test_topk_of_large_components_and_several_lengths(spark):
+    rnd = random.Random(7)
+    rows = [(i, [rnd.choice([1e-3, 1.0, 1e3, 3e6]) * rnd.uniform(-1, 1) for _ in range(6)]) for i in range(300)]
+    rows += [(i, [rnd.uniform(-1, 1) for _ in range(i % 5)]) for i in range(300, 420)]
+    rows += [(i, [2.0**70 * (i - 500)] * 7) for i in range(490, 510)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_join.topk(table, pivots=8).collect()}
+    want = plain_topk(rows)
+    assert {k: v for k, v in got.items() if k[0] < 450} == {k: v for k, v in want.items() if k[0] < 450}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+
+
 def auc(pairs):
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))

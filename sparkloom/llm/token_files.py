@@ -14,11 +14,14 @@ The width is the bits that PERCENTILE of a block's differences need; larger ones
 document's number of ids in its segment. All numbers are little-endian.
 
 Documents with the same doc_id are ordered by text. A null doc_id comes first, a null text counts as empty and has the
-end id alone. Columns other than doc_id and text are not stored.
+end id alone. Columns other than doc_id and text are not stored. A segment's row is read as a whole; the index of
+blocks serves readers inside a segment.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import struct
 import uuid
@@ -28,18 +31,20 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_dir, small_batches
+from sparkloom.llm.common import own_settings, shared_dir, slices
 
 BLOCK = 4096
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 18
 #: Bytes of text in a range of doc_id, on average.
 RANGE_BYTES = 24 << 20
-#: Encoded pieces that a worker keeps at most, in each of two generations.
-KEPT_WORDS = 300_000
+#: Units of weight that the text of a range has; a document weighs one at least.
+WEIGHTS = 4096
+#: Bytes of encoded pieces that a worker keeps, in each of two caches and two generations; bytes that an entry adds to its own.
+KEPT_BYTES, ENTRY = 24 << 20, 60
 END_ID = 2
 
 
@@ -87,48 +92,63 @@ def unpack(image: bytes) -> np.ndarray:
 
 
 class Recent(dict):
-    """Values by key, made when first asked for. When it is full, what was not asked for since the last time goes."""
+    """Values by key, made when first asked for, in a bounded number of bytes. When these are used up, what was not
+    asked for since the last time goes."""
 
-    def __init__(self, size: int, make: Callable):
-        self.size, self.make, self.old = size, make, {}
+    def __init__(self, make: Callable, most: int = KEPT_BYTES):
+        self.make, self.most, self.used, self.old = make, most, 0, {}
 
     def __missing__(self, key):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
+        if self.used >= self.most:
             self.old = dict(self)
             self.clear()
+            self.used = 0
         self[key] = value
+        self.used += 2 * ENTRY + len(key) + len(value)
         return value
 
 
+# The letters that stand for bytes in byte-level vocabularies are those of Latin-1 that print; the other
+# bytes take the letters from 256 on.
 def byte_letters() -> dict[int, str]:
-    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, then the next free."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: What letters, numbers and white space are in texts of ASCII and Latin letters, once these are small.
+_LATIN_CLASSES = {r"\p{L}": "a-zß-öø-ÿ", r"\p{N}": "0-9", r"\s": r" \t\n\r\x0b\x0c"}
+
+
 class WordEncoder:
-    """From texts to ids by the tokenizers library. The tokenizer drops white space, so what stands between it can be
-    encoded once each. Texts of ASCII and Latin letters alone are cut into the tokenizer's pieces (contractions, runs of
-    letters, digits, runs of other marks) and its model is asked for each new piece; words of other texts go through the
-    whole tokenizer. One encoder serves all tasks of a worker."""
+    """From texts to ids by the tokenizers library. What stands between white space is encoded once each, if the
+    tokenizer's file says that it folds case, composes letters and drops white space; else whole texts are encoded.
+
+    Texts of ASCII and Latin letters alone are cut by the file's own pattern, and its model is asked for each new piece.
+    Texts that hold one of the file's added tokens go through the whole tokenizer. One encoder serves all tasks of a worker.
+    """
 
     _of: ClassVar[dict] = {}
-    #: Texts in which composed and small forms go letter by letter, and their pieces.
+    #: Texts in which composed and small forms go letter by letter.
     _LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-    _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0c0-9a-zß-öø-ÿ]+")
     _LETTERS = byte_letters()
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words, self.pieces = Recent(KEPT_WORDS, self._whole), Recent(KEPT_WORDS, self._piece)
-        probe = "The quick-brown fox's jumped, über 12 lazily... dogs' Élevées (niños)!\x01 _x_"
-        self.plain = self._pieces(probe) == b"".join(map(self._whole, probe.encode().split()))
+        self.words, self.pieces = Recent(self._whole), Recent(self._piece)
+        said = json.loads(tokenizer_json)
+        self.added = [t["content"] for t in said.get("added_tokens") or []]
+        pattern = split_pattern(said)
+        self.by_word = pattern is not None
+        if pattern is not None:
+            for name, latin in _LATIN_CLASSES.items():
+                pattern = pattern.replace(name, latin)
+            self.findall = re.compile(pattern).findall
 
     @classmethod
     def shared(cls, tokenizer_json: str) -> WordEncoder:
@@ -144,32 +164,62 @@ class WordEncoder:
         ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self._LETTERS))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self._PIECE.findall(text.lower())))
-
     def encode(self, text: bytes | None) -> np.ndarray:
-        whole = (text or b"").decode()
-        # special tokens, which the tokenizer finds first, begin with these marks
-        if self.plain and "<|" not in whole and self._LATIN.fullmatch(whole):
-            return np.frombuffer(self._pieces(whole), "<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, whole.encode().split())), "<u4")
-
-
-def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
-    """Writes every document's ids and the end id under path, in ascending doc_id order."""
+        raw = text or b""
+        whole = raw.decode()
+        if not self.by_word or any(t in whole for t in self.added):
+            data = self._whole(raw)
+        elif self._LATIN.fullmatch(whole):
+            data = b"".join(map(self.pieces.__getitem__, self.findall(whole.lower())))
+        else:
+            data = b"".join(map(self.words.__getitem__, raw.split()))
+        return np.frombuffer(data, "<u4")
+
+
+def split_pattern(said: dict) -> str | None:
+    """The pattern by which a tokenizer's file cuts words, if it works on folded, composed text and drops white space."""
+    folds = [n.get("type") for n in (said.get("normalizer") or {}).get("normalizers", [])]
+    steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if folds != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in steps] != ["Split", "ByteLevel"] or said.get("model", {}).get("type") != "BPE":
+        return None
+    space = said["normalizer"]["normalizers"][1]
+    cut, letters = steps
+    good = space["pattern"] == {"Regex": r"\s+"} and space["content"] == " " and cut["behavior"] == "Removed" and cut["invert"] and not letters["add_prefix_space"] and not letters["use_regex"]
+    pattern = cut["pattern"].get("Regex", "")
+    # pieces of this pattern have no white space: every class either excludes it or names letters, numbers and marks
+    return pattern if good and r"[^\s\p{L}\p{N}]+" in pattern and " " not in pattern else None
+
+
+def part_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below doc_id; a row is compared with twice the root of their number. Null: 0."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda known: F.size(F.filter(known, lambda c: c < doc_id))
+    at = F.greatest(below(F.lit([g[0] for g in groups])) - 1, F.lit(0))
+    inside = F.transform(F.array(at), lambda k: k * step + below(F.get(F.array(*map(F.lit, groups)), k)))
+    return F.coalesce(F.get(inside, 0), F.lit(0)).cast("int")
+
+
+def write_ids(
+    docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, range_bytes: int = RANGE_BYTES
+) -> None:
+    """Writes every document's ids and the end id under path, in ascending doc_id order.
+
+    Ranges have about range_bytes of text each: the cuts between them are quantiles of doc_id, each document weighing as
+    much as its text. They are a number for each range; for very large corpora give a larger range_bytes.
+    """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = max(1, min(20_000, size // RANGE_BYTES))
-    cuts = []
-    if ranges > 1:  # borders of ranges: a bounded number
-        cuts = sorted({int(x) for x in docs.agg(F.percentile_approx(doc_id, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []})
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    below = F.lit(0)
-    if cuts:
-        below = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id")))
-    rows = rows.withColumn("part", F.coalesce(below, F.lit(0)).cast("int"))
-    dealt = rows.repartition(len(cuts) + 1, "part")
-    dealt = dealt.sortWithinPartitions("part", "doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    ranges = max(1, (rows.agg(F.sum(size)).first()[0] or 0) // range_bytes)
+    cuts = []
+    if ranges > 1:
+        weight = F.explode(F.sequence(F.lit(0), F.floor(size / (range_bytes // WEIGHTS)).cast("int")))
+        weighed = rows.where("doc_id is not null").select("doc_id", weight)
+        cuts = sorted({int(x) for x in weighed.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []})
+    dealt = rows.withColumn("part", part_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
@@ -184,7 +234,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str =
                 "payload": pa.array([pack(ids)], pa.binary()),
             })
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             columns = batch.to_pydict()
             for d, p, ids in zip(columns["doc_id"], columns["part"], map(encode, columns["text"]), strict=True):
                 if held and (p != part or n + len(ids) + 1 > SEGMENT_IDS):
@@ -198,7 +248,8 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, *, doc_id: str =
             yield flush()
 
     schema = "part int, segment int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
-    small_batches(dealt.select("doc_id", "part", "text"), 128).mapInArrow(run, schema).write.parquet(path)
+    with own_settings(spark):
+        dealt.select("doc_id", "part", "text").mapInArrow(run, schema).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -216,8 +267,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part in (part for whole in batches for part in slices(whole, "payload", 16)):
+            for row in part.to_pylist():
                 ids = unpack(row["payload"]).astype("<u4")
                 ends = row["ends"]
                 begins = [0, *ends[:-1]]
@@ -228,7 +279,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(ids[b:e].tobytes()) for b, e in zip(begins, ends, strict=True)], pa.int64()),
                 })
 
-    rows = small_batches(files.select("part", "segment", "doc_ids", "ends", "payload"), 16).mapInArrow(
+    rows = files.select("part", "segment", "doc_ids", "ends", "payload").mapInArrow(
         run, "part int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     )
     return rows.join(offsets, ["part", "segment"]).select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

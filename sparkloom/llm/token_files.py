@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable
 from typing import ClassVar
 
@@ -44,7 +45,7 @@ RANGE_BYTES = 24 << 20
 #: Units of weight that the text of a range has; a document weighs one at least.
 WEIGHTS = 4096
 #: Bytes of encoded pieces that a worker keeps, in each of two caches and two generations; bytes that an entry adds to its own.
-KEPT_BYTES, ENTRY = 24 << 20, 60
+KEPT_BYTES, ENTRY = 40 << 20, 60
 END_ID = 2
 
 
@@ -140,6 +141,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.words, self.pieces = Recent(self._whole), Recent(self._piece)
         said = json.loads(tokenizer_json)
         self.added = [t["content"] for t in said.get("added_tokens") or []]
@@ -157,12 +159,11 @@ class WordEncoder:
         return cls._of[tokenizer_json]
 
     def _whole(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self._LETTERS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self._LETTERS))]
+        return array("I", ids).tobytes()
 
     def encode(self, text: bytes | None) -> np.ndarray:
         raw = text or b""
@@ -173,7 +174,7 @@ class WordEncoder:
             data = b"".join(map(self.pieces.__getitem__, self.findall(whole.lower())))
         else:
             data = b"".join(map(self.words.__getitem__, raw.split()))
-        return np.frombuffer(data, "<u4")
+        return np.frombuffer(data, "=u4")
 
 
 def split_pattern(said: dict) -> str | None:

@@ -5,7 +5,8 @@ Each language has several centroids, found by spherical k-means; the prediction
 highest cosine, and the score is that cosine. A document is rejected if it has no letter, or lies farther from every
 centroid than nearly all training texts by a wide margin.
 
-Training reads a bounded sample: PER_LANGUAGE rows of each language, drawn by a hash of doc_id. Null texts and texts
+Training reads a bounded sample: at most PER_LANGUAGE rows of each language, those of least hash of doc_id and text, so it
+doesn't depend on how rows are laid out. Null texts and texts
 without a letter are `und` with score 0 and rejected; so is everything if nothing can be learned. Rows with a null
 language are predicted, not learned from. A column of docs with the name of a result column is replaced.
 """
@@ -13,7 +14,7 @@ language are predicted, not learned from. A column of docs with the name of a re
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +72,9 @@ def fit(docs: DataFrame, trains: Column, *, doc_id: str = "doc_id", text: str =
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
     if not sizes:
         return None
-    share = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit(1.2 * per_language / n))])[F.col(lang)]
-    drawn = rows.where((F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / float(1 << 20)) < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    share = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit((per_language + 8 * per_language**0.5) / n))])[F.col(lang)]
+    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / float(1 << 20)
+    drawn = rows.where(place <= share).select(F.col(lang).alias("lang"), place.alias("place"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
 
     def make():
         def work(texts):
@@ -81,8 +83,9 @@ def fit(docs: DataFrame, trains: Column, *, doc_id: str = "doc_id", text: str =
 
         return work
 
-    sample = map_texts(drawn, make, [T.StructField("counts", T.BinaryType())], keep=["lang"]).where("counts is not null")
-    sample = sample.limit(2 * per_language * len(sizes)).toPandas()  # per_language bounds it
+    counted = map_texts(drawn, make, [T.StructField("counts", T.BinaryType())], keep=["lang", "place", "tie"]).where("counts is not null")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "tie"))
+    sample = counted.withColumn("_n", first).where(F.col("_n") <= per_language).orderBy("lang", "_n").toPandas()
     if not len(sample):
         return None
     raw = np.stack([np.frombuffer(x, "<u2") for x in sample["counts"]])

@@ -1,19 +1,23 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 A byte goes if a string of `size` bytes that covers it also starts earlier: in a document with a smaller doc_id, or
-earlier in the same one. Ranks double from half the size to the size: Spark sorts positions by the hash of the first
-half, positions that are alone with theirs leave, and the others are ranked again by the pair of ranks at offsets 0 and
-`size - half`, which spans `size` bytes.
+earlier in the same one. Ranks double from half the size to the size. In each round Spark sorts positions by a pair of
+ranks, then by document and place, over all tasks; a position whose pair is unlike its neighbours' is unique and leaves,
+and of equal pairs the first is the earliest. What neighbours in other tasks are is known from a row for each task, so a
+pair that a third of the positions share is sorted in as many tasks as any other.
 
-The first round doesn't need every position. In each string of `size` bytes the half-size substring with the least hash
-(the first of them) is its anchor; equal strings have equal anchors at equal places. The strings that share an anchor
-are consecutive, and together they span one context. So the first round sorts a row for each anchor, with the hash of
-its half-size string and that of its context:
+The second round's pair is of the ranks of the half-size strings at offsets 0 and `size - half`, which spans `size`
+bytes. The first round doesn't need every position: in each string of `size` bytes the half-size substring with the
+least hash (the first of them) is its anchor, and equal strings have equal anchors at equal places. The strings that
+share an anchor are consecutive and together span one context. The first round's pair is of the anchor and its context:
 
 * of equal contexts all but the first are repeated as a whole;
 * a first context whose anchor has no other context holds no string that starts earlier;
 * only the strings of first contexts whose anchors have several go into the second round.
 
+A half-size string's rank is a hash of 64 bits, so a pair is taken for another with odds of 2^-128; hashes are sums
+modulo 2^64, which are weak for strings of over a thousand bytes only, and contexts have less than twice `size`.
+
 Rows that a batch has already shown to be repeated aren't sent, so that a passage which a third of the documents share
 has one row for each batch, not for each document.
 
@@ -29,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, written
+from sparkloom.llm.common import drop, slices, written
 from sparkloom.llm.hashing import Substrings, U, mix
 
 SIZE = 100
+_PAIRS = "a long, b long, doc_id long, at int, known boolean"
 NULL_ID = -(1 << 63)
 
 
@@ -110,6 +115,105 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+_SWEPT = "edge boolean, doc_id long, at int, several boolean, a long, b long, known boolean, last_a long, last_b long, open_doc long, open_at int, part int"
+
+
+def _sweep(batches, repeated: bool):
+    """Reads a task's rows (a, b, doc_id, at, known) in this order and yields the first row of each pair, and whether its a
+    has several b; or, with repeated, all others and those known to be. Of the task's own first row, and of the first row
+    of the last a if that has one b as yet, a row at the edge says what they and their neighbours are."""
+    from pyspark import TaskContext
+
+    names = [f.split()[0] for f in _SWEPT.split(", ")]
+    prev = head = pending = None
+    more = head_known = False
+
+    def rows(doc, at, several):
+        n = len(doc)
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(at, np.int32)), pa.array(np.asarray(several, bool)), *none], names=names)
+
+    for batch in batches:
+        a, b, doc, at = (batch.column(c).to_numpy() for c in ("a", "b", "doc_id", "at"))
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        if not len(a):
+            continue
+        new_a, new_b = np.ones(len(a), bool), np.ones(len(a), bool)
+        new_a[1:] = a[1:] != a[:-1]
+        new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
+        if prev is not None:
+            new_a[0] = a[0] != prev[0]
+            new_b[0] = new_a[0] or b[0] != prev[1]
+        first = np.flatnonzero(new_b)
+        several = ~new_a[first]
+        several[:-1] |= ~new_a[first[1:]]
+        if pending is not None and len(first):
+            is_several = not new_a[first[0]]
+            if pending == head:
+                more = is_several
+            elif not repeated:
+                yield rows([pending[2]], [pending[3]], [is_several])
+            pending = None
+        emit = np.ones(len(first), bool)
+        if head is None:
+            head, head_known = (int(a[0]), int(b[0]), int(doc[0]), int(at[0])), bool(known[0])
+            emit[0], more = False, bool(several[0])
+        if len(first) and new_a[first[-1]]:
+            i = first[-1]
+            pending, emit[-1] = (int(a[i]), int(b[i]), int(doc[i]), int(at[i])), False
+        prev = int(a[-1]), int(b[-1])
+        if repeated:
+            other = np.flatnonzero(~new_b | known)
+            other = other[(doc[other] != head[2]) | (at[other] != head[3])]
+            yield rows(doc[other], at[other], np.zeros(len(other), bool))
+        else:
+            yield rows(doc[first[emit]], at[first[emit]], several[emit])
+    if head is not None:
+        a, b, doc, at = head
+        after = pending[2:] if pending is not None and pending != head else (None, None)
+        edge = [True, doc, at, more, a, b, head_known, *prev, *after, TaskContext.get().partitionId()]
+        types = [pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(edge, types, strict=True)], names=names)
+
+
+def _edges(tasks: list) -> tuple[list, list]:
+    """From each task's row at the edge: the first rows (doc_id, at, several) that were left open, and those repeated."""
+    tasks = sorted(tasks, key=lambda r: r.part)
+
+    def goes_on(i: int, a: int, b: int) -> bool:
+        """Whether a has another b in the tasks after i."""
+        for r in tasks[i + 1 :]:
+            if r.a != a:
+                return False
+            if r.b != b or r.several:
+                return True
+            if r.last_a != a:
+                return False
+        return False
+
+    firsts, repeated = [], []
+    for i, r in enumerate(tasks):
+        before = tasks[i - 1] if i else None
+        if r.known or before and (before.last_a, before.last_b) == (r.a, r.b):
+            repeated.append((r.doc_id, r.at, False))
+        else:
+            other = before is not None and before.last_a == r.a
+            firsts.append((r.doc_id, r.at, other or r.several or r.last_a == r.a and goes_on(i, r.a, r.b)))
+        if r.open_doc is not None:
+            firsts.append((r.open_doc, r.open_at, goes_on(i, r.last_a, r.last_b)))
+    return firsts, repeated
+
+
+def ranked(pairs: DataFrame, repeated: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, at and several of the earliest position of each pair (a, b), or of all others; and the table to drop."""
+    order = ["a", "b", "doc_id", "at"]
+    rows = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    swept = written(rows.mapInArrow(lambda batches: _sweep(batches, repeated), _SWEPT))
+    open_rows = _edges(swept.where("edge").collect())[int(repeated)]  # a row or two for each task
+    more = pairs.sparkSession.createDataFrame(open_rows, "doc_id long, at int, several boolean")
+    return swept.where("not edge").select("doc_id", "at", "several").unionByName(more), swept
+
+
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, the remaining bytes of every document."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -121,20 +225,14 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                 if len(r.low):
                     at = np.flatnonzero(firsts(r.key, r.context))
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(r.key[at]), _signed(r.context[at]), pa.array(ids[r.doc[at]]), pa.array((r.low - r.starts[r.doc])[at].astype(np.int32))],
-                        names=["key", "context", "doc_id", "at"],
+                        [_signed(r.key[at]), _signed(r.context[at]), pa.array(ids[r.doc[at]]), pa.array((r.low - r.starts[r.doc])[at].astype(np.int32)), pa.array(np.zeros(len(at), bool))],
+                        names=["a", "b", "doc_id", "at", "known"],
                     )
 
-    found = rows.mapInArrow(contexts, "key long, context long, doc_id long, at int")
-    same = Window.partitionBy("key", "context").orderBy("doc_id", "at")
-    by_key = Window.partitionBy("key")
-    first = (
-        found.repartition("key")
-        .withColumn("n", F.row_number().over(same)).where("n = 1")
-        .withColumn("several", F.min("context").over(by_key) != F.max("context").over(by_key))
-        .select("doc_id", (F.col("at").cast("long") * 2 + F.col("several").cast("long")).alias("mark"))
-    )
-    marks = written(first.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
+    first, swept = ranked(rows.mapInArrow(contexts, _PAIRS), False)
+    mark = F.col("at").cast("long") * 2 + F.col("several").cast("long")
+    marks = written(first.groupBy("doc_id").agg(F.collect_list(mark).alias("marks")))
+    drop(swept)
     marked = rows.join(marks, "doc_id", "left")
 
     def strings(batches):
@@ -155,12 +253,11 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                 own = mix(ids[doc].astype(np.uint64) ^ mix(at.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [_signed(np.where(new, a, own)), _signed(np.where(new, b, ~own)), pa.array(ids[doc]), pa.array((at - r.starts[doc]).astype(np.int32)), pa.array(~new)],
-                    names=["low", "high", "doc_id", "at", "known"],
+                    names=["a", "b", "doc_id", "at", "known"],
                 )
 
-    pairs = marked.select("doc_id", "text", "marks").mapInArrow(strings, "low long, high long, doc_id long, at int, known boolean")
-    equal = Window.partitionBy("low", "high").orderBy("doc_id", "at")
-    again = pairs.withColumn("n", F.row_number().over(equal)).where("known or n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("again"))
+    twice, _ = ranked(marked.select("doc_id", "text", "marks").mapInArrow(strings, _PAIRS), True)
+    again = twice.groupBy("doc_id").agg(F.collect_list("at").alias("again"))
     last = marked.join(again, "doc_id", "left").select("doc_id", "text", "marks", "again")
 
     def cut(batches):

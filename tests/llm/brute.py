@@ -134,6 +134,46 @@ def shard_of(key: int, tree: list, weights: dict[int, float] | None = None) -> i
     return tree
 
 
+def quality_score(model: dict, text: str | None) -> float:
+    """The model's score from features counted one by one; n-grams are placed as the operator places them."""
+    import numpy as np
+
+    from sparkloom.llm import quality
+
+    raw = (text or "").encode()
+    words, lines, n = raw.split(), raw.split(b"\n"), max(1, len(raw))
+    m = max(1, len(words))
+    is_in = lambda chars: sum(chr(c) in chars for c in raw)
+    upper, lower, digit = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw), sum(48 <= c <= 57 for c in raw)
+    space, marks, high = is_in("\t\n\r "), is_in(".,;:'\"?-"), sum(c >= 128 for c in raw)
+    other = len(raw) - upper - lower - digit - space - marks - high
+    x = np.array([
+        upper / max(1, upper + lower + high), lower / n, digit / n, space / n, marks / n, other / n, high / n, max((raw.count(c) for c in set(raw)), default=0) / n,
+        min(40, (n - space) / m) / 10, log(1 + m) / 10, len(set(words)) / m, sum(a == b for a, b in zip(words, words[1:])) / m, 1 - len(set(lines)) / len(lines), log(1 + len(lines)) / 10,
+        raw.count(b"!") / m, other / m,
+    ], np.float32)
+    row = np.concatenate([x, np.sqrt(np.abs(x)), x * x, quality.ngrams([raw])[0]])[None, :]
+    return float(1 / (1 + np.exp(-np.clip(model["scale"](row) @ model["w"], -30, 30)))[0])
+
+
+def nearest_language(model: dict, text: str | None) -> tuple[str, float, bool]:
+    """Counts of n-grams in a dictionary, and a cosine with each centroid."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    letters = lambda b: bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in b)
+    b, places = letters(b" " + text.lower().encode() + b" "), {}
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            code = int.from_bytes(b[i : i + n], "big")
+            place = ((code + n) * 2654435761 & 0xFFFFFFFF) >> 21
+            places[place] = places.get(place, 0) + 1
+    x = {p: log(1 + c) * float(model["idf"][p]) for p, c in places.items()}
+    length = sum(v * v for v in x.values()) ** 0.5
+    cosines = [sum(v * float(model["centres"][p, j]) for p, v in x.items()) / length for j in range(len(model["names"]))]
+    top = max(range(len(cosines)), key=cosines.__getitem__)
+    return model["names"][top], min(1.0, max(0.0, cosines[top])), cosines[top] < model["least"]
+
+
 def removed(docs: list[tuple[int, str | None]], size: int) -> dict[int, tuple]:
     """Bytes covered by strings of this size that also start earlier."""
     seen: set[bytes] = set()

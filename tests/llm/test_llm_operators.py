@@ -155,6 +155,29 @@ def test_suffix_dedup(spark, docs, texts, empty):
         assert sorted(r.n_removed for r in suffix_dedup.dedup(odd).collect()) == [0, 0, len(PASSAGE)]
 
 
+def test_pairs_are_ranked_across_tasks(spark):
+    """Few pairs and many tasks: one pair fills several tasks, an a ends in one and goes on in the next."""
+    rnd = random.Random(4)
+    for n, k in ((300, 2), (300, 12), (60, 40), (1, 1), (0, 1)):
+        rows = [(rnd.randrange(k), rnd.randrange(3) if rnd.random() < 0.5 else 0, rnd.randrange(50), i, False) for i in range(n)]
+        table = spark.createDataFrame(rows, suffix_dedup._PAIRS).repartition(3)
+        groups: dict = {}
+        for a, b, d, at, _ in rows:
+            groups.setdefault((a, b), []).append((d, at))
+        want = {(*min(v), len({b2 for a2, b2 in groups if a2 == a}) > 1) for (a, _), v in groups.items()}
+        others = {x for v in groups.values() for x in v} - {w[:2] for w in want}
+        for tasks in ("1", "9"):
+            before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = [tuple(r) for r in suffix_dedup.ranked(table, False)[0].collect()]
+            twice = [tuple(r)[:2] for r in suffix_dedup.ranked(table, True)[0].collect()]
+            spark.conf.set("spark.sql.shuffle.partitions", before[0])
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+            assert len(got) == len(want) and set(got) == want
+            assert len(twice) == len(others) and set(twice) == others
+
+
 @pytest.mark.parametrize("bucket_rows", [50_000, 3])
 def test_sharding(docs, texts, empty, bucket_rows):
     import zlib
@@ -345,10 +368,42 @@ def test_quality(spark, docs, texts, empty):
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert auc(held) > 0.85
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
-    model = quality.fit(docs, spark.createDataFrame([(1, None), (2, 1), (2, 0), (1001, 0)], "doc_id long, quality int"), F.lit(True))
-    assert len(by_id(quality.score(docs, model), "score", "predicted")) == len(texts)
+    known = spark.createDataFrame([(1, None), (2, 1), (2, 0), (1001, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, known, F.lit(True))
+    got = by_id(quality.score(docs, model), "score", "predicted")
+    assert got == {d: (pytest.approx(s, abs=1e-6), int(s >= 0.3)) for d, s in ((d, brute.quality_score(model, t)) for d, t in texts.items())}
+    again = quality.fit(docs.repartition(7), known, F.lit(True))  # another layout
+    assert again["prior"] == model["prior"] and (again["w"] == model["w"]).all()
     none = quality.fit(empty, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
-    assert quality.score(docs, none).count() == len(texts)
+    assert set(by_id(quality.score(docs, none), "score", "predicted").values()) == {(0.5, 1)}
+
+
+def test_prior_of_a_known_mixture():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    of = lambda n, at: (rnd.normal(size=(n, 6)) + at).astype(np.float32)
+    for prior in (0.15, 0.4, 0.7):
+        n = int(5000 * prior)
+        unlabelled = np.concatenate([of(n, 1.5), of(5000 - n, -1.5)])[rnd.permutation(5000)]
+        found = quality.estimate_prior(of(3000, 1.5), unlabelled)
+        assert abs(found - prior) < 0.06, (prior, found)
+
+
+def test_non_negative_risk_is_minimised():
+    """No small change of the weights lowers what is minimised; terms agree with sums over rows."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    p, u = rnd.normal(size=(200, 4)) + 0.5, rnd.normal(size=(500, 4))
+    p, u = (np.concatenate([x, np.ones((len(x), 1))], 1) for x in (p, u))
+    prior, decay = 0.3, 2e-3
+    w = quality.descend(p, u, prior, 3000, step=0.01, decay=decay)
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+    plain = prior * sum(loss(x @ w) for x in p) / len(p), sum(loss(-(x @ w)) for x in u) / len(u) - prior * sum(loss(-(x @ w)) for x in p) / len(p)
+    assert quality.risk(p, u, w, prior) == pytest.approx(plain)
+    whole = lambda w: sum((max(0.0, t) if i else t) for i, t in enumerate(quality.risk(p, u, w, prior))) + decay / 2 * float(w[:-1] @ w[:-1])
+    assert all(whole(w) <= whole(w + rnd.normal(size=5) * 0.05) + 1e-6 for _ in range(200))
 
 
 def test_language_id(spark, docs, texts, empty):
@@ -359,6 +414,9 @@ def test_language_id(spark, docs, texts, empty):
     assert sum(held) / len(held) > 0.97
     model = language_id.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en")), F.lit(True))
     got = by_id(language_id.predict(docs, model), "lang_pred", "score", "rejected")
+    for d, (name, score, rejected) in got.items():
+        want = brute.nearest_language(model, texts[d])
+        assert score == pytest.approx(want[1], abs=1e-9) and rejected == want[2] and (name == want[0] or rejected)
     assert all(got[d] == ("und", 0.0, True) for d in (0, 1, 2, 16, 17))
     assert {r[0] for r in got.values()} == {"en", "und"}
     assert language_id.fit(empty, F.lit(True)) is None

@@ -2,8 +2,8 @@
 
 A text is cut into pieces by the pattern. Pieces that a task has not met yet are put into padded matrices of token ids,
 one for each bucket of lengths. In each round every row merges its leftmost pair of least rank; pairs are looked up in
-an open-addressing hash table, and rows without a pair left are taken out. A piece of over LONG bytes merges all
-occurrences of its least pair in a round, if no pair that thereby arises has a lower rank, which gives the same result.
+an open-addressing hash table, and rows without a pair left are taken out. A piece of over LONG bytes, for which a matrix
+would need as many rounds and columns as the piece has bytes, takes the same merges in the same order from a heap.
 
 Results of pieces are kept in each task, in a table of bounded size. Null texts count as empty and have no ids. A
 document column with the name of a result column is replaced.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import regex
@@ -87,7 +88,7 @@ class ByteBPE:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.pairs = PairTable(ranks)
+        self.pairs, self.rank_of = PairTable(ranks), None
 
     def merge_rows(self, ids: np.ndarray) -> list[list[int]]:
         """Each row's ids after all merges; rows are padded with -1."""
@@ -122,22 +123,29 @@ class ByteBPE:
             cost = moved
         return done
 
-    def merge_long(self, ids: np.ndarray) -> list[int]:
-        cost = self.pairs.find(ids[:-1], ids[1:])
-        while len(cost) and (least := cost.min()) < NONE:
-            at = np.flatnonzero(cost == least)
-            run = np.cumsum(np.append(True, np.diff(at) > 1)) - 1
-            first = np.flatnonzero(np.append(True, np.diff(at) > 1))
-            at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
-            for chosen in (at, at[:1]):
-                new = ids.copy()
-                new[chosen] = least
-                new = np.delete(new, chosen + 1)
-                again = self.pairs.find(new[:-1], new[1:])
-                if len(chosen) == 1 or not (again < least).any():
-                    break
-            ids, cost = new, again
-        return ids.tolist()
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in the same order, the leftmost pair of least rank first, from a heap: n log n steps."""
+        if self.rank_of is None:
+            used = self.pairs.keys >= 0
+            self.rank_of = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+        rank, n = self.rank_of.get, len(ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = right[i]
+            # a pair that has changed since has another rank, or none
+            if ids[i] < 0 or j >= n or rank(ids[i] << 20 | ids[j]) != r:
+                continue
+            ids[i], ids[j], right[i] = r, -1, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                if (new := rank(r << 20 | ids[right[i]])) is not None:
+                    heapq.heappush(heap, (new, i))
+            if left[i] >= 0 and (new := rank(ids[left[i]] << 20 | r)) is not None:
+                heapq.heappush(heap, (new, left[i]))
+        return [x for x in ids if x >= 0]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
@@ -146,7 +154,7 @@ class ByteBPE:
             if (whole := self.ranks.get(piece)) is not None:
                 out[i] = [whole]
             elif len(piece) > LONG:
-                out[i] = self.merge_long(self.single[np.frombuffer(piece, np.uint8)])
+                out[i] = self.merge_long(self.single[np.frombuffer(piece, np.uint8)].tolist())
             else:
                 buckets.setdefault(-(-len(piece) // 4) * 4 if len(piece) <= 32 else 1 << (len(piece) - 1).bit_length(), []).append(i)
         for width, members in buckets.items():

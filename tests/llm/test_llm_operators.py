@@ -136,6 +136,24 @@ def test_byte_bpe_on_odd_characters(spark):
         assert (len(ids), brute.sha(",".join(map(str, ids)))) == of(t)[:2], repr(t)
 
 
+def test_byte_bpe_of_long_pieces(spark):
+    """Pieces of 300 bytes to 100 KB in several alphabets, beside the library."""
+    import time
+
+    of = brute.byte_bpe(RANKS, public_tokenizers.PATTERN)
+    bpe = byte_bpe.ByteBPE(byte_bpe.read_ranks(spark, RANKS), public_tokenizers.PATTERN)
+    rnd = random.Random(12)
+    for alphabet in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "the ing and".replace(" ", ""), "абвгдежзиклмнопрст", "的一是不了人我在有他", "=-", "aàâäeéèê"):
+        for n in (257, 300, 1000, 30_000):
+            text = "".join(rnd.choices(alphabet, k=n))
+            pieces = [x.encode() for x in bpe.pattern.findall(text)]
+            assert max(map(len, pieces)) > 256
+            start = time.perf_counter()
+            ids = [i for p in bpe.encode_pieces(pieces) for i in p]
+            assert time.perf_counter() - start < 20
+            assert (len(ids), brute.sha(",".join(map(str, ids)))) == of(text)[:2], (alphabet, n)
+
+
 def test_word_encoder_on_odd_characters():
     from tokenizers import Tokenizer
 

@@ -106,36 +106,52 @@ def row_sums(m: Column) -> Column:
     return F.transform(m, total)
 
 
-#: Decompositions by name: of a square matrix, numbers in row-major order. A singular matrix has no inverse: null.
+def _qr_r(m: np.ndarray) -> np.ndarray:
+    """R with a diagonal that isn't negative."""
+    r = np.linalg.qr(m)[1]
+    sign = np.sign(np.einsum("kii->ki", r))
+    return (np.where(sign == 0, 1, sign)[:, :, None] * r).reshape(len(m), -1)
+
+
+#: Decompositions by name, of a stack of square matrices: a row of numbers for each, matrices in row-major order.
 LINALG = {
-    "det": lambda m: [np.linalg.det(m)],
-    "slogdet": lambda m: [float(x) for x in np.linalg.slogdet(m)],
-    "inv": lambda m: np.linalg.inv(m).ravel(),
-    "rank": lambda m: [float(np.linalg.matrix_rank(m))],
-    "cond": lambda m: [np.linalg.cond(m)],
+    "det": lambda m: np.linalg.det(m)[:, None],
+    "slogdet": lambda m: np.stack(np.linalg.slogdet(m), 1),
+    "inv": lambda m: np.linalg.inv(m).reshape(len(m), -1),
+    "rank": lambda m: np.linalg.matrix_rank(m)[:, None],
+    "cond": lambda m: np.linalg.cond(m)[:, None],
     "svd_values": lambda m: np.linalg.svd(m, compute_uv=False),
-    "eig_symmetric": lambda m: np.linalg.eigvalsh((m + m.T) / 2),
-    "eig_real": lambda m: np.sort(np.linalg.eigvals(m).real),
-    "cholesky_of_gram": lambda m: np.linalg.cholesky(m @ m.T + np.eye(len(m))).ravel(),
-    "qr_r": lambda m: (lambda r: (np.sign(np.where(np.diag(r) == 0, 1, np.diag(r)))[:, None] * r).ravel())(np.linalg.qr(m)[1]),
+    "eig_symmetric": lambda m: np.linalg.eigvalsh((m + m.transpose(0, 2, 1)) / 2),
+    "eig_real": lambda m: np.sort(np.linalg.eigvals(m).real, axis=1),
+    "cholesky_of_gram": lambda m: np.linalg.cholesky(m @ m.transpose(0, 2, 1) + np.eye(m.shape[1])).reshape(len(m), -1),
+    "qr_r": _qr_r,
 }
 
 
 def linalg(flat: Column, name: str) -> Column:
-    """LINALG[name] of the square matrix with these elements in row-major order; null for null, other shapes and failures."""
+    """LINALG[name] of the square matrix with these elements in row-major order; null for null, other shapes and failures.
+
+    Matrices of one shape are worked on together; where one of them fails, those of its shape are worked on one by one.
+    """
     f = LINALG[name]
 
-    def of(a) -> list[float] | None:
-        if a is None or not len(a) or (n := round(len(a) ** 0.5)) * n != len(a):
-            return None
+    def of(stack: np.ndarray) -> list:
         try:
-            return [float(x) for x in f(np.asarray(a, float).reshape(n, n))]
+            return f(stack).astype(float).tolist()
         except np.linalg.LinAlgError:
-            return None
+            return [None] if len(stack) == 1 else [x for one in stack for x in of(one[None])]
 
     @F.pandas_udf("array<double>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([of(a) for a in b])
+            sizes = np.array([0 if a is None else len(a) for a in b])
+            out = np.full(len(b), None, object)
+            for size in np.unique(sizes[sizes > 0]):
+                n = round(float(size) ** 0.5)
+                at = np.flatnonzero(sizes == size)
+                if n * n == size:
+                    for i, x in zip(at, of(np.array([np.asarray(b.iloc[i], float) for i in at]).reshape(-1, n, n)), strict=True):
+                        out[i] = x
+            yield pd.Series(out)
 
     return apply(flat)

@@ -8,10 +8,14 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code point ranges of ideographs, and the pattern of pre-tokens.
+# The code point ranges of ideographs, the pattern of pre-tokens, the runs of marks that stand apart in
+# standardised text, and the marks that are made plain there.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+RUNS = r"(-+|~+|!+|\"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)"
+PLAIN = {"—": "-", "–": "-", "―": "-", "…": "...", "´": "'"}
+
 
 def clean(text: Column) -> Column:
     """Without NUL, U+FFFD and control characters; each white space becomes a space."""
@@ -62,8 +66,10 @@ def pre_tokens(text: Column) -> Column:
 
 def standardise(text: Column) -> Column:
     """Plain dashes, ellipses and quotes, spaces around runs of symbols and line ends, single spaces."""
-    out = F.translate(text, "—–―…´", "---.'")
-    out = F.regexp_replace(out, r"(-+|~+|!+|\"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)", " $1 ")
+    out = text
+    for mark, plain in PLAIN.items():
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    out = F.regexp_replace(out, RUNS, " $1 ")
     out = F.regexp_replace(out, r"\s*\n\s*", " \n ")
     return F.trim(F.regexp_replace(out, r"[^\S\n]+", " "))
 
@@ -76,3 +82,17 @@ def clock(seconds: Column, offset_hours: int = 8) -> Column:
     """HH:MM:SS of an epoch in seconds at a fixed offset."""
     s = F.pmod(seconds.cast("long") + offset_hours * 3600, F.lit(86400))
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+# What is tidied up, in this order, in text that was joined from pieces.
+TIDY = (
+    ("<unk>", ""), (" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"),
+)
+
+
+def joined_pieces(pieces: Column, end: str = "</w>", tidy: bool = True) -> Column:
+    """The text of pieces whose last in a word carries an end mark."""
+    out = F.trim(F.replace(F.array_join(pieces, ""), F.lit(end), F.lit(" ")))
+    for a, b in TIDY if tidy else ():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

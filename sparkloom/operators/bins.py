@@ -27,3 +27,17 @@ def quantile_uniform(df: DataFrame, column: str, name: str = "u") -> DataFrame:
     n = df.agg(F.count(column).alias("_n"))
     u = F.try_divide(F.col("below") + (F.col("same") - 1) / 2, F.col("_n") - 1)
     return df.join(ranks, column, "left").crossJoin(F.broadcast(n)).withColumn(name, u).select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row of q0, q1, ...: exact quantiles with linear interpolation, nulls and NaNs left out; null without values."""
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("_x"))
+    n = values.agg(F.count(F.lit(1)).alias("_n"))
+    at = value_ranks(values, "_x").crossJoin(F.broadcast(n))
+    holds = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("same")), F.col("_x")))
+    out = []
+    for i, q in enumerate(shares):
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        low = F.floor(place)
+        out += [holds(low).alias(f"_l{i}"), holds(F.ceil(place)).alias(f"_h{i}"), F.max(place - low).alias(f"_p{i}")]
+    return at.agg(*out).select(*[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_p{i}")).alias(f"q{i}") for i in range(len(shares))])

@@ -151,10 +151,17 @@ def linear(w: np.ndarray, features: list[str]) -> Column:
     return sum((F.lit(float(x)) * F.col(c) for x, c in zip(w[1:], features, strict=True) if x), F.lit(float(w[0])))
 
 
+def parts_of(features: list[str], w: np.ndarray, means: np.ndarray) -> Column:
+    """Contributions of a linear model as an array of (feature, phi, value) for each row."""
+    return F.array(*[
+        F.struct(F.lit(c).alias("feature"), (F.lit(float(x)) * (F.col(c) - F.lit(float(a)))).alias("phi"), F.col(c).cast("double").alias("value"))
+        for c, x, a in zip(features, w[1:], means, strict=True)
+    ])
+
+
 def contributions(df: DataFrame, key: str, features: list[str], w: np.ndarray, means: np.ndarray) -> DataFrame:
     """(key, feature, phi, value) of a linear model: weight times the distance from the feature's mean."""
-    parts = [F.struct(F.lit(c).alias("feature"), (F.lit(float(x)) * (F.col(c) - F.lit(float(a)))).alias("phi"), F.col(c).cast("double").alias("value")) for c, x, a in zip(features, w[1:], means, strict=True)]
-    return df.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.*")
+    return df.select(key, F.explode(parts_of(features, w, means)).alias("x")).select(key, "x.*")
 
 
 @dataclass

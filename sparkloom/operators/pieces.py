@@ -1,14 +1,19 @@
-"""Words cut into pieces of a vocabulary."""
+"""Words cut into pieces of a vocabulary: each distinct word once, then joined back to where it stands."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranking import sent
+
 MARK, UNK, LONGEST = "##", "[UNK]", 100
+#: Entries that a vocabulary which is sent to all tasks may have.
+MOST_ENTRIES = 2_000_000
 
 
 def cut(word: str, vocab: set[str], longest: int = LONGEST) -> list[str]:
@@ -24,23 +29,108 @@ def cut(word: str, vocab: set[str], longest: int = LONGEST) -> list[str]:
     return out or [UNK]
 
 
-def word_pieces(df: DataFrame, key: str, tokens: Column, vocab: Iterable[str]) -> DataFrame:
-    """key and pieces of each row's tokens, in order; no tokens give no pieces.
+def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Joins the neighbouring pair of least rank, wherever it stands, until no pair has a rank."""
+    while len(symbols) > 1:
+        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))  # noqa: B905
+        if best not in ranks:
+            break
+        out: list[str] = []
+        joined = False
+        for s in symbols:
+            # a symbol that ended a pair doesn't begin the next
+            if out and (out[-1], s) == best and not joined:
+                out[-1], joined = out[-1] + s, True
+            else:
+                out.append(s)
+                joined = False
+        symbols = out
+    return symbols
+
+
+# Bytes stand as the letters of Latin-1 that print; the others take the letters from 256 on.
+def byte_letters() -> list[str]:
+    """The letter of each byte."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    free = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
+
 
-    vocab is a tokenizer's list, sent to each task. A worker cuts a word once for a batch.
+def by_word(df: DataFrame, key: str, words: Column, made: Callable[[], Callable[[str], list]], kind: str) -> DataFrame:
+    """key and pieces, the results of all words of a row, in order; made() gives, in a task, what makes a word's.
+
+    A word is worked on once, wherever it occurs.
     """
-    known = df.sparkSession.sparkContext.broadcast(frozenset(vocab))
-
-    @F.pandas_udf("array<string>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            seen: dict[str, list[str]] = {}
-            rows = []
-            for words in batch:
-                for w in words:
-                    if w not in seen:
-                        seen[w] = cut(w, known.value)
-                rows.append([p for w in words for p in seen[w]])
-            yield pd.Series(rows)
-
-    return df.select(key, pieces(tokens).alias("pieces"))
+    placed = df.select(key, F.posexplode(words).alias("_p", "_w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = made()
+        for b in batches:
+            yield pd.DataFrame({"_w": b["_w"], "_x": [of(w) for w in b["_w"]]})
+
+    cuts = placed.select("_w").distinct().mapInPandas(run, f"_w string, _x array<{kind}>")
+    rows = placed.join(cuts, "_w").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"])).alias("pieces"))
+    none = F.array().cast(f"array<{kind}>")
+    return df.select(key).join(rows, key, "left").select(key, F.coalesce("pieces", none).alias("pieces"))
+
+
+def _sent(df: DataFrame, known):
+    if len(known) > MOST_ENTRIES:
+        raise ValueError("the vocabulary is too large to be sent to all tasks")
+    return df.sparkSession.sparkContext.broadcast(known)
+
+
+def word_pieces(df: DataFrame, key: str, tokens: Column, vocab) -> DataFrame:
+    """key and pieces of each row's tokens, in order; no tokens give no pieces. vocab is a tokenizer's list."""
+    known = _sent(df, frozenset(vocab))
+    return by_word(df, key, tokens, lambda: lambda w: cut(w, known.value), "string")
+
+
+def merged_pieces(df: DataFrame, key: str, words: Column, merges: list[tuple[str, str]], *, end: str | None = None) -> DataFrame:
+    """key and pieces of each row's words by merges in the order of their ranks: of the letters of a word's bytes, or, with
+    an end mark, of its characters, the last of which carries the mark."""
+    ranks = _sent(df, {p: i for i, p in enumerate(merges)})
+
+    def made():
+        letters = byte_letters()
+
+        def of(word: str) -> list[str]:
+            symbols = [letters[b] for b in word.encode()] if end is None else [*word[:-1], word[-1:] + end]
+            return merge(symbols, ranks.value)
+
+        return of
+
+    return by_word(df, key, words, made, "string")
+
+
+def decode_bytes(pieces: Column) -> Column:
+    """The text of byte-level pieces that make whole characters: letters back to bytes."""
+    letters = byte_letters()
+    moved = [(c, chr(b)) for b, c in enumerate(letters) if ord(c) >= 256 and b]  # translate takes a NUL for nothing
+    shifted = F.translate(F.array_join(pieces, ""), "".join(c for c, _ in moved), "".join(b for _, b in moved))
+    shifted = F.replace(shifted, F.lit(letters[0]), F.lit("\0"))
+    return F.decode(F.encode(shifted, "ISO-8859-1"), "UTF-8")
+
+
+def read_merges(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """The vocabulary and the merges, best first, of a tokenizer's JSON file."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    return model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
+
+def ids_of(df: DataFrame, key: str, pieces: str, vocab: dict[str, int], unknown: int = 0) -> DataFrame:
+    """key and ids of each row's pieces, in order; a piece that the vocabulary lacks gets `unknown`."""
+    spark = df.sparkSession
+    table = spark.createDataFrame(list(vocab.items()), "_x string, _id int")
+    rows = df.select(key, F.posexplode(pieces).alias("_p", "_x")).join(sent(table), "_x", "left")
+    found = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_id", F.lit(unknown)).alias("_id")))), lambda e: e["_id"]).alias("ids"))
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def tokens_of(df: DataFrame, key: str, ids: str, vocab: dict[str, int], skip: tuple[int, ...] = ()) -> DataFrame:
+    """key and tokens of each row's ids, in order, without those to skip."""
+    table = df.sparkSession.createDataFrame([(i, t) for t, i in vocab.items()], "_id int, _x string")
+    rows = df.select(key, F.posexplode(F.filter(ids, lambda i: ~i.isin(*skip)) if skip else F.col(ids)).alias("_p", "_id")).join(sent(table), "_id")
+    found = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias("tokens"))
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))

@@ -32,7 +32,7 @@ def sample_by_label(df: DataFrame, key: str, label: str, ratios: dict, seed: int
     Ratios up to 1 draw without replacement, the first ranks of the hash; higher ones draw with replacement, each draw
     by its own number. Draws are spread over tasks in steps, so a large label isn't drawn in one task.
     """
-    n = F.broadcast(sizes(df, label, ratios))  # a row for each label
+    n = ranking.sent(sizes(df, label, ratios))  # a row for each label
     rows = ranked(df, key, label, seed).join(n, label)
     under = rows.where((F.col("size") <= F.col("rows")) & (F.col("rank") < F.col("size"))).withColumn("copies", F.lit(1).cast("long"))
     steps = n.where(F.col("size") > F.col("rows")).select(label, "rows", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {STEP})")).alias("_step"))
@@ -62,5 +62,5 @@ def split(df: DataFrame, key: str, ratios: list[float], by: list[str] | None = N
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sums = [round(sum(ratios[: i + 1]), 12) for i in range(len(ratios) - 1)]
     part = sum(((F.col("rank") >= F.floor(F.col("_n") * s)).cast("int") for s in sums), F.lit(0))
-    joined = rows.join(F.broadcast(n), by) if by else rows.crossJoin(F.broadcast(n))
+    joined = rows.join(ranking.sent(n), by) if by else rows.crossJoin(F.broadcast(n))
     return joined.withColumn("part", part).drop("rank", "_n")

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Trials, or checks of one run, that are folded in order: each depends on the one before.
+MOST_TRIALS = 1_000_000
+
+
+def _bounded(items: Column) -> Column:
+    """items, or an error where they are more than can be folded in one task."""
+    return F.when(F.size(items) <= MOST_TRIALS, items).otherwise(F.raise_error(F.lit("too many trials to fold in order")))
+
 
 def best_trial(trials: DataFrame, err: float = 0.0) -> DataFrame:
     """The best of (trial, effect, seconds) in the order of trial: a better effect wins, and within err a faster trial.
 
-    The outcome depends on the order. Trials are candidates, few enough to be gathered and folded as one array.
+    Without err the best is a maximum. With it the outcome depends on the order, and at most MOST_TRIALS are folded.
     """
     one = F.struct("trial", "effect", "seconds")
+    if not err:
+        best = F.max_by(one, F.struct("effect", -F.col("seconds"), -F.col("trial")))
+        return trials.agg(best.alias("b")).where("b is not null").select("b.*")
     better = lambda a, t: (t["effect"] > a["effect"] + err) | ((F.abs(t["effect"] - a["effect"]) <= err) & (t["seconds"] < a["seconds"]))
-    ordered = trials.agg(F.array_sort(F.collect_list(one)).alias("x"))
+    ordered = trials.agg(_bounded(F.array_sort(F.collect_list(one))).alias("x"))
     return ordered.select(F.aggregate(F.slice("x", 2, 2**30), F.element_at("x", 1), lambda a, t: F.when(better(a, t), t).otherwise(a)).alias("b")).select("b.*")
 
 
@@ -27,7 +38,7 @@ def sigmoid_weights(df: DataFrame, value: str) -> DataFrame:
 def early_stop(checks: DataFrame, patience: int, compare: str = "best") -> DataFrame:
     """stop_at and best of (step, metric): the first step with `patience` checks in a row that don't improve.
 
-    compare: with the `best` so far, or with the `previous` check.
+    compare: with the `best` so far, or with the `previous` check. A run has at most MOST_TRIALS checks.
     """
     zero = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"), F.lit(None).cast("double").alias("best"))
 
@@ -38,7 +49,7 @@ def early_stop(checks: DataFrame, patience: int, compare: str = "best") -> DataF
         then = F.struct(ref.alias("ref"), bad.alias("bad"), F.when(bad >= patience, c["step"].cast("long")).alias("stop"), F.greatest(a["best"], c["metric"]).alias("best"))
         return F.when(a["stop"].isNotNull(), a).otherwise(then)
 
-    return checks.agg(F.array_sort(F.collect_list(F.struct("step", "metric"))).alias("x")).select(F.aggregate("x", zero, step).alias("r")).select(F.col("r.stop").alias("stop_at"), F.col("r.best").alias("best"))
+    return checks.agg(_bounded(F.array_sort(F.collect_list(F.struct("step", "metric")))).alias("x")).select(F.aggregate("x", zero, step).alias("r")).select(F.col("r.stop").alias("stop_at"), F.col("r.best").alias("best"))
 
 
 def top_contributions(phi: DataFrame, row: str, k: int, strategy: str = "max", score: str | None = None, threshold: float = 0.5) -> DataFrame:
@@ -52,6 +63,17 @@ def top_contributions(phi: DataFrame, row: str, k: int, strategy: str = "max", s
     return phi.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_of_row(parts: Column, k: int, strategy: str = "max", score: Column | None = None, threshold: float = 0.5) -> Column:
+    """As top_contributions, of a row's array of structs with feature and phi: a sort of the array, without a shuffle."""
+    order = {"max": lambda x: -x["phi"], "min": lambda x: x["phi"], "abs": lambda x: -F.abs(x["phi"])}
+    if strategy == "threshold":
+        by = lambda x: F.when(score >= threshold, order["max"](x)).otherwise(order["min"](x))
+    else:
+        by = order[strategy]
+    keyed = F.array_sort(F.transform(parts, lambda x: F.struct(by(x).alias("k"), x["feature"].alias("f"), x.alias("x"))))
+    return F.transform(F.slice(keyed, 1, k), lambda e: e["x"])
+
+
 def grouped(phi: DataFrame, row: str, groups: dict[str, list[str]]) -> DataFrame:
     """Adds group and group_phi, the sum of the row's contributions of the feature's group.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ranking import running_totals
+from sparkloom.operators.ranking import numbered, running_totals
 
 
 def bio_tags(df: DataFrame, key: str, length: str, spans: str) -> DataFrame:
@@ -69,15 +69,44 @@ def streams(ids: Column, count: int) -> Column:
 
 
 def length_batches(df: DataFrame, key: str, length: str, size: int) -> DataFrame:
-    """key, length, batch_id and longest: batches of rows in the order of falling length, ties by key.
-
-    Rows are numbered within a length; where lengths start comes from counts. A length that very many rows share is
-    numbered in one task.
-    """
-    by = df.groupBy(length).agg(F.count(F.lit(1)).alias("_same")).withColumn("_down", -F.col(length))
-    start = running_totals(by, "_down", {"_start": "_same"}).select(length, "_start")
-    within = F.row_number().over(Window.partitionBy(length).orderBy(key))
-    rows = df.select(key, length).withColumn("_row", within - 1).join(start, length)
-    out = rows.withColumn("batch_id", F.floor((F.col("_start") + F.col("_row")) / size).cast("long"))
+    """key, length, batch_id and longest: batches of rows in the order of falling length, ties by key."""
+    rows = numbered(df.select(key, length), [-F.col(length), F.col(key)], "_row")
+    out = rows.withColumn("batch_id", F.floor(F.col("_row") / size).cast("long"))
     longest = out.groupBy("batch_id").agg(F.max(length).alias("longest"))
     return out.join(longest, "batch_id").select(key, length, "batch_id", "longest")
+
+
+def context_chunks(ids: Column, size: int, before: int) -> Column:
+    """(start, data, target) of chunks of `size` ids that have a next one: data begins up to `before` ids earlier."""
+    n = F.size(ids) - 1
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
+    piece = lambda low, high: F.slice(ids, low + 1, F.greatest(high - low, F.lit(0)))
+    end = lambda i: F.least(i + size, n)
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), piece(F.greatest(i - before, F.lit(0)), end(i)).alias("data"), piece(i + 1, end(i) + 1).alias("target")))
+
+
+def variable_chunks(length: Column, drawn) -> Column:
+    """(start, n) of chunks of a sequence of this length: the k-th has drawn(k) ids, or what is left but for the last id."""
+    last = (length - 1).cast("long")
+    none = F.array().cast("array<struct<start:bigint,n:bigint>>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def step(a: Column, k: Column) -> Column:
+        n = F.least(drawn(k).cast("long"), last - a["at"])
+        more = F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), n.alias("n"))))
+        return F.when(a["at"] < last, F.struct((a["at"] + n).alias("at"), more.alias("out"))).otherwise(a)
+
+    return F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last.cast("int") - 1), zero, step, lambda a: a["out"]))
+
+
+def filled_batches(df: DataFrame, stream: str, order: list[str], size: str, width: int) -> DataFrame:
+    """stream, batch, the row's order and tokens: how many of a row's `size` ids each batch of `width` ids of its stream
+    takes; streams are filled in order, all of them at once over ranges of rows."""
+    at = running_totals(df, [F.col(stream), *map(F.col, order)], {"_before": size})
+    first = df.groupBy(stream).agg(F.sum(size).alias("_n"))
+    starts = running_totals(first, stream, {"_first": "_n"}).select(stream, "_first")
+    placed = at.join(starts, stream).withColumn("_at", F.col("_before") - F.col("_first"))
+    last = F.floor((F.col("_at") + F.col(size) - 1) / width)
+    rows = placed.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_at") / width), last)))
+    taken = F.least(F.col("_at") + F.col(size), (F.col("batch") + 1) * width) - F.greatest(F.col("_at"), F.col("batch") * width)
+    return rows.select(stream, "batch", *order, taken.alias("tokens"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import learners as L
+from sparkloom.operators import logistic as G
 from sparkloom.operators import search as S
 from sparkloom.operators import selection as C
+from sparkloom.operators import trials as U
 from sparkloom.plans.base import query, table
 
 NUM = ["l_quantity", "l_discount", "l_tax"]
@@ -117,9 +118,10 @@ def linear_phi(spark, sf):
 def top_threshold(spark, sf):
     d = _lines(spark, sf).withColumn("row", F.concat_ws("/", *KEYS))
     m = L.total(L.moments(d, NUM, "l_extendedprice"))
-    w = L.fit(m, (0, 1, 2))
-    phi = L.contributions(d, "row", NUM, w, m[0, 1:-1] / m[0, 0]).withColumn("base", F.sum("phi").over(Window.partitionBy("row")))
-    return C.top_contributions(phi, "row", 2, "threshold", "base", 0.0).select("row", "feature", "rank", "phi")
+    phi = d.select("row", L.parts_of(NUM, L.fit(m, (0, 1, 2)), m[0, 1:-1] / m[0, 0]).alias("parts"))
+    base = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["phi"])
+    top = phi.withColumn("base", base).select("row", F.posexplode(C.top_of_row(F.col("parts"), 2, "threshold", F.col("base"), 0.0)).alias("rank", "x"))
+    return top.select("row", "x.feature", (F.col("rank") + 1).alias("rank"), "x.phi")
 
 
 @query("""WITH s AS (SELECT unnest(range(1000))::BIGINT AS step), p AS (SELECT step, step / 1000.0::DOUBLE AS x, 0.1::DOUBLE AS w FROM s)
@@ -180,3 +182,59 @@ def restart_schedules(spark, sf):
     h, u = (x - 0.1) / 0.9 * 4, x * 4 - F.floor(x * 4)
     half = lambda v: 0.5 * (1 + F.cos(F.pi() * v))
     return spark.range(1000).select(F.col("id").alias("step"), F.round(F.when(x < 0.1, x / 0.1).otherwise(half(h - F.floor(h + 1e-9))), 6).alias("hard"), F.round(F.when(u < 0.1, u / 0.1).otherwise(half((u - 0.1) / 0.9)), 6).alias("warm"))
+
+
+def _returned(spark, sf):
+    """Whether a line was returned, and a row's own number for each order."""
+    return _lines(spark, sf).withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+
+
+@query()
+def logistic_cv(spark, sf):
+    """Log loss of each held-out fold; a step reads the data once for all folds."""
+    d = _returned(spark, sf)
+    models = G.fit(d, NUM, "y", fold=_fold())
+    return d.groupBy(_fold().alias("fold")).agg(F.round(G.log_loss(G.out_of_fold(models, NUM, _fold()), F.col("y")), 6).alias("log_loss"))
+
+
+@query()
+def stack_classifier(spark, sf):
+    """Two logistic bases' out-of-fold probabilities, and a logistic model on these."""
+    d = _returned(spark, sf)
+    bases = [NUM[:1], NUM]
+    by_fold = [G.fit(d, b, "y", fold=_fold()) for b in bases]
+    meta = d.withColumns({f"p{i}": G.out_of_fold(m, b, _fold()) for i, (m, b) in enumerate(zip(by_fold, bases, strict=True))})
+    w = G.fit(meta, ["p0", "p1"], "y")[0]
+    return meta.select(*KEYS, F.round(G.probability(w, ["p0", "p1"]), 6).alias("p"))
+
+
+def _logistic(params, x, y):
+    return G.fit_rows(x, y, params["alpha"])
+
+
+def _predicted(w, x):
+    return 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+
+
+def _accuracy(y, p):
+    return float(((p > 0.5) == (y > 0.5)).mean())
+
+
+def _balances(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
+    return table(spark, sf, "customer").join(o, "c_custkey").select("c_custkey", "n", "mean", "most", (F.col("most") > 250000).cast("int").alias("y"))
+
+
+@query()
+def distributed_param_search(spark, sf):
+    """A grid tried by a learner that needs rows, candidates by folds in tasks."""
+    t = U.evaluate(_balances(spark, sf), "c_custkey", ["n", "mean"], "y", U.grid({"alpha": [0.01, 1.0, 100.0]}), _logistic, _predicted, _accuracy)
+    return t.select("candidate", "params", "fold", F.round("effect", 6).alias("effect"))
+
+
+@query()
+def distributed_feature_search(spark, sf):
+    """Random subsets of features, each candidate with its own, on one holdout."""
+    candidates = [{**c, "alpha": 1.0} for c in U.subsets(["n", "mean", "most"], 1, 6, 1)]
+    t = U.evaluate(_balances(spark, sf), "c_custkey", ["n", "mean", "most"], "y", candidates, _logistic, _predicted, _accuracy, holdout=0.3)
+    return t.select("candidate", "params", F.round("effect", 6).alias("effect"))

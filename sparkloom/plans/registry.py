@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import dense, learning, sampling, sequence, tabular, text
+from sparkloom.plans import dense, files, learning, rows, sampling, sequence, tabular, text
 from sparkloom.plans.base import ORACLES, QUERIES, Query
 
-MODULES = (tabular, text, sequence, sampling, learning, dense)
+MODULES = (tabular, text, sequence, sampling, learning, dense, files, rows)
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays as A
+from sparkloom.operators import bins as B
 from sparkloom.operators import profile as P
 from sparkloom.operators import ranking as R
 from sparkloom.operators import scoring as S
@@ -136,7 +137,7 @@ def standardize_minmax_log_poly(spark, sf):
 @query("WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.75) AS b FROM customer) SELECT round(a - 1.5 * (b - a), 6) AS low, round(b + 1.5 * (b - a), 6) AS high, count(*) FILTER (WHERE c_acctbal < a - 1.5 * (b - a) OR c_acctbal > b + 1.5 * (b - a)) AS n_out FROM customer, q GROUP BY a, b")
 def iqr_outliers(spark, sf):
     c = table(spark, sf, "customer")
-    q = c.agg(F.percentile("c_acctbal", 0.25).alias("a"), F.percentile("c_acctbal", 0.75).alias("b"))
+    q = B.quantiles(c, "c_acctbal", [0.25, 0.75]).toDF("a", "b")
     low, high = F.col("a") - 1.5 * (F.col("b") - F.col("a")), F.col("b") + 1.5 * (F.col("b") - F.col("a"))
     return c.crossJoin(F.broadcast(q)).groupBy(r6(low).alias("low"), r6(high).alias("high")).agg(F.count_if((F.col("c_acctbal") < low) | (F.col("c_acctbal") > high)).alias("n_out"))
 
@@ -322,24 +323,29 @@ def early_stop_point(spark, sf):
     return C.early_stop(_trials(spark, sf).select(F.col("trial").alias("step"), F.col("effect").alias("metric")), 3)
 
 
-_PHI = "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'feature': 'l_quantity', 'phi': round(1500 * (l_quantity - q), 6), 'value': l_quantity}, {'feature': 'l_discount', 'phi': round(90000 * (l_discount - d), 6), 'value': l_discount}, {'feature': 'l_tax', 'phi': round(-90000 * (l_tax - t), 6), 'value': l_tax}], recursive := true) FROM lineitem, m), "
+_PHI = "WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), p AS (SELECT rid, l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'feature': 'l_quantity', 'phi': round(1500 * (l_quantity - q), 6), 'value': l_quantity}, {'feature': 'l_discount', 'phi': round(90000 * (l_discount - d), 6), 'value': l_discount}, {'feature': 'l_tax', 'phi': round(-90000 * (l_tax - t), 6), 'value': l_tax}], recursive := true) FROM (SELECT *, row_number() OVER () AS rid FROM lineitem), m), "
 
 
-def _phi(spark, sf):
+def _parts(spark, sf):
     li = table(spark, sf, "lineitem")
     m = li.agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
     parts = [("l_quantity", 1500.0, "q"), ("l_discount", 90000.0, "d"), ("l_tax", -90000.0, "t")]
-    phi = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), r6(w * (F.col(f) - F.col(c))).alias("phi"), F.col(f).alias("value")) for f, w, c in parts]))
+    phi = F.array(*[F.struct(F.lit(f).alias("feature"), r6(w * (F.col(f) - F.col(c))).alias("phi"), F.col(f).alias("value")) for f, w, c in parts])
     key = F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row")
-    return li.crossJoin(F.broadcast(m)).select(key, phi.alias("x")).select("row", "x.*")
+    return li.crossJoin(F.broadcast(m)).select(key, phi.alias("parts"))
+
+
+def _phi(spark, sf):
+    return _parts(spark, sf).select("row", F.explode("parts").alias("x")).select("row", "x.*")
 
 
 def _top_sql(order):
-    return _PHI + f"r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY {order}, feature) AS rank FROM p) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, feature, rank::INT AS rank, round(phi, 4) AS phi FROM r WHERE rank <= 2"
+    return _PHI + f"r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY {order}, feature) AS rank FROM p) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, feature, rank::INT AS rank, round(phi, 4) AS phi FROM r WHERE rank <= 2"
 
 
 def _top(spark, sf, strategy):
-    return C.top_contributions(_phi(spark, sf), "row", 2, strategy).select("row", "feature", "rank", F.round("phi", 4).alias("phi"))
+    top = _parts(spark, sf).select("row", F.posexplode(C.top_of_row(F.col("parts"), 2, strategy)).alias("rank", "x"))
+    return top.select("row", "x.feature", (F.col("rank") + 1).alias("rank"), F.round("x.phi", 4).alias("phi"))
 
 
 @query(_top_sql("phi DESC"))
@@ -373,9 +379,10 @@ def group_quota(spark, sf):
     return C.top_by_group(_phi(spark, sf), "row", 3, _GROUPS).select("row", "feature", F.col("group").alias("grp"), F.round("phi", 4).alias("phi"))
 
 
-@query(_PHI + "r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY abs(phi) DESC, feature) AS k FROM p) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, string_agg(feature || ' value is ' || value::VARCHAR, ',' ORDER BY k) AS reason FROM r WHERE k <= 2 GROUP BY ALL")
+@query(_PHI + "r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(phi) DESC, feature) AS k FROM p) SELECT concat_ws('/', any_value(l_orderkey), any_value(l_partkey), any_value(l_suppkey), any_value(l_linenumber)) AS row, string_agg(feature || ' value is ' || value::VARCHAR, ',' ORDER BY k) AS reason FROM r WHERE k <= 2 GROUP BY rid")
 def reason_string(spark, sf):
-    return C.reason(C.top_contributions(_phi(spark, sf), "row", 2, "abs"), "row", "value")
+    phrase = lambda x: F.concat(x["feature"], F.lit(" value is "), x["value"].cast("string"))
+    return _parts(spark, sf).select("row", F.array_join(F.transform(C.top_of_row(F.col("parts"), 2, "abs"), phrase), ",").alias("reason"))
 
 
 _L = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -420,7 +427,9 @@ def elementwise_math(spark, sf):
 @query("SELECT round(covar_samp(l_quantity, l_extendedprice), 2) AS cov, round(corr(l_quantity, l_extendedprice), 6) AS cor, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS wavg FROM lineitem")
 def column_statistics(spark, sf):
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").agg(F.round(F.covar_samp(q, x), 2).alias("cov"), r6(F.corr(q, x)).alias("cor"), F.round(F.percentile(x, 0.75), 4).alias("p75"), F.round(F.sum(q * x) / F.sum(q), 4).alias("wavg"))
+    li = table(spark, sf, "lineitem")
+    one = li.agg(F.round(F.covar_samp(q, x), 2).alias("cov"), r6(F.corr(q, x)).alias("cor"), F.round(F.sum(q * x) / F.sum(q), 4).alias("wavg"))
+    return one.crossJoin(B.quantiles(li, "l_extendedprice", [0.75]).select(F.round("q0", 4).alias("p75"))).select("cov", "cor", "p75", "wavg")
 
 
 @query("WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier) SELECT 'union' AS op, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'diff', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'xor', k FROM ((SELECT k FROM a EXCEPT SELECT k FROM b) UNION (SELECT k FROM b EXCEPT SELECT k FROM a))")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranking import numbered
+
 SPANS = "map<string,map<string,array<array<int>>>>"
 
 
@@ -48,6 +53,66 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("text", F.flatten(kinds).alias("spans"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that driver and executors share; a local one only in a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return f"{folder}/files-{uuid.uuid4().hex}"
+
+
+def text_table(lines: DataFrame) -> str:
+    """Writes a column `value` as lines; where they are."""
+    path = scratch(lines.sparkSession)
+    lines.write.text(path)
+    return path
+
+
+def _in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place: file, block of the file and line in the block."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.trim("value").alias("line"), at.alias("at"))
+
+
+def read_word_list(spark: SparkSession, path: str) -> DataFrame:
+    """token and id, from 1 in the order of first lines, of files with one word a line; blank lines and repeats don't count."""
+    first = _in_order(spark, path).where("line <> ''").groupBy(F.col("line").alias("token")).agg(F.min("at").alias("at"))
+    return numbered(first, [F.col("at.file"), F.col("at.block"), F.col("at.line")], "id", 1).select("token", "id")
+
+
+def write_word_list(vocab: DataFrame, path: str) -> None:
+    """Tokens as lines in the order of their ids, in files whose names have that order."""
+    vocab.orderBy("id").select(F.col("token").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """code, description and label, the index from 0 in the order of lines {"label": code, "label_desc": description}."""
+    lines = _in_order(spark, path).where("line <> ''").select("at", F.from_json("line", "label string, label_desc string").alias("x"))
+    rows = lines.select("at", F.col("x.label").alias("code"), F.col("x.label_desc").alias("description"))
+    return numbered(rows, [F.col("at.file"), F.col("at.block"), F.col("at.line")], "label").select("code", "description", "label")
+
+
+def read_line_set(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct lines, trimmed."""
+    return spark.read.text(path).select(F.trim("value").alias("line")).distinct()
+
+
+def stage(parts: dict[str, DataFrame | None], method: str = "parquet") -> dict[str, str | None]:
+    """Writes the parts that there are, without header if as csv; where each is."""
+    out: dict[str, str | None] = {}
+    for name, df in parts.items():
+        out[name] = None if df is None else f"{scratch(df.sparkSession)}-{name}"
+        if df is not None:
+            df.write.format(method).save(out[name])
+    return out
+
+
+def read_matrix(spark: SparkSession, path: str, method: str = "parquet") -> DataFrame:
+    return spark.read.csv(path, header=False, inferSchema=True) if method == "csv" else spark.read.format(method).load(path)
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """token and id of a saved vocabulary."""
     return spark.read.schema("token string, id long").parquet(path)

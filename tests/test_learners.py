@@ -53,3 +53,50 @@ def test_ensembles(data):
     bags = L.bag(L.moments(df, NAMES, "y", F.col("id") % 16), 5, None)
     assert np.mean(bags, axis=0) == pytest.approx(least_squares(x, y), abs=0.05)
     assert L.vote_weights([0.0, 0.0]).tolist() == [0.5, 0.5]
+
+
+def test_logistic_learner_from_sums_is_that_from_rows(spark):
+    """Each fold's model, and one of all rows; the derivatives of its loss vanish."""
+    from sparkloom.operators import logistic
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2)) * [1.0, 50.0] + [0.0, 300.0]
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x[:, 0] + (x[:, 1] - 300) / 50)))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))] + [(-1, None, 1.0, 1)], "k long, a double, b double, y int")
+    models = logistic.fit(df, ["a", "b"], "y", alpha=0.0, fold=F.col("k") % 3)
+    at = np.arange(600) % 3
+    for f in range(3):
+        assert models[f] == pytest.approx(logistic.fit_rows(x[at != f], y[at != f], 0.0), rel=1e-4)
+    w = logistic.fit(df, ["a", "b"], "y", alpha=0.0)[0]
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.abs(np.c_[np.ones(600), x].T @ (p - y)).max() < 1e-3
+    got = df.where("k >= 0").agg(logistic.log_loss(logistic.probability(w, ["a", "b"]), F.col("y"))).first()[0]
+    assert got == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+
+def test_trials_in_tasks_are_those_of_a_loop(spark):
+    from sparkloom.operators import logistic, selection, trials
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 0] + 0.3 * rng.normal(size=200) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y, strict=True))], "k long, a double, b double, c double, y int")
+    fit = lambda p, x, y: logistic.fit_rows(x, y, p["alpha"])
+    predict = lambda w, x: w[0] + x @ w[1:]
+    metric = lambda y, z: float(((z > 0) == (y > 0.5)).mean())
+    candidates = [{"alpha": 1.0, "features": ["a"]}, {"alpha": 1.0, "features": ["b", "c"]}, {"alpha": 10.0}]
+    rows = trials.evaluate(df, "k", ["a", "b", "c"], "y", candidates, fit, predict, metric, folds=4)
+    got = {(r.candidate, r.fold): r.effect for r in rows.collect()}
+    import hashlib
+
+    rank = np.argsort(np.argsort([hashlib.md5(f"{i}-42".encode()).hexdigest() for i in range(200)]))
+    for c, own in enumerate(([0], [1, 2], [0, 1, 2])):
+        for f in range(4):
+            held = rank % 4 == f
+            w = logistic.fit_rows(x[~held][:, own], y[~held], candidates[c]["alpha"])
+            assert got[c, f] == pytest.approx(metric(y[held], predict(w, x[held][:, own])))
+    assert selection.best_trial(trials.summary(rows), 0.02).first().trial in (0, 2)
+    one = trials.evaluate(df, "k", ["a", "b", "c"], "y", candidates, fit, predict, metric, holdout=0.25, update=lambda w, p: {"weights": len(w)})
+    assert [r.fold for r in one.collect()] == [0, 0, 0] and '"weights": 2' in one.where("candidate = 0").first().params
+    with pytest.raises(ValueError):
+        trials.subsets(["a"], 0, 1)

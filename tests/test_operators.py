@@ -151,3 +151,56 @@ def test_tagged_lines(spark, tmp_path):
     files.write_json_lines(spans.select(files.surfaces(F.col("text"), F.col("s")).alias("label")), f"{tmp_path}/o")
     out = json.loads(spark.read.text(f"{tmp_path}/o").first()[0])
     assert out == {"label": {"name": {"Bob": [[0, 2], [9, 11]]}, "city": {"Rome": [[4, 7]]}}}
+
+
+def test_byte_level_pieces_are_those_of_the_tokenizers_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    vocab, merges = P.read_merges(path)
+    texts = ["Hello there, it's 2024!", "  naïve café\n\tdéjà vu", "東京 \U0001f600 Straße", "", "aaaaaaaaaaaaaaaa bbbb", "x\x00y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    pieces = P.merged_pieces(df, "k", T.pre_tokens(F.col("text")), merges)
+    ids = P.ids_of(pieces, "k", "pieces", vocab)
+    tok = Tokenizer.from_file(path)
+    assert {r.k: list(r.ids) for r in ids.collect()} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    back = P.tokens_of(ids, "k", "ids", vocab).select("k", P.decode_bytes(F.col("tokens")).alias("t"))
+    assert {r.k: r.t for r in back.collect()} == dict(enumerate(texts))
+    assert P.byte_letters()[ord("a")] == "a" and len(set(P.byte_letters())) == 256
+
+
+def test_merges_join_the_best_pair_everywhere():
+    ranks = {("a", "a"): 0, ("aa", "b"): 1, ("b", "c"): 2}
+    assert P.merge(list("aaab"), ranks) == ["aa", "a", "b"]
+    assert P.merge(list("aabaab"), ranks) == ["aab", "aab"]
+    assert P.merge(list("aabc"), ranks) == ["aab", "c"]
+    assert P.merge(["x"], ranks) == ["x"] and P.merge([], ranks) == []
+
+
+def test_standardised_text(spark):
+    df = spark.createDataFrame([("wait… it´s — done\n\n next  (x)",)], "t string")
+    assert df.select(T.standardise(F.col("t"))).first()[0] == "wait... it's - done \n next ( x )"
+
+
+def test_word_lists_and_labels(spark, tmp_path):
+    (tmp_path / "w").write_text("b\na\n\nb \nc\na\n")
+    assert {r.token: r.id for r in files.read_word_list(spark, f"file://{tmp_path}/w").collect()} == {"b": 1, "a": 2, "c": 3}
+    (tmp_path / "l").write_text('{"label": "101", "label_desc": "x"}\n{"label": "7", "label_desc": "y"}\n')
+    assert [tuple(r) for r in files.read_labels(spark, f"file://{tmp_path}/l").orderBy("label").collect()] == [("101", "x", 0), ("7", "y", 1)]
+
+
+def test_ranks_and_totals_over_many_buckets(spark, monkeypatch):
+    from sparkloom.operators import bins, ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 10)
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 97).alias("g"), F.concat(F.lit("t"), F.col("id") % 1000).alias("s")).repartition(3)
+    got = {r.k: r.n for r in ranking.numbered(df, [-F.col("g"), F.col("s"), F.col("k")], "n", 1).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(range(2000), key=lambda k: (-(k % 97), f"t{k % 1000}", k)), 1)}
+    ranks = {r.k: r["rank"] for r in ranking.hash_rank(df, F.col("k"), 5).collect()}
+    import hashlib
+
+    assert ranks == {k: i for i, k in enumerate(sorted(range(2000), key=lambda k: hashlib.md5(f"{k}-5".encode()).hexdigest()))}
+    q = bins.quantiles(df.withColumn("g", F.when(F.col("k") != 5, F.col("g").cast("double"))), "g", [0.0, 0.333, 0.999, 1.0]).first()
+    assert list(q) == pytest.approx(np.quantile([k % 97 for k in range(2000) if k != 5], [0.0, 0.333, 0.999, 1.0]))
+    assert bins.quantiles(df.where("k < 0"), "g", [0.5]).first()[0] is None

@@ -5,8 +5,8 @@ it and tracks the longest match that ends at each word. Where a word pair is not
 back to one word, so only runs of known pairs that are long enough for a window need to be streamed; those runs are
 found with array operations. This skips no match.
 
-Blocks hold at most `block_words` words of the benchmark, so that the automaton that is broadcast has a proven size
-whatever the benchmark's; with more blocks, documents are read against one after the other.
+Blocks hold about `block_words` words of the benchmark, so that the automaton that is broadcast has a proven size whatever
+the benchmark's or an item's; with more blocks, documents are written once and read against one block after the other.
 
 Null or empty texts have no words and are never contaminated. Null or empty items have no windows. Items that share
 an id count once. A document column with the name of a result column is replaced.
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import map_texts, written
+from sparkloom.llm.common import map_texts, without, written
 
 WINDOW = 13
 #: A document is contaminated if its share of hit words is 1 / SHARE at least.
@@ -149,17 +150,35 @@ class WordAutomaton:
         return spans, names
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
-    """How many blocks of about block_words words the items make, and the blocks; each is read on its own."""
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of about block_words words; items are read one partition at a time. A longer item is cut into
+    pieces that overlap by what a window needs, so that every window lies in one."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // (4 * block_words)))  # a word has 4 bytes or more, with its space, on the whole
-
-    def block(k: int) -> list[tuple[str, list[bytes]]]:
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        return [(r.name, words_of(r.text.encode() if r.text else None)) for r in part.toLocalIterator()]
-
-    return n, map(block, range(n))
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        words = words_of(r.text.encode() if r.text else None)
+        for at in range(0, max(1, len(words) - window + 1), block_words):
+            piece = words[at : at + block_words + window - 1]
+            block.append((r.name, piece))
+            size += len(piece)
+            if size >= block_words:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans as maximal ones."""
+    end = lambda s: F.element_at(s, 2)
+    return F.aggregate(
+        spans,
+        F.array().cast("array<array<int>>"),
+        lambda a, s: F.when(
+            (F.size(a) > 0) & (end(F.element_at(a, -1)) >= s[0]),
+            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.array(F.element_at(a, -1)[0], F.greatest(end(F.element_at(a, -1)), end(s))))),
+        ).otherwise(F.concat(a, F.array(s))),
+    )
 
 
 def decontaminate(
@@ -186,12 +205,13 @@ def decontaminate(
         T.StructField("items", T.ArrayType(T.StringType())),
     ]
     sc = docs.sparkSession.sparkContext
-    found = docs
-    n_blocks, parts = blocks_of(benchmark, item_id, item_text, block_words)
-    for k, block in enumerate(parts):
+    blocks = blocks_of(benchmark, item_id, item_text, window, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+
+    def matcher(block: list[tuple[str, list[bytes]]]):
         shared = sc.broadcast(WordAutomaton(block, window))
 
-        def make(shared=shared):
+        def make():
             automaton = shared.value
 
             def work(texts):
@@ -206,23 +226,25 @@ def decontaminate(
 
             return work
 
-        last = k == n_blocks - 1
-        held = [F.col("word_spans").alias("_spans"), F.col("items").alias("_items")] if k else []
-        if held:
-            found = written(found.select(*[c for c in found.columns if c not in ("n_words", "word_spans", "items")], *held))
-        names = found.columns if not last or keep is None else [*keep, *(["_spans", "_items"] if k else [])]
-        found = map_texts(found, make, fields, text, names)
-        if k:
-            both = F.sort_array(F.concat("_spans", "word_spans"))
-            merged = F.aggregate(
-                both,
-                F.array().cast("array<array<int>>"),
-                lambda a, s: F.when(
-                    (F.size(a) > 0) & (F.element_at(F.element_at(a, -1), 2) >= s[0]),
-                    F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.array(F.element_at(a, -1)[0], F.greatest(F.element_at(a, -1)[1], s[1])))),
-                ).otherwise(F.concat(a, F.array(s))),
-            )
-            found = found.withColumns({"word_spans": merged, "items": F.array_sort(F.array_union("_items", "items"))}).drop("_spans", "_items")
+        return shared, make
+
+    if second is None:
+        found = map_texts(docs, matcher(first)[1], fields, text, keep)
+    else:
+        # the documents are written once with a number; each block leaves the few rows that it matches
+        base = written(without(docs, "n_words", "word_spans", "items").withColumn("_row", F.monotonically_increasing_id()))
+        parts = []
+        for block in chain([first, second], blocks):
+            shared, make = matcher(block)
+            parts.append(written(map_texts(base, make, fields, text, ["_row"]).where(F.size("items") > 0)))
+            shared.unpersist()
+        hits = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.sort_array(F.flatten(F.collect_list("word_spans"))).alias("word_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        kept = [c for c in (base.columns if keep is None else keep) if c != "_row"]
+        counted = map_texts(base, lambda: lambda texts: {"n_words": [len(words_of(x)) for x in texts]}, fields[:1], text, [*kept, "_row"])
+        none = F.array()
+        found = counted.join(hits, "_row", "left").withColumns({
+            "word_spans": _joined(F.coalesce("word_spans", none.cast("array<array<int>>"))), "items": F.coalesce("items", none.cast("array<string>")),
+        }).drop("_row")
     n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]).cast("long"))
     return (
         found.withColumn("n_hit", n_hit)

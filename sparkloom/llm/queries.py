@@ -86,6 +86,19 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        p AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM d, unnest(range(0, n - 99)) t(i)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+        g AS (SELECT doc_id, i, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100)::INT, 1) AS new FROM r),
+        u AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+        x AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM u GROUP BY doc_id, run),
+        t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS b FROM x GROUP BY doc_id),
+        k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM x
+              UNION ALL SELECT doc_id, coalesce(b, 0), n FROM d LEFT JOIN t USING (doc_id)),
+        j AS (SELECT doc_id, unhex(string_agg(substring(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo)) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(kept) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) JOIN j USING (doc_id)
+    """,
     "op10_jaccard_join": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),

@@ -27,23 +27,45 @@ def space_ideographs(text: Column) -> Column:
     return F.regexp_replace(text, f"([{CJK}])", " $1 ")
 
 
+#: Syllables of Hangul decompose by rule: their first one, and how many of their first, second and third parts there are.
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, 19, 21, 28
+
+
 @cache
-def accents() -> tuple[str, str, str]:
-    """Accented letters, their bases, and the marks to drop, from the canonical decompositions below U+2000."""
-    pairs, marks = [], []
-    for c in map(chr, range(0x80, 0x2000)):
+def accents() -> tuple[str, str, str, dict[str, str]]:
+    """Letters whose canonical decomposition, marks left out, is one letter; these letters; the marks; and characters, other
+    than Hangul, that leave several."""
+    pairs, marks, several = [], [], {}
+    for c in map(chr, (i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and not HANGUL <= i < HANGUL + LEADS * VOWELS * TAILS)):
         kept = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
-        if len(kept) == 1 and kept != c:
-            pairs.append((c, kept))
+        if len(kept) > 1:
+            several[c] = kept
         elif not kept:
             marks.append(c)
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs), "".join(marks)
+        elif kept != c:
+            pairs.append((c, kept))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs), "".join(marks), several
+
+
+def _syllables(text: Column) -> Column:
+    """Syllables of Hangul as their parts."""
+    part = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
+
+    def parts(c: Column) -> Column:
+        i = F.ascii(c) - HANGUL
+        tail = F.when(i % TAILS > 0, F.get(part(0x11A7, TAILS), i % TAILS)).otherwise("")
+        return F.concat(F.get(part(0x1100, LEADS), F.floor(i / (VOWELS * TAILS)).cast("int")), F.get(part(0x1161, VOWELS), F.floor(i % (VOWELS * TAILS) / TAILS).cast("int")), tail)
+
+    known = f"[{chr(HANGUL)}-{chr(HANGUL + LEADS * VOWELS * TAILS - 1)}]"
+    return F.when(text.rlike(known), F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(known), parts(c)).otherwise(c)), "")).otherwise(text)
 
 
 def strip_accents(text: Column) -> Column:
-    """Letters without their accents, combining marks dropped."""
-    letters, bases, marks = accents()
-    return F.translate(text, letters + marks, bases)
+    """Canonically decomposed, without combining marks."""
+    letters, bases, marks, several = accents()
+    split = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in several.items() for x in p]), c), c)), "")
+    whole = F.when(text.rlike("[" + "".join(several) + "]"), split).otherwise(text)
+    return _syllables(F.translate(whole, letters + marks, bases))
 
 
 def space_punctuation(text: Column) -> Column:

@@ -204,3 +204,12 @@ def test_ranks_and_totals_over_many_buckets(spark, monkeypatch):
     q = bins.quantiles(df.withColumn("g", F.when(F.col("k") != 5, F.col("g").cast("double"))), "g", [0.0, 0.333, 0.999, 1.0]).first()
     assert list(q) == pytest.approx(np.quantile([k % 97 for k in range(2000) if k != 5], [0.0, 0.333, 0.999, 1.0]))
     assert bins.quantiles(df.where("k < 0"), "g", [0.5]).first()[0] is None
+
+
+def test_accents_go_from_all_scripts(spark):
+    import unicodedata
+
+    text = "Ünïcödé ệ Å Ω 한국어 값 각 が ド क़ ো שּׁ ﬀ ² ½ Ⅷ ｶﾞ \U0001d15e 豈 ǆ ß İ \u0344x e\u0301 \U0001f600"
+    plain = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    df = spark.createDataFrame([(text,), ("",), (None,), ("plain",)], "t string")
+    assert [r[0] for r in df.select(T.strip_accents(F.col("t"))).collect()] == [plain, "", None, "plain"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows and bytes of text handled at once inside a task. Spark bounds the bytes of an Arrow batch, these bound what Python makes of it.
+#: Rows and bytes of text handled at once inside a task.
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -36,11 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are no longer than SLICE_BYTES: plans that are returned run later, when a setting
+    of this module's own jobs has gone. A lower bound of the user's stays. No result depends on it, only memory does."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name, "")
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= SLICE_BYTES):
+        df.sparkSession.conf.set(name, str(SLICE_BYTES))
+    return df
+
+
 @contextlib.contextmanager
 def own_settings(spark: SparkSession) -> Iterator[None]:
     """For jobs that run here: shuffle files go when a job has ended, as nothing reads them again, and Arrow batches are
     short. The session's settings come back afterwards."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 * SLICE_BYTES)}
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(SLICE_BYTES)}
     before = {name: spark.conf.get(name, None) for name in own}
     for name, value in own.items():
         spark.conf.set(name, value)
@@ -119,4 +129,4 @@ def map_texts(
                     names=[*kept, *(f.name for f in fields)],
                 )
 
-    return source.mapInArrow(run, schema)
+    return short_batches(source).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop, slices, written
+from sparkloom.llm.common import drop, short_batches, slices, written
 from sparkloom.llm.hashing import Substrings, U, mix
 
 SIZE = 100
@@ -285,5 +285,5 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_kept + ", kept_sha256 string"
-    result = last.mapInArrow(cut, schema)
+    result = short_batches(last).mapInArrow(cut, schema)
     return result.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import own_settings, shared_dir, slices
+from sparkloom.llm.common import own_settings, shared_dir, short_batches, slices
 
 BLOCK = 4096
 PERCENTILE = 95
@@ -280,7 +280,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(ids[b:e].tobytes()) for b, e in zip(begins, ends, strict=True)], pa.int64()),
                 })
 
-    rows = files.select("part", "segment", "doc_ids", "ends", "payload").mapInArrow(
+    rows = short_batches(files.select("part", "segment", "doc_ids", "ends", "payload")).mapInArrow(
         run, "part int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     )
     return rows.join(offsets, ["part", "segment"]).select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -48,14 +48,19 @@ def fit(df: DataFrame, features: list[str], target: str, *, alpha: float = 1.0,
     z = [F.lit(1.0), *[(F.col(c) - float(m)) / float(s) for c, m, s in zip(features, mean, std, strict=True)]]
     pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
     ws = {f: np.zeros(len(z)) for f in models}
+    # weights come as a row, so that the plan of every step is the same and is compiled once
+    name = lambda f, i: f"_w{f}_{i}"
+    schema = ", ".join(f"{name(f, i)} double" for f in models for i in range(len(z)))
+    sums = []
+    for f in models:
+        own = F.when(F.col("_f") != f, F.lit(1.0)).otherwise(0.0)
+        p = F.col(f"_p{f}")
+        sums += [F.sum(own * (p - F.col("_y")) * c).alias(f"g{f}_{i}") for i, c in enumerate(z)]
+        sums += [F.sum(own * p * (1 - p) * z[i] * z[j]).alias(f"h{f}_{i}_{j}") for i, j in pairs]
+    odds = {f"_p{f}": 1 / (1 + F.exp(-sum((F.col(name(f, i)) * c for i, c in enumerate(z)), F.lit(0.0)))) for f in models}
     for _ in range(rounds):
-        sums = []
-        for f, w in ws.items():
-            own = F.when(F.col("_f") != f, F.lit(1.0)).otherwise(0.0)
-            p = 1 / (1 + F.exp(-sum((float(a) * c for a, c in zip(w, z, strict=True)), F.lit(0.0))))
-            sums += [F.sum(own * (p - F.col("_y")) * c).alias(f"g{f}_{i}") for i, c in enumerate(z)]
-            sums += [F.sum(own * p * (1 - p) * z[i] * z[j]).alias(f"h{f}_{i}_{j}") for i, j in pairs]
-        got = rows.agg(*sums).first()
+        now = df.sparkSession.createDataFrame([[float(v) for f in models for v in ws[f]]], schema)
+        got = rows.crossJoin(F.broadcast(now)).withColumns(odds).agg(*sums).first()
         for f in ws:
             curve = np.zeros((len(z), len(z)))
             for i, j in pairs:

@@ -40,7 +40,7 @@ def short_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are no longer than SLICE_BYTES: plans that are returned run later, when a setting
     of this module's own jobs has gone. A lower bound of the user's stays. No result depends on it, only memory does."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = df.sparkSession.conf.get(name, "")
+    now = df.sparkSession.conf.get(name)
     if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= SLICE_BYTES):
         df.sparkSession.conf.set(name, str(SLICE_BYTES))
     return df

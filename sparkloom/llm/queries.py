@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality, secrets, sharding, suffix_dedup, token_files, topk_join
+from sparkloom.llm import (
+    byte_bpe, collocations, decontaminate, fill_middle, jaccard_join, language_id, licenses, quality, secrets, sharding, suffix_dedup, token_files, topk_join,
+)
 from sparkloom.llm.common import read
 
 
@@ -64,10 +66,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"), with_output=False, keep=["doc_id"])
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.digest(licenses.scan(docs, licenses.fit(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scans, op2_decontamination, op3_quality, op4_topk, op5_byte_bpe, op6_suffix_dedup, op7_sharding, op8_language_id, op9_token_files,
-        op10_jaccard_join,
+        op10_jaccard_join, op11_fill_middle, op12_collocations, op13_license_scans,
     )
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +123,33 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id AND r.m < e.b)
         SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY ALL
     """,
+    "op11_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+        f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        c AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS x FROM f)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM c
+    """,
+    "op12_collocations": rf"""
+        WITH q AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM q),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS s, w[i:i + k - 1] AS ws FROM w, unnest(range(1, 5)) a(k), unnest(range(1, len(w) - k + 2)) b(i)),
+        f AS MATERIALIZED (SELECT lang, k, s, any_value(ws) AS ws, count(*) AS f FROM g GROUP BY lang, k, s),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+        i AS (SELECT DISTINCT c.lang, array_to_string(ws[x:x + j - 1], ' ') AS s, j, f FROM c, unnest(range(2, k)) a(j), unnest(range(1, k - j + 2)) b(x)),
+        o AS (SELECT lang, s, max(f) AS most FROM i GROUP BY lang, s),
+        r AS (SELECT c.* FROM c LEFT JOIN o USING (lang, s) WHERE most IS NULL OR 100 * most < 80 * f),
+        v AS MATERIALIZED (SELECT lang, s, f AS a, j, array_to_string(ws[1:j], ' ') AS p, array_to_string(ws[j + 1:], ' ') AS z FROM r, unnest(range(1, k)) t(j)),
+        u AS (SELECT v.lang, v.s, a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+              FROM v JOIN f x ON x.lang || ' ' || x.s = v.lang || ' ' || v.p JOIN f y ON y.lang || ' ' || y.s = v.lang || ' ' || v.z),
+        b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, score FROM b JOIN n USING (lang)
+        QUALIFY rank <= 2000
+    """,
     "op4_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

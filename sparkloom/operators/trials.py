@@ -1,7 +1,12 @@
-"""Candidates tried in tasks by any learner: a row for each candidate and fold, the data sent to all tasks.
+"""Candidates tried in tasks by any learner, a row for each candidate and fold.
 
-For learners that need rows in memory. The data must be small enough to be sent, which is checked; linear and logistic
-learners from sums (learners, logistic) have no such bound.
+The data are written once, as Parquet by fold, to the folder that driver and executors share, and deleted when the trials
+have ended. A task reads the columns of its candidate and the folds that it needs from there, so neither rows nor a
+broadcast pass through the driver, and an executor that is lost costs its trials only. What the driver gets is a score for
+each candidate and fold.
+
+A learner that takes all its rows at once needs them in a task's memory. One that learns from batches (`stream`) gets
+them one at a time, as often as it asks; predictions are made by batch in either case.
 """
 
 from __future__ import annotations
@@ -16,51 +21,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranking import hash_rank
+from sparkloom.operators.tables import staged_at
 
-#: Numbers in the table that is sent to all tasks.
-MOST_CELLS = 50_000_000
+#: Rows that a task reads at once.
+BATCH_ROWS = 65_536
 
-Fit = Callable[[dict, np.ndarray, np.ndarray], object]
+Batches = Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]
+Fit = Callable[[dict, np.ndarray, np.ndarray], object] | Callable[[dict, Batches], object]
 Predict = Callable[[object, np.ndarray], np.ndarray]
 Metric = Callable[[np.ndarray, np.ndarray], float]
 
 
+def read_folds(path: str, columns: list[str], held: int, out: bool) -> Batches:
+    """The rows in the held-out fold, or outside it, in the order in which they are laid out."""
+
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(path)
+        rows = ds.dataset(place, filesystem=system, format="parquet", partitioning="hive")
+        own = ds.field("fold") == held
+        for batch in rows.to_batches(columns=[*columns, "_target"], filter=own if out else ~own, batch_size=BATCH_ROWS):
+            if batch.num_rows:
+                yield np.column_stack([batch.column(c).to_numpy() for c in columns]), batch.column("_target").to_numpy()
+
+    return batches
+
+
+def together(batches: Batches, width: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = list(batches())
+    return (np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])) if parts else (np.empty((0, width)), np.empty(0))
+
+
 def evaluate(
     data: DataFrame, key: str, features: list[str], target: str, candidates: list[dict], fit: Fit, predict: Predict, metric: Metric,
-    *, folds: int = 5, seed: int = 42, holdout: float | None = None, update: Callable[[object, dict], dict] | None = None,
+    *, folds: int = 5, seed: int = 42, holdout: float | None = None, update: Callable[[object, dict], dict] | None = None, stream: bool = False,
 ) -> DataFrame:
     """candidate, params (JSON), fold, effect and seconds of every candidate on every fold.
 
     A candidate is a dictionary of parameters; `features` in it names its subset. With holdout there is one fold, that
-    share of the rows, and update(model, params) may return the parameters that a fit has found. Rows with nulls are left out.
+    share of the rows, and update(model, params) may return the parameters that a fit has found. fit gets parameters,
+    features and targets, or with stream parameters and a function that starts a pass over batches of both. metric gets
+    the fold's targets and predictions. Rows with nulls are left out.
     """
     spark = data.sparkSession
     rows = data.dropna(subset=[*features, target])
-    n = rows.count()
-    if n * (len(features) + 1) > MOST_CELLS:
-        raise ValueError("the data are too large to be sent to all tasks: use learners that work from sums")
-    placed = hash_rank(rows.select(key, *features, target), F.col(key), seed, name="_rank").toPandas()
-    held = (placed["_rank"].to_numpy() < int(n * holdout)).astype(int) - 1 if holdout else placed["_rank"].to_numpy() % folds
-    shared = spark.sparkContext.broadcast((placed[features].to_numpy(float), placed[target].to_numpy(float), held, candidates))
-    used = [0] if holdout else list(range(folds))
-    todo = spark.range(len(candidates) * len(used)).repartition(min(len(candidates) * len(used), 4 * spark.sparkContext.defaultParallelism))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, held, candidates = shared.value
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                c, f = divmod(int(i), len(used))
-                params = dict(candidates[c])
-                own = [features.index(name) for name in params.pop("features", features)]
-                start = time.perf_counter()
-                model = fit(params, x[held != f][:, own], y[held != f])
-                effect = metric(y[held == f], predict(model, x[held == f][:, own]))
-                found = {**candidates[c], **(update(model, params) if update else {})}
-                out.append((c, json.dumps(found, sort_keys=True), f, float(effect), time.perf_counter() - start))
-            yield pd.DataFrame(out, columns=["candidate", "params", "fold", "effect", "seconds"])
-
-    return todo.mapInPandas(run, "candidate long, params string, fold long, effect double, seconds double")
+    placed = hash_rank(rows.select(key, *features, target), F.col(key), seed, name="_rank")
+    held = F.when(F.col("_rank") < int(rows.count() * holdout), 0).otherwise(1) if holdout else F.pmod("_rank", F.lit(folds))
+    numbers = placed.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("_target"), held.cast("int").alias("fold"))
+    used = 1 if holdout else folds
+    todo = spark.range(len(candidates) * used).repartition(max(1, min(len(candidates) * used, 4 * spark.sparkContext.defaultParallelism)))
+    with staged_at(numbers, "fold") as path:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for i in batch["id"]:
+                    c, f = divmod(int(i), used)
+                    params = dict(candidates[c])
+                    own = [f"x{features.index(name)}" for name in params.pop("features", features)]
+                    start = time.perf_counter()
+                    learn = read_folds(path, own, f, False)
+                    model = fit(params, learn) if stream else fit(params, *together(learn, len(own)))
+                    seen = [(y, predict(model, x)) for x, y in read_folds(path, own, f, True)()]
+                    effect = metric(*(np.concatenate([s[k] for s in seen]) if seen else np.empty(0) for k in (0, 1)))
+                    found = {**candidates[c], **(update(model, params) if update else {})}
+                    out.append((c, json.dumps(found, sort_keys=True), f, float(effect), time.perf_counter() - start))
+                yield pd.DataFrame(out, columns=["candidate", "params", "fold", "effect", "seconds"])
+
+        schema = "candidate long, params string, fold long, effect double, seconds double"
+        return spark.createDataFrame([tuple(r) for r in todo.mapInPandas(run, schema).collect()], schema)
 
 
 def summary(trials: DataFrame) -> DataFrame:

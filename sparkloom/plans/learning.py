@@ -89,24 +89,6 @@ def blend_holdout(spark, sf):
     return L.blend(d, ["l_quantity"], "l_extendedprice", held, [(0,)]).predict(d.where(held)).select(*KEYS, F.round("predicted", 3).alias("predicted"))
 
 
-def _bagged(spark, sf, weighted):
-    d = _lines(spark, sf)
-    m = L.moments(d, NUM, "l_extendedprice", F.pmod(F.xxhash64(*KEYS), F.lit(32)))
-    models = L.bag(m, 7, None, 3)
-    v = L.vote_weights([L.score(L.total(m), w) for w in models]) if weighted else np.full(7, 1 / 7)
-    return d.select(*KEYS, L.linear(np.array(models).T @ v, NUM).alias("predicted"))
-
-
-@query()
-def bag_mean(spark, sf):
-    return _bagged(spark, sf, False)
-
-
-@query()
-def bag_weighted(spark, sf):
-    return _bagged(spark, sf, True)
-
-
 @query(f"WITH d AS ({_LINE}), m AS (SELECT regr_slope(y, x) AS a, avg(x) AS c FROM d) SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row, 'l_quantity' AS feature, round(a * (x - c), 3) AS phi FROM d, m")
 def linear_phi(spark, sf):
     d = _lines(spark, sf).withColumn("row", F.concat_ws("/", *KEYS))

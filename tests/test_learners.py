@@ -100,3 +100,28 @@ def test_trials_in_tasks_are_those_of_a_loop(spark):
     assert [r.fold for r in one.collect()] == [0, 0, 0] and '"weights": 2' in one.where("candidate = 0").first().params
     with pytest.raises(ValueError):
         trials.subsets(["a"], 0, 1)
+
+
+def test_trials_of_learners_from_batches(spark):
+    """A learner that sees batches only, in two passes, tried on staged folds; nothing stays behind."""
+    import glob
+    import tempfile
+
+    from sparkloom.operators import trials
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    y = 1 + x @ [2.0, -1.0]
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "k long, a double, b double, y double")
+
+    def fit(params, batches):
+        mean = sum(x.sum(0) for x, _ in batches()) / sum(len(x) for x, _ in batches())
+        z = [(np.c_[np.ones(len(x)), x - mean], y) for x, y in batches()]
+        w = np.linalg.solve(sum(a.T @ a for a, _ in z), sum(a.T @ b for a, b in z))
+        return mean, w
+
+    before = set(glob.glob(f"{tempfile.gettempdir()}/sparkloom-*/files-*"))
+    got = trials.evaluate(df, "k", ["a", "b"], "y", [{}, {"features": ["b"]}], fit, lambda m, x: m[1][0] + (x - m[0]) @ m[1][1:], lambda y, p: -float(np.mean((y - p) ** 2)), folds=3, stream=True)
+    best = {r.candidate: r.effect for r in trials.summary(got).withColumnRenamed("trial", "candidate").collect()}
+    assert best[0] == pytest.approx(0, abs=1e-12) and best[1] < -1
+    assert set(glob.glob(f"{tempfile.gettempdir()}/sparkloom-*/files-*")) == before

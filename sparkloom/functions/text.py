@@ -86,6 +86,15 @@ def pre_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({PRE_TOKENS})"), F.lit(1))
 
 
+# Contractions, words, digits and runs of symbols.
+CASED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cased_words(text: Column) -> Column:
+    """Lower-cased words, single digits and runs of symbols, without white space."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({CASED_WORDS})"), F.lit(1))
+
+
 def standardise(text: Column) -> Column:
     """Plain dashes, ellipses and quotes, spaces around runs of symbols and line ends, single spaces."""
     out = text

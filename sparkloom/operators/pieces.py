@@ -1,19 +1,28 @@
-"""Words cut into pieces of a vocabulary: each distinct word once, then joined back to where it stands."""
+"""Words cut into pieces of a vocabulary where they stand: in the arrays of their rows, without a shuffle.
+
+A task works on each distinct word of a batch once and keeps what it has made of words, up to a bound in bytes, for the
+batches after. Vocabularies and merges are sent to all tasks, behind a count of their entries.
+"""
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from sparkloom.operators.ranking import sent
+from pyspark.sql.pandas.types import to_arrow_type
 
 MARK, UNK, LONGEST = "##", "[UNK]", 100
 #: Entries that a vocabulary which is sent to all tasks may have.
 MOST_ENTRIES = 2_000_000
+#: Bytes of words and pieces that a task keeps, and rows that it works on at once.
+KEPT_BYTES, ROWS = 32 << 20, 256
 
 
 def cut(word: str, vocab: set[str], longest: int = LONGEST) -> list[str]:
@@ -30,22 +39,37 @@ def cut(word: str, vocab: set[str], longest: int = LONGEST) -> list[str]:
 
 
 def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Joins the neighbouring pair of least rank, wherever it stands, until no pair has a rank."""
-    while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))  # noqa: B905
-        if best not in ranks:
-            break
-        out: list[str] = []
-        joined = False
-        for s in symbols:
-            # a symbol that ended a pair doesn't begin the next
-            if out and (out[-1], s) == best and not joined:
-                out[-1], joined = out[-1] + s, True
-            else:
-                out.append(s)
-                joined = False
-        symbols = out
-    return symbols
+    """Joins the neighbouring pair of least rank, wherever it stands, until no pair has a rank.
+
+    Pairs wait in a heap by rank and place, and symbols know their neighbours, so a word costs its length times the
+    logarithm of that.
+    """
+    n = len(symbols)
+    text, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
+    alive = [True] * n
+    heap = [(ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]  # noqa: B905
+    heapq.heapify(heap)
+
+    def rank_at(i: int) -> int | None:
+        return ranks.get((text[i], text[after[i]])) if alive[i] and after[i] >= 0 else None
+
+    while heap:
+        rank, at = heap[0][0], []
+        while heap and heap[0][0] == rank:
+            at.append(heapq.heappop(heap)[1])
+        new = []
+        for i in at:  # from the left; a symbol that ended a pair doesn't begin the next
+            if rank_at(i) != rank:
+                continue
+            j = after[i]
+            text[i], alive[j], after[i] = text[i] + text[j], False, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            new.append(i)
+        for i in {k for j in new for k in (j, before[j]) if k >= 0}:
+            if (r := rank_at(i)) is not None:
+                heapq.heappush(heap, (r, i))
+    return [t for t, here in zip(text, alive, strict=True) if here]
 
 
 # Bytes stand as the letters of Latin-1 that print; the others take the letters from 256 on.
@@ -56,22 +80,62 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
-def by_word(df: DataFrame, key: str, words: Column, made: Callable[[], Callable[[str], list]], kind: str) -> DataFrame:
-    """key and pieces, the results of all words of a row, in order; made() gives, in a task, what makes a word's.
+class _Kept:
+    """Results by word, emptied when they have grown past a bound."""
+
+    def __init__(self, of: Callable[[str], list]):
+        self.of, self.made, self.size = of, {}, 0
+
+    def __call__(self, word: str) -> list:
+        if (out := self.made.get(word)) is None:
+            out = self.of(word)
+            self.size += 4 * len(word) + 64 * (len(out) + 2)
+            if self.size > KEPT_BYTES:
+                self.made, self.size = {}, 4 * len(word) + 64 * (len(out) + 2)
+            self.made[word] = out
+        return out
+
 
-    A word is worked on once, wherever it occurs.
+def in_rows(df: DataFrame, key: str, items: Column, name: str, kind: str, made: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """key and an array that has, for each item of a row's array, what is made of it, in order: a list for each item.
+
+    made() gives, in a task, what maps a batch's items to lists. Null arrays have no items, and null items no results.
     """
-    placed = df.select(key, F.posexplode(words).alias("_p", "_w"))
+    source = df.select(F.col(key), items.alias("_items"))
+    schema = f"array<{kind}>"
+    typed = source.select(key, F.array().cast(schema).alias(name)).schema
+    to = to_arrow_type(typed[1].dataType)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = made()
-        for b in batches:
-            yield pd.DataFrame({"_w": b["_w"], "_x": [of(w) for w in b["_w"]]})
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lists = batch.column(1)
+                flat, sizes = lists.flatten(), pc.fill_null(lists.value_lengths(), 0).to_numpy()
+                out = of(flat)
+                n = np.concatenate([[0], np.cumsum(pc.fill_null(out.value_lengths(), 0).to_numpy())])
+                ends = n[np.concatenate([[0], np.cumsum(sizes)])]
+                made_lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), out.flatten().cast(to.value_type))
+                yield pa.RecordBatch.from_arrays([batch.column(0), made_lists], names=[key, name])
+
+    return source.mapInArrow(run, typed)
+
+
+def by_word(df: DataFrame, key: str, words: Column, made: Callable[[], Callable[[str], list]], kind: str) -> DataFrame:
+    """key and pieces, the results of all words of a row, in order; made() gives, in a task, what makes a word's."""
+
+    def each():
+        of = _Kept(made())
+
+        def lists(flat: pa.Array) -> pa.Array:
+            coded = flat.dictionary_encode()
+            cuts = pa.array([of(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.string()))
+            return cuts.take(coded.indices)
+
+        return lists
 
-    cuts = placed.select("_w").distinct().mapInPandas(run, f"_w string, _x array<{kind}>")
-    rows = placed.join(cuts, "_w").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"])).alias("pieces"))
-    none = F.array().cast(f"array<{kind}>")
-    return df.select(key).join(rows, key, "left").select(key, F.coalesce("pieces", none).alias("pieces"))
+    return in_rows(df, key, words, "pieces", kind, each)
 
 
 def _sent(df: DataFrame, known):
@@ -86,23 +150,36 @@ def word_pieces(df: DataFrame, key: str, tokens: Column, vocab) -> DataFrame:
     return by_word(df, key, tokens, lambda: lambda w: cut(w, known.value), "string")
 
 
-def merged_pieces(df: DataFrame, key: str, words: Column, merges: list[tuple[str, str]], *, end: str | None = None) -> DataFrame:
-    """key and pieces of each row's words by merges in the order of their ranks: of the letters of a word's bytes, or, with
-    an end mark, of its characters, the last of which carries the mark."""
-    ranks = _sent(df, {p: i for i, p in enumerate(merges)})
+def merged_pieces(df: DataFrame, key: str, words: Column, merges: list[tuple[str, str]], *, end: str | None = None, in_bytes: bool | None = None, specials: Iterable[str] = ()) -> DataFrame:
+    """key and pieces of each row's words by merges in the order of their ranks: of the letters of a word's bytes, or of its
+    characters (by default where there is an end mark, which the last one carries). Specials are pieces as they stand."""
+    ranks, whole = _sent(df, {p: i for i, p in enumerate(merges)}), frozenset(specials)
+    of_bytes = end is None if in_bytes is None else in_bytes
 
     def made():
         letters = byte_letters()
 
         def of(word: str) -> list[str]:
-            symbols = [letters[b] for b in word.encode()] if end is None else [*word[:-1], word[-1:] + end]
-            return merge(symbols, ranks.value)
+            symbols = [letters[b] for b in word.encode()] if of_bytes else list(word)
+            if word in whole:
+                return ["".join(symbols)]
+            return merge([*symbols[:-1], symbols[-1] + (end or "")] if symbols else [], ranks.value)
 
         return of
 
     return by_word(df, key, words, made, "string")
 
 
+def around_specials(text: Column, specials: Iterable[str], words: Callable[[Column], Column]) -> Column:
+    """The words of a text between its special tokens, and these, in order. Where several begin, the longest is taken."""
+    pattern = "|".join(re.escape(s) for s in sorted(set(specials), key=lambda s: (-len(s), s)))
+    if not pattern:
+        return words(text)
+    whole = F.coalesce(text, F.lit(""))
+    parts = F.arrays_zip(F.split(whole, pattern, -1).alias("p"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)).alias("s"))
+    return F.flatten(F.transform(parts, lambda x: F.concat(words(x["p"]), F.when(x["s"].isNotNull(), F.array(x["s"])).otherwise(F.array().cast("array<string>")))))
+
+
 def decode_bytes(pieces: Column) -> Column:
     """The text of byte-level pieces that make whole characters: letters back to bytes."""
     letters = byte_letters()
@@ -119,18 +196,44 @@ def read_merges(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
     return model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
 
 
-def ids_of(df: DataFrame, key: str, pieces: str, vocab: dict[str, int], unknown: int = 0) -> DataFrame:
-    """key and ids of each row's pieces, in order; a piece that the vocabulary lacks gets `unknown`."""
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(vocab.items()), "_x string, _id int")
-    rows = df.select(key, F.posexplode(pieces).alias("_p", "_x")).join(sent(table), "_x", "left")
-    found = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_id", F.lit(unknown)).alias("_id")))), lambda e: e["_id"]).alias("ids"))
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+def with_specials(vocab: dict[str, int], specials: Iterable[str]) -> dict[str, int]:
+    """The vocabulary with special tokens, as their bytes' letters, under ids of their own after all others."""
+    letters, out = byte_letters(), dict(vocab)
+    for s in specials:
+        out.setdefault("".join(letters[b] for b in s.encode()), max(out.values(), default=-1) + 1)
+    return out
+
+
+def _single(values: pa.Array, found: pa.Array) -> pa.Array:
+    """A list of one value for each index found, and of none elsewhere."""
+    there = found.is_valid().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(there)]).astype(np.int32)), values.take(found.drop_null()))
+
+
+def ids_of(df: DataFrame, key: str, pieces: str, vocab: dict[str, int], unknown: int | None = 0) -> DataFrame:
+    """key and ids of each row's pieces, in order; a piece that the vocabulary lacks gets `unknown`, or is an error if that is None."""
+    known = _sent(df, vocab)
+
+    def made():
+        words, ids = pa.array(list(known.value), pa.string()), pa.array(list(known.value.values()), pa.int32())
+
+        def of(flat: pa.Array) -> pa.Array:
+            found = ids.take(pc.index_in(flat, value_set=words))
+            if unknown is None and found.null_count:
+                raise ValueError(f"not in the vocabulary: {flat.filter(found.is_null())[0]}")
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pc.fill_null(found, unknown) if unknown is not None else found)
+
+        return of
+
+    return in_rows(df, key, F.col(pieces), "ids", "int", made)
 
 
 def tokens_of(df: DataFrame, key: str, ids: str, vocab: dict[str, int], skip: tuple[int, ...] = ()) -> DataFrame:
-    """key and tokens of each row's ids, in order, without those to skip."""
-    table = df.sparkSession.createDataFrame([(i, t) for t, i in vocab.items()], "_id int, _x string")
-    rows = df.select(key, F.posexplode(F.filter(ids, lambda i: ~i.isin(*skip)) if skip else F.col(ids)).alias("_p", "_id")).join(sent(table), "_id")
-    found = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias("tokens"))
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    """key and tokens of each row's ids, in order, without those to skip and those that the vocabulary lacks."""
+    known = _sent(df, {i: t for t, i in vocab.items() if i not in skip})
+
+    def made():
+        numbers, words = pa.array(list(known.value), pa.int32()), pa.array(list(known.value.values()), pa.string())
+        return lambda flat: _single(words, pc.index_in(flat.cast(pa.int32()), value_set=numbers))
+
+    return in_rows(df, key, F.col(ids), "tokens", "string", made)

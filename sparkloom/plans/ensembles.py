@@ -1,4 +1,4 @@
-"""Queries on bags of rows, trees and their contributions."""
+"""Queries on bags of rows, trees, learners of words, and what features and words contribute."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import bags as B
 from sparkloom.operators import selection as C
+from sparkloom.operators import sparse_text as W
 from sparkloom.operators import trees as R
 from sparkloom.plans.base import query, table
+from sparkloom.sources.files import scratch
 
 NUM = ["l_quantity", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-_ID = F.col("l_orderkey") * 8 + F.col("l_linenumber")
 MODELS, SEED, SHARE = 7, 3, 0.8
 _WRAP = f"{1 << 64}::UHUGEINT"
 #: The rows of each model's draw: a hash of key and model, from 0 to 1, is less than the share.
@@ -23,13 +24,17 @@ _DRAWN = f"""WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, l_orderkey
 _VOTED = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(a * x + b, 3) AS predicted FROM d, g"
 
 
+def _id():
+    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
 def _lines(spark, sf):
     return table(spark, sf, "lineitem")
 
 
 def _bagged(spark, sf, **how):
     d = _lines(spark, sf)
-    bag = B.fit_linear(d, _ID, ["l_quantity"], "l_extendedprice", MODELS, share=SHARE, seed=SEED, **how)
+    bag = B.fit_linear(d, _id(), ["l_quantity"], "l_extendedprice", MODELS, share=SHARE, seed=SEED, **how)
     return d.select(*KEYS, F.round(bag.predict(), 3).alias("predicted"))
 
 
@@ -59,7 +64,7 @@ def _returned(spark, sf):
 def bag_classifier(spark, sf):
     """The mean probability of logistic models that each learn from a bootstrap of rows and a share of the features."""
     d = _returned(spark, sf)
-    bag = B.fit_logistic(d, _ID, NUM, "y", 5, columns=0.7, seed=1)
+    bag = B.fit_logistic(d, _id(), NUM, "y", 5, columns=0.7, seed=1)
     return d.select(*KEYS, F.round(bag.predict(), 6).alias("p"))
 
 
@@ -96,7 +101,7 @@ def tree_boost_phi(spark, sf):
 def tree_forest_phi(spark, sf):
     """A forest of a number, and each feature's share of a row's prediction."""
     d = _lines(spark, sf)
-    return _explained(d, R.forest(d, _ID, NUM, "l_extendedprice", trees=8, depth=4))
+    return _explained(d, R.forest(d, _id(), NUM, "l_extendedprice", trees=8, depth=4))
 
 
 @query()
@@ -107,3 +112,34 @@ def tree_reasons(spark, sf):
     top = C.top_of_row(F.col("parts"), 2, "threshold", F.col("p"), 0.5)
     rows = d.select(*KEYS, model.predict().alias("p"), model.parts().alias("parts"))
     return rows.select(*KEYS, F.round("p", 6).alias("p"), F.array_join(F.transform(top, phrase), ",").alias("reason"))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '')"
+
+
+def _words():
+    return F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != "")
+
+
+def _text_explained(spark, sf, rounds):
+    d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", "left")
+    model = W.fit(d, "doc_id", _words(), "y", rounds=rounds, tolerance=0.0, out=scratch(spark))
+    return W.explain(d, "doc_id", _words(), model)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t, quality AS y FROM documents LEFT JOIN labels USING (doc_id)),
+    r AS (SELECT doc_id, y, len(t) AS size, token, count(*) AS n FROM d, unnest(t) u(token) GROUP BY ALL),
+    g AS (SELECT token, -sum(n * (0.5::DOUBLE - y)) / (sum(n * (size + 1)) / 4::DOUBLE + 1) AS w FROM r WHERE y IS NOT NULL GROUP BY token),
+    b AS (SELECT -sum(0.5::DOUBLE - y) / (sum(len(t) + 1) / 4::DOUBLE) AS b FROM d WHERE y IS NOT NULL),
+    s AS (SELECT doc_id, sum(n * coalesce(w, 0)) AS z FROM r LEFT JOIN g USING (token) GROUP BY doc_id)
+    SELECT doc_id, (SELECT count(DISTINCT x) FROM unnest(t) q(x)) AS n_words, round(coalesce(z, 0) + b, 6) AS odds FROM d LEFT JOIN s USING (doc_id), b""")
+def text_odds_one_step(spark, sf):
+    """The odds of a text's quality after one step of the learner of words, which SQL can say too."""
+    return _text_explained(spark, sf, 1).select("doc_id", F.size("parts").cast("long").alias("n_words"), F.round("odds", 6).alias("odds"))
+
+
+@query()
+def text_explain(spark, sf):
+    """The three words of a text that add most to the odds of its quality, what they add, and the odds."""
+    top = F.transform(C.top_of_row(F.col("parts"), 3, "max"), lambda x: F.struct(x["feature"].alias("word"), F.round(x["phi"], 6).alias("phi")))
+    return _text_explained(spark, sf, 6).select("doc_id", top.alias("top"), F.round("odds", 6).alias("odds"))

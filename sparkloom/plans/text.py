@@ -197,6 +197,44 @@ def gpt_pieces_joined(spark, sf):
     return P.merged_pieces(c, "row", F.col("w"), merges, end="</w>").select("row", T.joined_pieces(F.col("pieces"), tidy=False).alias("text"))
 
 
+def _special_text():
+    """A language's mark, the text and an end mark."""
+    return F.concat(F.lit("<|"), F.coalesce("lang", F.lit("und")), F.lit("|>"), F.coalesce("text", F.lit("")), F.lit("<|endoftext|>"))
+
+
+def _special_ids(spark, sf):
+    vocab, merges = _merges("byte_bpe_50k.json")
+    specials = ["<|endoftext|>", "<|en|>", "<|de|>"]
+    whole = P.with_specials(vocab, specials)
+    words = P.around_specials(_special_text(), specials, T.pre_tokens)
+    pieces = P.merged_pieces(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", words, merges, specials=specials)
+    return P.ids_of(pieces, "doc_id", "pieces", whole), whole
+
+
+@query()
+def gpt2_special_ids(spark, sf):
+    """Ids of texts with special tokens, which stay whole; languages without a token of their own are ordinary text."""
+    ids, _ = _special_ids(spark, sf)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query("SELECT doc_id, md5(concat(CASE WHEN lang IN ('en', 'de') THEN '' ELSE '<|' || coalesce(lang, 'und') || '|>' END, coalesce(text, ''))) AS text FROM documents")
+def gpt2_skip_specials(spark, sf):
+    """Back to texts, special tokens left out."""
+    ids, vocab = _special_ids(spark, sf)
+    skip = tuple(vocab[s] for s in ("<|endoftext|>", "<|en|>", "<|de|>"))
+    return P.tokens_of(ids, "doc_id", "ids", vocab, skip).select("doc_id", F.md5(P.decode_bytes(F.col("tokens"))).alias("text"))
+
+
+@query()
+def gpt_word_ids(spark, sf):
+    """Ids of lower-cased words by merges of their bytes, the last of which carries an end mark."""
+    vocab, merges = _merges("word_bpe_49k.json")
+    words = T.cased_words(F.col("text"))
+    ids = P.ids_of(P.merged_pieces(_docs(spark, sf), "doc_id", words, merges, end="</w>", in_bytes=True), "doc_id", "pieces", vocab, None)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
 _TIDY = "text"
 for _a, _b in T.TIDY:
     _TIDY = "replace({}, '{}', '{}')".format(_TIDY, _a.replace("'", "''"), _b.replace("'", "''"))

@@ -178,6 +178,55 @@ def test_merges_join_the_best_pair_everywhere():
     assert P.merge(["x"], ranks) == ["x"] and P.merge([], ranks) == []
 
 
+def test_merges_from_a_heap_are_those_of_passes():
+    """As a pass over the word for each merge, for any order of ranks, and in a time that grows with the length."""
+    import random
+    import time
+
+    def passes(symbols, ranks):
+        while len(symbols) > 1:
+            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: ranks.get(p, len(ranks)))
+            if best not in ranks:
+                break
+            out, i = [], 0
+            while i < len(symbols):
+                if tuple(symbols[i : i + 2]) == best:
+                    out.append("".join(best))
+                    i += 2
+                else:
+                    out.append(symbols[i])
+                    i += 1
+            symbols = out
+        return symbols
+
+    rng = random.Random(3)
+    for _ in range(300):
+        parts = ["a", "b", "c", "ab", "aa", "bc", "aab", "ca"]
+        pairs = list({(rng.choice(parts), rng.choice(parts)) for _ in range(12)})
+        ranks = {p: i for i, p in enumerate(pairs)}
+        word = rng.choices("abc", k=rng.randint(0, 30))
+        assert P.merge(list(word), ranks) == passes(list(word), ranks)
+    ranks = {("a" * 2**i, "a" * 2**i): i for i in range(20)}
+    start = time.perf_counter()
+    assert "".join(P.merge(["a"] * 100_000, ranks)) == "a" * 100_000
+    assert time.perf_counter() - start < 5
+
+
+def test_special_tokens_stay_whole_and_the_longest_is_taken(spark):
+    specials = ["<a>", "<a><b>", "é|x"]
+    df = spark.createDataFrame([(1, "p<a><b>q<a>r"), (2, "<a>"), (3, ""), (4, None), (5, "é|xé|x s")], "k long, text string")
+    words = P.around_specials(F.col("text"), specials, lambda c: F.filter(F.split(c, " "), lambda w: w != ""))
+    got = {r.k: r.w for r in df.select("k", words.alias("w")).collect()}
+    assert got == {1: ["p", "<a><b>", "q", "<a>", "r"], 2: ["<a>"], 3: [], 4: [], 5: ["é|x", "é|x", "s"]}
+    vocab = P.with_specials({"p": 0, "q": 1, "r": 2, "s": 3}, specials)
+    ids = P.ids_of(P.merged_pieces(df, "k", words, [], specials=specials), "k", "pieces", vocab, None)
+    assert {r.k: list(r.ids) for r in ids.collect()} == {1: [0, 5, 1, 4, 2], 2: [4], 3: [], 4: [], 5: [6, 6, 3]}
+    back = P.tokens_of(ids, "k", "ids", vocab, (4, 5)).select("k", P.decode_bytes(F.col("tokens")).alias("t"))
+    assert {r.k: r.t for r in back.collect()} == {1: "pqr", 2: "", 3: "", 4: "", 5: "é|xé|xs"}
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        P.ids_of(df.select("k", F.array(F.lit("z")).alias("pieces")), "k", "pieces", vocab, None).collect()
+
+
 def test_standardised_text(spark):
     df = spark.createDataFrame([("wait… it´s — done\n\n next  (x)",)], "t string")
     assert df.select(T.standardise(F.col("t"))).first()[0] == "wait... it's - done \n next ( x )"

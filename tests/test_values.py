@@ -157,6 +157,28 @@ def test_pre_tokens_and_ids(spark, texts):
     assert got == {d: (len(i), hashlib.md5(",".join(map(str, i)).encode()).hexdigest()) for d, i in ids.items()}
 
 
+def test_ids_with_special_tokens_are_the_librarys(spark, texts):
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in ("<|en|>", "<|de|>")])
+    lang = dict(pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "lang"]].itertuples(index=False))
+    ids = {d: tok.encode(f"<|{lang[d]}|>{t or ''}<|endoftext|>", add_special_tokens=False).ids for d, t in texts.items()}
+    got = {r.doc_id: (r.n, r.ids) for r in rows(spark, "gpt2_special_ids").itertuples()}
+    assert got == {d: (len(i), hashlib.md5(",".join(map(str, i)).encode()).hexdigest()) for d, i in ids.items()}
+
+
+def test_ids_of_words_are_the_librarys(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {d: tok.encode(t or "", add_special_tokens=False).ids for d, t in texts.items()}
+    got = {r.doc_id: (r.n, r.ids) for r in rows(spark, "gpt_word_ids").itertuples()}
+    assert got == {d: (len(i), hashlib.md5(",".join(map(str, i)).encode()).hexdigest()) for d, i in ids.items()}
+
+
 def test_word_pieces_of_documents(spark, texts):
     import collections
     import re

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import dense, ensembles, files, learning, rows, sampling, sequence, tabular, text
+from sparkloom.plans import dense, ensembles, files, learning, measures, rows, sampling, sequence, tabular, text
 from sparkloom.plans.base import ORACLES, QUERIES, Query
 
-MODULES = (tabular, text, sequence, sampling, learning, ensembles, dense, files, rows)
+MODULES = (tabular, text, sequence, sampling, learning, ensembles, measures, dense, files, rows)
 
 
 def queries() -> dict[str, Query]:

@@ -28,14 +28,20 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import SLICE_BYTES, drop, written
 
-#: Words of a block, and the most that may be asked for: a list's number in its block has 24 bits.
-BLOCK_WORDS, MOST_WORDS = 4_000_000, 1 << 23
+#: Words of a block, and the most that may be asked for.
+BLOCK_WORDS, MOST_WORDS = 3_000_000, 1 << 23
 #: Rows of keys in one Arrow batch.
 KEY_ROWS = 50_000
-#: Parts that the rows of one key are dealt to, in joins on a phrase's parts and before the last ranking.
+#: Parts that the rows of a hot phrase are dealt to in joins, and those of a language before the last ranking.
 SALTS, HEATS = 8, 64
-_NAMES = ("block", "local", "a", "b", "n", "lead", "lists", "ends")
-_HEAD = "block long, local int, a {0}, b {1}, n long, lead int, lists binary, ends binary"
+#: A list's number in its block has this many bits; its name is the block's number and this.
+LIST_BITS = 24
+#: A phrase that makes up this share of all words or more is hot; there can't be more of them than the share goes into one.
+HOT = 1 / 1000
+#: A block's lists: all places, each list's length and how many of it count, packed, and for phrases of several words the
+#: packed pairs of their parts among `names`. Level 1 has a row for each list besides, as its keys are strings.
+_BLOCK = "block long, lead int, lists binary, lengths binary, own binary"
+_WORDS, _PHRASES = f"{_BLOCK}, place long, a string, b binary, n long", f"{_BLOCK}, pairs binary, names binary"
 _END = b","
 
 
@@ -75,6 +81,13 @@ class _Numbers(dict):
         return n
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(n, _KINDS[k]) for n, k in (f.split() for f in schema.split(", "))]))
+
+
 class _Block:
     """Words of some documents, by place; -1 ends a piece."""
 
@@ -98,27 +111,36 @@ class _Block:
         if len(ids):
             named = sorted((n, lang, w) for lang, numbers in self.numbers.items() for w, n in numbers.items() if n >= 0)
             order = np.argsort(ids, kind="stable")
-            keys = pa.array([x[1] for x in named], pa.string()), pa.array([x[2] for x in named], pa.binary())
-            yield from _lists(self.block, self.lead, 1, ids[order], places[order], *keys)
+            row, _, own = _lists(self.lead, 1, ids[order], places[order])
+            yield _batch(_WORDS, [{"block": self.block, **row}])
+            for at in range(0, len(named), KEY_ROWS):
+                part = named[at : at + KEY_ROWS]
+                place = pa.array(np.arange(at, at + len(part)) + (self.block << LIST_BITS))
+                keys = place, pa.array([x[1] for x in part], pa.string()), pa.array([x[2] for x in part], pa.binary()), pa.array(own[at : at + KEY_ROWS].astype(np.int64))
+                names = [f.split()[0] for f in _WORDS.split(", ")]
+                none = [pa.nulls(len(part), _KINDS[f.split()[1]]) for f in _BLOCK.split(", ")]
+                yield pa.RecordBatch.from_arrays([*none, *keys], names=names)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Differences of integers, compressed, after their number."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return len(x).to_bytes(8, "little") + pa.compress(steps.tobytes(), codec="zstd", asbytes=True)
+
 
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little") * np.dtype(kind).itemsize
+    return np.cumsum(np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), kind), dtype=kind)
 
-def _lists(block: int, lead: int, size: int, keys: np.ndarray, places: np.ndarray, a: pa.Array, b: pa.Array, last: bool = False) -> Iterator[pa.RecordBatch]:
-    """A block's row of lists (not of the last size), and a row for each list. keys are sorted, with a and b for each new one."""
+
+def _lists(lead: int, size: int, keys: np.ndarray, places: np.ndarray, last: bool = False) -> tuple[dict[str, bytes | int | None], np.ndarray, np.ndarray]:
+    """A block's lists of places by sorted keys, packed (without the places at the last size), the first of each, and how many count."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ends = np.append(first[1:], len(keys)).astype(np.int32)
-    own = np.concatenate([[0], np.cumsum(places >= lead - size + 1)])  # a phrase counts where its last word does
-    lengths = own[ends] - own[first]
-    none = lambda n, t: pa.nulls(n, t)
-    if not last:
-        head = [pa.array([block]), pa.array([-1], pa.int32()), none(1, a.type), none(1, b.type), none(1, pa.int64()), pa.array([lead], pa.int32())]
-        yield pa.RecordBatch.from_arrays([*head, pa.array([places.tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary())], names=_NAMES)
-    for at in range(0, len(ends), KEY_ROWS):
-        n = min(KEY_ROWS, len(ends) - at)
-        local = np.arange(at, at + n, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block, np.int64)), pa.array(local), a.slice(at, n), b.slice(at, n), pa.array(lengths[at : at + n].astype(np.int64)), none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary())],
-            names=_NAMES,
-        )
+    ends = np.append(first[1:], len(keys))
+    sums = np.concatenate([[0], np.cumsum(places >= lead - size + 1)])  # a phrase counts where its last word does
+    own = (sums[ends] - sums[first]).astype(np.int32)
+    row = {"lead": lead, "lists": None if last else packed(places.astype(np.int32)), "lengths": packed((ends - first).astype(np.int32)), "own": packed(own)}
+    return row, first, own
 
 
 def blocks(docs: DataFrame, text: str, lang: str, longest: int, words: int = BLOCK_WORDS) -> DataFrame:
@@ -144,62 +166,79 @@ def blocks(docs: DataFrame, text: str, lang: str, longest: int, words: int = BLO
                 now.add(named, [_END])
         yield from now.rows()
 
-    return source.mapInArrow(run, _HEAD.format("string", "binary"))
+    return source.mapInArrow(run, _WORDS)
 
 
 def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool) -> DataFrame:
     """The lists of phrases of `size` words, where two frequent ones of a word less stand one place apart."""
-    known = frequent.groupBy("block").agg(F.collect_list(F.struct("local", "name")).alias("known")).select("block", F.col("known.local").alias("local"), F.col("known.name").alias("name"))
-    rows = lists.where("local = -1").select("block", "lead", "lists", "ends").join(known, "block")
+    block = F.shiftright("place", LIST_BITS).alias("block")
+    own = F.struct((F.col("place") % (1 << LIST_BITS)).cast("int").alias("local"), "name")
+    known = frequent.groupBy(block).agg(F.collect_list(own).alias("known")).select("block", F.col("known.local").alias("local"), F.col("known.name").alias("name"))
+    rows = lists.where("lists is not null").select("block", "lead", "lists", "lengths").join(known, "block")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, lead, whole, ends = (batch.column(c)[i].as_py() for c in range(4))
+                block, lead, whole, lengths = (batch.column(c)[i].as_py() for c in range(4))
                 local, name = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
-                whole, ends = np.frombuffer(whole, np.int32), np.frombuffer(ends, np.int32)
-                starts = np.concatenate([[0], ends[:-1]])
-                n = ends[local] - starts[local]
-                take = np.repeat(starts[local] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                places, phrase = whole[take], np.repeat(np.arange(len(local), dtype=np.int64), n)
+                whole, lengths = unpacked(whole, np.int32), unpacked(lengths, np.int32)
+                n, starts = lengths[local], (np.cumsum(lengths, dtype=np.int32) - lengths)[local]
+                take = np.repeat(starts - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
+                places, phrase = whole[take], np.repeat(np.arange(len(local), dtype=np.int32), n)
+                del whole, take
                 order = np.argsort(places, kind="stable")  # merges sorted runs
                 places, phrase = places[order], phrase[order]
                 at = np.flatnonzero(places[1:] == places[:-1] + 1)
                 if len(at):
-                    key = phrase[at] * len(local) + phrase[at + 1]
+                    key, places = phrase[at].astype(np.int64) * len(local) + phrase[at + 1], places[at]
+                    del phrase, order
                     order = np.argsort(key, kind="stable")
-                    key, places = key[order], places[at][order]
-                    new = key[np.concatenate([[True], key[1:] != key[:-1]])]
-                    yield from _lists(block, lead, size, key, places, pa.array(name[new // len(local)]), pa.array(name[new % len(local)]), last)
+                    key, places = key[order], places[order]
+                    row, first, _ = _lists(lead, size, key, places, last)
+                    yield _batch(_PHRASES, [{"block": block, **row, "pairs": packed(key[first]), "names": packed(name)}])
+
+    return rows.mapInArrow(run, _PHRASES)
+
 
-    return rows.mapInArrow(run, _HEAD.format("long", "long"))
+def keys_of(lists: DataFrame) -> DataFrame:
+    """place, a, b and n of each list of phrases of several words: its name if it comes first, its parts and how many count."""
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, own, pairs, names = (batch.column(c)[i].as_py() for c in range(4))
+                own, pairs, names = unpacked(own, np.int32), unpacked(pairs, np.int64), unpacked(names, np.int64)
+                for at in range(0, len(own), KEY_ROWS):
+                    pair = pairs[at : at + KEY_ROWS]
+                    place = np.arange(at, at + len(pair)) + (block << LIST_BITS)
+                    columns = place, names[pair // len(names)], names[pair % len(names)], own[at : at + KEY_ROWS].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "a", "b", "n"])
 
-def _name() -> Column:
-    return F.col("block") * (1 << 24) + F.col("local")
+    return lists.select("block", "own", "pairs", "names").mapInArrow(run, "place long, a long, b long, n long")
 
 
-def frequencies(lists: DataFrame, least: int) -> DataFrame:
-    """block, local, a, b, f and name of the lists of frequent phrases. A name is the first block and list of a phrase."""
+def frequencies(keys: DataFrame, least: int) -> DataFrame:
+    """place, a, b, f and name of the lists of frequent phrases. A phrase has the name of the first list that it has."""
     same = Window.partitionBy("a", "b")
-    rows = lists.where("local >= 0").select("block", "local", "a", "b", "n")
-    return rows.select("*", F.sum("n").over(same).alias("f"), F.min(_name()).over(same).alias("name")).where(F.col("f") >= least).drop("n")
+    return keys.select("*", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("name")).where(F.col("f") >= least).drop("n")
 
 
 def _once(frequent: DataFrame) -> DataFrame:
-    return frequent.where(F.col("name") == _name()).select("name", "a", "b", "f")
+    return frequent.where("name = place").select("name", "a", "b", "f")
 
 
-def _longer(short: DataFrame, frequent: DataFrame) -> DataFrame:
+def _longer(short: DataFrame, frequent: DataFrame, words: int) -> DataFrame:
     """Phrases with their frequency and those of all that they begin or end with, from phrases of a word less.
 
-    Many phrases begin or end with the same one, so these are dealt to SALTS parts, and what they are joined with to each.
+    Many phrases may begin or end with a hot one: these are dealt to SALTS parts, and what they are joined with to each.
     """
-    salted = short.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    hot = [r.name for r in short.where(F.col("f") >= max(1.0, words * HOT)).select("name").collect()]
+    copies = F.when(F.col("name").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    salted = short.withColumn("salt", F.explode(copies))
     x = salted.select(F.col("name").alias("a"), F.col("salt").alias("x_salt"), "lang", "phrase", "heads", F.col("f").alias("head"))
     y = salted.select(F.col("name").alias("b"), F.col("salt").alias("y_salt"), "tails", F.col("last"), F.col("f").alias("tail"))
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    both = _once(frequent).withColumns({"x_salt": salt("b"), "y_salt": salt("a")}).join(x, ["a", "x_salt"]).join(y, ["b", "y_salt"])
+    salt = lambda c, by: F.when(F.col(c).isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0)
+    both = _once(frequent).withColumns({"x_salt": salt("a", "b"), "y_salt": salt("b", "a")}).join(x, ["a", "x_salt"]).join(y, ["b", "y_salt"])
     return both.select(
         "name", "a", "b", "lang", F.concat("phrase", F.lit(b" "), "last").alias("phrase"), "last", "f",
         F.concat("heads", F.array("head")).alias("heads"), F.concat("tails", F.array("tail")).alias("tails"),
@@ -231,16 +270,18 @@ def mine(
     if longest < 2 or not 0 < block_words <= MOST_WORDS:
         raise ValueError("phrases have two words at least, and a block at most MOST_WORDS")
     lists = written(blocks(docs, text, lang, longest, block_words))
-    words = written(lists.where("local >= 0").groupBy(F.col("a").alias("lang")).agg(F.sum("n").alias("n")))
-    frequent = written(frequencies(lists, least))
+    keys = lists.where("lists is null").select("place", "a", "b", "n")
+    words = written(keys.groupBy(F.col("a").alias("lang")).agg(F.sum("n").alias("n")))
+    number = words.agg(F.sum("n")).first()[0] or 0
+    frequent = written(frequencies(keys, least))
     short = _once(frequent).select("name", F.col("a").alias("lang"), F.col("b").alias("phrase"), F.col("b").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
     short = written(short)
     found, used = [], [words, short]
     for size in range(2, longest + 1):
         after = written(merged(lists, frequent, size, size == longest))
         drop(lists, frequent)
-        lists, frequent = after, written(frequencies(after, least))
-        long = written(_longer(short, frequent))
+        lists, frequent = after, written(frequencies(keys_of(after), least))
+        long = written(_longer(short, frequent, number))
         used.append(long)
         if size > 2:
             found.append(_lasting(short, long, percent))

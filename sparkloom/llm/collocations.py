@@ -19,6 +19,7 @@ An empty table has no phrases. Columns other than those of text and language are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -27,11 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import SLICE_BYTES, drop, written
+from sparkloom.llm.hashing import U, mix
 
 #: Words of a block, and the most that may be asked for.
 BLOCK_WORDS, MOST_WORDS = 3_000_000, 1 << 23
 #: Rows of keys in one Arrow batch.
 KEY_ROWS = 50_000
+#: Parts in which keys are exchanged, one after another, so that the disk holds a part of them at a time.
+KEY_PARTS = 2
 #: Parts that the rows of a hot phrase are dealt to in joins, and those of a language before the last ranking.
 SALTS, HEATS = 8, 64
 #: A list's number in its block has this many bits; its name is the block's number and this.
@@ -181,6 +185,7 @@ def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool) -> Data
             for i in range(batch.num_rows):
                 block, lead, whole, lengths = (batch.column(c)[i].as_py() for c in range(4))
                 local, name = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
+                local, name = local[order := np.argsort(name)], name[order]
                 whole, lengths = unpacked(whole, np.int32), unpacked(lengths, np.int32)
                 n, starts = lengths[local], (np.cumsum(lengths, dtype=np.int32) - lengths)[local]
                 take = np.repeat(starts - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
@@ -200,8 +205,9 @@ def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool) -> Data
     return rows.mapInArrow(run, _PHRASES)
 
 
-def keys_of(lists: DataFrame) -> DataFrame:
-    """place, a, b and n of each list of phrases of several words: its name if it comes first, its parts and how many count."""
+def keys_of(lists: DataFrame, part: int) -> DataFrame:
+    """place, a, b and n of each list of phrases of several words: its name if it comes first, its parts and how many count.
+    Those of one of KEY_PARTS parts, by a hash of the phrase."""
 
     def run(batches):
         for batch in batches:
@@ -212,15 +218,17 @@ def keys_of(lists: DataFrame) -> DataFrame:
                     pair = pairs[at : at + KEY_ROWS]
                     place = np.arange(at, at + len(pair)) + (block << LIST_BITS)
                     columns = place, names[pair // len(names)], names[pair % len(names)], own[at : at + KEY_ROWS].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "a", "b", "n"])
+                    of = mix(columns[1].astype(np.uint64) ^ mix(columns[2].astype(np.uint64))) % U(KEY_PARTS) == part
+                    yield pa.RecordBatch.from_arrays([pa.array(c[of]) for c in columns], names=["place", "a", "b", "n"])
 
     return lists.select("block", "own", "pairs", "names").mapInArrow(run, "place long, a long, b long, n long")
 
 
 def frequencies(keys: DataFrame, least: int) -> DataFrame:
-    """place, a, b, f and name of the lists of frequent phrases. A phrase has the name of the first list that it has."""
+    """place and name of the lists of frequent phrases, and with a phrase's first list, whose place is its name, a, b and f."""
     same = Window.partitionBy("a", "b")
-    return keys.select("*", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("name")).where(F.col("f") >= least).drop("n")
+    found = keys.select("*", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("name")).where(F.col("f") >= least)
+    return found.select("place", "name", *[F.when(F.col("name") == F.col("place"), F.col(c)).alias(c) for c in ("a", "b", "f")])
 
 
 def _once(frequent: DataFrame) -> DataFrame:
@@ -273,20 +281,22 @@ def mine(
     keys = lists.where("lists is null").select("place", "a", "b", "n")
     words = written(keys.groupBy(F.col("a").alias("lang")).agg(F.sum("n").alias("n")))
     number = words.agg(F.sum("n")).first()[0] or 0
-    frequent = written(frequencies(keys, least))
+    parts = [written(frequencies(keys, least))]
+    frequent = parts[0]
     short = _once(frequent).select("name", F.col("a").alias("lang"), F.col("b").alias("phrase"), F.col("b").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
     short = written(short)
     found, used = [], [words, short]
     for size in range(2, longest + 1):
         after = written(merged(lists, frequent, size, size == longest))
-        drop(lists, frequent)
-        lists, frequent = after, written(frequencies(keys_of(after), least))
+        drop(lists, *parts)
+        lists, parts = after, [written(frequencies(keys_of(after, i), least)) for i in range(KEY_PARTS)]
+        frequent = reduce(DataFrame.unionByName, parts)
         long = written(_longer(short, frequent, number))
         used.append(long)
         if size > 2:
             found.append(_lasting(short, long, percent))
         short = long
-    drop(lists, frequent)
+    drop(lists, *parts)
     found.append(short)
     columns = ["lang", "phrase", "f", "heads", "tails"]
     every = found[0].select(columns)

@@ -217,3 +217,84 @@ def jaccard_components(docs: dict[int, str | None]) -> dict[int, tuple]:
                 a, b = top(d), top(o)
                 up[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), top(d)) for d in docs}
+
+
+def fill_in_middle(doc_id: int | None, text: str | None) -> dict:
+    """Units cut by a pattern, joined again around two of their borders."""
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    n, h = len(units), sha(f"1:{'' if doc_id is None else doc_id}")
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    row = {"n": n, "form": "plain", "prefix_chars": None, "middle_chars": None, "output_sha256": sha(text), "restored_sha256": sha(text)}
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return row
+    low, high = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(units[:low]), "".join(units[low:high]), "".join(units[high:])
+    form = "spm" if h4 % 100 < 20 else "psm"
+    out = f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+    return row | {"form": form, "prefix_chars": len(p), "middle_chars": len(m), "output_sha256": sha(out)}
+
+
+def ascii_lower(text: str) -> str:
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+
+
+def collocations(rows: list[tuple[str | None, str | None]], least: int, percent: int, longest: int, top: int) -> set[tuple]:
+    """rows of (text, lang): every phrase counted, all longer ones asked, all cuts scored."""
+    from collections import Counter, defaultdict
+
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts["und" if lang is None else lang][tuple(words[i : i + k])] += 1
+    out = set()
+    for lang, f in counts.items():
+        n = sum(c for w, c in f.items() if len(w) == 1)
+        candidates = {w: c for w, c in f.items() if len(w) > 1 and c >= least}
+        kept = []
+        for w, a in candidates.items():
+            inside = lambda v: any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1))  # noqa: B023, E731
+            if any(len(v) > len(w) and 100 * b >= percent * a and inside(v) for v, b in candidates.items()):
+                continue
+            score, _, l, r = min((2_000_000 * a // (f[w[:k]] + f[w[k:]]), k, f[w[:k]], f[w[k:]]) for k in range(1, len(w)))
+            kept.append((-score, -a, " ".join(w).encode(), l, r))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(kept)[:top], 1):
+            out.add((lang, rank, phrase.decode(), -a, l, r, n, -score))
+    return out
+
+
+def license_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+
+
+def licenses(texts: list[str | None], notices, phrases: dict[str, str], anchors: int, slack: int, least: float) -> list[dict]:
+    """Every place of every template: IDFs counted anew, each start tried, shares and key phrases by lists of words."""
+    words = [license_words(t) for t in texts]
+    vocabulary = {w for _, t, _ in notices for w in t.split()} | {w for p in phrases for w in p.split()}
+    df = {w: sum(w in set(ws) for ws in map(set, words)) for w in vocabulary}
+    idf = {w: log((len(texts) + 1) / (df[w] + 1)) + 1e-9 for w in vocabulary}
+    out = []
+    for ws in words:
+        places = []
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            places += [(i, label, 1.0, True) for i in range(len(ws) - len(p) + 1) if ws[i : i + len(p)] == p]
+        for label, notice, keys in notices:
+            t = notice.split()
+            first = {w: t.index(w) for w in t}
+            index = sorted(first, key=lambda w: (-idf[w], first[w]))[:anchors]  # noqa: B023
+            for start in {i - first[w] for i, w in enumerate(ws) if w in index}:
+                near = lambda w: ws[max(start + first[w] - slack, 0) : max(start + first[w] + slack + 1, 0)]  # noqa: B023, E731
+                share = sum(idf[w] for w in index if w in near(w)) / sum(idf[w] for w in index)
+                stretch = " ".join(["", *ws[max(start - slack, 0) : max(start + len(t) + slack, 0)], ""])
+                if share >= least and all(f" {k} " in stretch for k in keys):
+                    places.append((start, label, share, False))
+        base = sorted(i for i, _, _, exact in places if exact)
+        out.append({
+            "n_words": len(ws), "n_base": len(base), "first_word": base[0] if base else None, "last_word": base[-1] if base else None,
+            "base_labels": ",".join(sorted({k for _, k, _, exact in places if exact})), "labels": ",".join(sorted({p[1] for p in places})), "score": max((p[2] for p in places), default=0.0),
+        })
+    return out

@@ -1,6 +1,6 @@
 """Logistic learners: Newton steps from sums over the data, for the models of all folds at once.
 
-A step reads the data once, whatever the number of models; each model's gradient and second derivatives, (d + 1)(d + 4) / 2
+The columns asked for are written once, and a step reads them once, whatever the number of models, until no weight moves; each model's gradient and second derivatives, (d + 1)(d + 4) / 2
 numbers, reach the driver. Features are brought to one scale first. Rows with a null feature or target are left out.
 """
 
@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.learners import linear
+from sparkloom.operators.tables import staged
 
-ROUNDS = 8
+#: Steps at most, and how far a weight (of features of one scale) moves when it has settled.
+ROUNDS, SETTLED = 8, 1e-9
 
 
 def newton_step(w: np.ndarray, gradient: np.ndarray, curve: np.ndarray, alpha: float) -> np.ndarray:
@@ -40,11 +42,16 @@ def unscaled(w: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
 def fit(df: DataFrame, features: list[str], target: str, *, alpha: float = 1.0, fold: Column | None = None, rounds: int = ROUNDS) -> dict[int, np.ndarray]:
     """Weights (intercept first) by held-out fold: each model learns from the rows of all other folds. Without folds one
     model, 0, learns from all rows. target is 0 or 1."""
-    rows = df.dropna(subset=[*features, target]).select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_y"), (F.lit(-1) if fold is None else fold).cast("int").alias("_f"))
+    numbers = df.dropna(subset=[*features, target]).select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_y"), (F.lit(-1) if fold is None else fold).cast("int").alias("_f"))
+    with staged(numbers) as rows:
+        return _fit(rows, features, alpha, fold is not None, rounds)
+
+
+def _fit(rows: DataFrame, features: list[str], alpha: float, folds: bool, rounds: int) -> dict[int, np.ndarray]:
     first = rows.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.collect_set("_f").alias("folds")).first()
     mean, std = (np.array([first[f"{n}_{c}"] for c in features], float) for n in "ms")
     std = np.where(std > 0, std, 1.0)
-    models = [0] if fold is None else sorted(first["folds"])
+    models = sorted(first["folds"]) if folds else [0]
     z = [F.lit(1.0), *[(F.col(c) - float(m)) / float(s) for c, m, s in zip(features, mean, std, strict=True)]]
     pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
     ws = {f: np.zeros(len(z)) for f in models}
@@ -59,13 +66,17 @@ def fit(df: DataFrame, features: list[str], target: str, *, alpha: float = 1.0,
         sums += [F.sum(own * p * (1 - p) * z[i] * z[j]).alias(f"h{f}_{i}_{j}") for i, j in pairs]
     odds = {f"_p{f}": 1 / (1 + F.exp(-sum((F.col(name(f, i)) * c for i, c in enumerate(z)), F.lit(0.0)))) for f in models}
     for _ in range(rounds):
-        now = df.sparkSession.createDataFrame([[float(v) for f in models for v in ws[f]]], schema)
-        got = rows.crossJoin(F.broadcast(now)).withColumns(odds).agg(*sums).first()
+        now = rows.sparkSession.createDataFrame([[float(v) for f in models for v in ws[f]]], schema)
+        got, moved = rows.crossJoin(F.broadcast(now)).withColumns(odds).agg(*sums).first(), 0.0
         for f in ws:
             curve = np.zeros((len(z), len(z)))
             for i, j in pairs:
                 curve[i, j] = curve[j, i] = got[f"h{f}_{i}_{j}"]
-            ws[f] = newton_step(ws[f], np.array([got[f"g{f}_{i}"] for i in range(len(z))]), curve, alpha)
+            after = newton_step(ws[f], np.array([got[f"g{f}_{i}"] for i in range(len(z))]), curve, alpha)
+            moved = max(moved, float(np.abs(after - ws[f]).max()))
+            ws[f] = after
+        if moved <= SETTLED:
+            break
     return {f: unscaled(w, mean, std) for f, w in ws.items()}
 
 

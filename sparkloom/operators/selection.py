@@ -74,15 +74,48 @@ def top_of_row(parts: Column, k: int, strategy: str = "max", score: Column | Non
     return F.transform(F.slice(keyed, 1, k), lambda e: e["x"])
 
 
+def _named(groups: dict[str, list[str]]) -> dict[str, str]:
+    named = [(f, g) for g, fs in groups.items() for f in fs]
+    if len({f for f, _ in named}) < len(named):
+        raise ValueError("a feature is in more than one group")
+    return dict(named)
+
+
+def groups_of_row(parts: Column, groups: dict[str, list[str]], features: list[str]) -> Column:
+    """The groups of a row's array of structs with feature and phi: structs of group, group_phi and its parts, by highest sum, then
+    name; parts by highest contribution, then name. features are all that there are; one in no group is a group of its own.
+    Sorts inside the row, without a shuffle."""
+    of = _named(groups)
+    names = list(dict.fromkeys([*groups, *(f for f in features if f not in of)]))
+    inside = {g: [f for f in features if of.get(f, f) == g] for g in names}
+
+    def one(g: str) -> Column:
+        own = F.filter(parts, lambda x: x["feature"].isin(inside[g]))
+        ordered = F.transform(F.array_sort(F.transform(own, lambda x: F.struct((-x["phi"]).alias("k"), x["feature"].alias("f"), x.alias("x")))), lambda e: e["x"])
+        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["phi"])
+        return F.struct((-total).alias("k"), F.lit(g).alias("group"), total.alias("group_phi"), ordered.alias("parts"))
+
+    there = F.filter(F.array(*[one(g) for g in names if inside[g]]), lambda e: F.size(e["parts"]) > 0)
+    return F.transform(F.array_sort(there), lambda e: F.struct(e["group"].alias("group"), e["group_phi"].alias("group_phi"), e["parts"].alias("parts")))
+
+
+def quota_of_row(sorted_groups: Column, k: int) -> Column:
+    """As top_by_group, of what groups_of_row gives: structs of group, rank of the group and part."""
+    n = F.size(sorted_groups)
+
+    def took(e: Column, i: Column) -> Column:
+        share = F.when(n >= k, F.when(i < k, 1).otherwise(0)).otherwise(F.floor(F.lit(k) / n) + F.when(i < F.lit(k) % n, 1).otherwise(0)).cast("int")
+        return F.transform(F.slice(e["parts"], 1, share), lambda x: F.struct(e["group"].alias("group"), (i + 1).alias("rank"), x.alias("part")))
+
+    return F.flatten(F.transform(sorted_groups, took))
+
+
 def grouped(phi: DataFrame, row: str, groups: dict[str, list[str]]) -> DataFrame:
     """Adds group and group_phi, the sum of the row's contributions of the feature's group.
 
     A feature in two groups is an error; one in none is a group of its own.
     """
-    named = [(f, g) for g, fs in groups.items() for f in fs]
-    if len({f for f, _ in named}) < len(named):
-        raise ValueError("a feature is in more than one group")
-    group = F.coalesce(*[F.when(F.col("feature") == f, g) for f, g in named], F.col("feature"))
+    group = F.coalesce(*[F.when(F.col("feature") == f, g) for f, g in _named(groups).items()], F.col("feature"))
     return phi.withColumn("group", group).withColumn("group_phi", F.sum("phi").over(Window.partitionBy(row, "group")))
 
 

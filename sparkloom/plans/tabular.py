@@ -379,6 +379,27 @@ def group_quota(spark, sf):
     return C.top_by_group(_phi(spark, sf), "row", 3, _GROUPS).select("row", "feature", F.col("group").alias("grp"), F.round("phi", 4).alias("phi"))
 
 
+_BY_ROW = _GROUPED.replace("PARTITION BY row, grp", "PARTITION BY rid, grp").replace("PARTITION BY row ORDER", "PARTITION BY rid ORDER").replace("AS row, feature, phi, CASE", "AS row, rid, feature, phi, CASE")
+
+
+def _sorted_groups():
+    return C.groups_of_row(F.col("parts"), _GROUPS, ["l_quantity", "l_discount", "l_tax"])
+
+
+@query(_BY_ROW + "SELECT row, grp, round(gphi, 4) AS group_phi, gr::INT AS rank FROM r WHERE ir = 1")
+def row_groups(spark, sf):
+    """Each row's groups of features by summed contribution, sorted inside the row."""
+    g = _parts(spark, sf).select("row", F.posexplode(_sorted_groups()).alias("i", "g"))
+    return g.select("row", F.col("g.group").alias("grp"), F.round("g.group_phi", 4).alias("group_phi"), (F.col("i") + 1).alias("rank"))
+
+
+@query(_BY_ROW + "SELECT row, feature, grp, round(phi, 4) AS phi FROM r WHERE ir <= CASE WHEN gr = 1 THEN 2 ELSE 1 END")
+def row_group_quota(spark, sf):
+    """Three features of each row, dealt to its groups, inside the row."""
+    x = _parts(spark, sf).select("row", F.explode(C.quota_of_row(_sorted_groups(), 3)).alias("x"))
+    return x.select("row", "x.part.feature", F.col("x.group").alias("grp"), F.round("x.part.phi", 4).alias("phi"))
+
+
 @query(_PHI + "r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(phi) DESC, feature) AS k FROM p) SELECT concat_ws('/', any_value(l_orderkey), any_value(l_partkey), any_value(l_suppkey), any_value(l_linenumber)) AS row, string_agg(feature || ' value is ' || value::VARCHAR, ',' ORDER BY k) AS reason FROM r WHERE k <= 2 GROUP BY rid")
 def reason_string(spark, sf):
     phrase = lambda x: F.concat(x["feature"], F.lit(" value is "), x["value"].cast("string"))

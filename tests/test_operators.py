@@ -130,6 +130,22 @@ def test_groups_of_features(spark):
         pick(1, {"x": ["a"], "y": ["a"]})
 
 
+def test_groups_inside_a_row_are_those_of_windows(spark):
+    rng = np.random.default_rng(5)
+    names = list("abcdef")
+    rows = [(i, [(f, float(np.round(rng.normal(), 1))) for f in rng.permutation(names).tolist()]) for i in range(40)] + [(99, [])]
+    df = spark.createDataFrame(rows, "row int, parts array<struct<feature:string,phi:double>>")
+    phi = df.select("row", F.explode("parts").alias("x")).select("row", "x.*")
+    for groups in ({"x": ["a", "b"], "y": ["c", "d", "e"]}, {}, {"x": names}, {"x": ["f"], "empty": []}):
+        ordered = selection.groups_of_row(F.col("parts"), groups, names)
+        for k in (1, 2, 3, 5, 9):
+            got = df.select("row", F.explode(selection.quota_of_row(ordered, k)).alias("x")).select("row", "x.part.feature", "x.group").collect()
+            want = selection.top_by_group(phi, "row", k, groups).select("row", "feature", "group").collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    with pytest.raises(ValueError):
+        selection.groups_of_row(F.col("parts"), {"x": ["a"], "y": ["a"]}, names)
+
+
 def test_files_there_and_back(spark, tmp_path):
     (tmp_path / "in.txt").write_text("text\tlabel\nhello\t1\nonly\na\tb\tc\nbye\tx\n\n", encoding="utf8")
     rows = files.read_delimited(spark, f"{tmp_path}/in.txt", header="text\tlabel")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Trials, or checks of one run, that are folded in order: each depends on the one before.
+from sparkloom.operators.ranking import kept, numbered
+
+#: Checks of a block.
+BLOCK_CHECKS = 100_000
+#: Trials that are folded in order: each depends on the one before.
 MOST_TRIALS = 1_000_000
 
 
@@ -35,21 +39,32 @@ def sigmoid_weights(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn("weight", s / F.col("_total")).drop("_total")
 
 
-def early_stop(checks: DataFrame, patience: int, compare: str = "best") -> DataFrame:
-    """stop_at and best of (step, metric): the first step with `patience` checks in a row that don't improve.
+def _largest(rows: DataFrame, value: str, name: str, last: int) -> DataFrame:
+    """Adds the largest value of all rows up to `last` places from a row's own, in the order of _r, from the blocks' largest."""
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_b").agg(F.max(value).alias("_m")).select("_b", F.max("_m").over(before).alias("_o"))  # a row for each block
+    own = Window.partitionBy("_b").orderBy("_r").rowsBetween(Window.unboundedPreceding, last)
+    return rows.join(blocks, "_b").withColumn(name, F.greatest("_o", F.max(value).over(own))).drop("_o")
 
-    compare: with the `best` so far, or with the `previous` check. A run has at most MOST_TRIALS checks.
-    """
-    zero = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"), F.lit(None).cast("double").alias("best"))
 
-    def step(a: Column, c: Column) -> Column:
-        improved = a["ref"].isNull() | (c["metric"] > a["ref"])
-        bad = F.when(improved, 0).otherwise(a["bad"] + 1)
-        ref = F.when(improved, c["metric"]).otherwise(a["ref"]) if compare == "best" else c["metric"]
-        then = F.struct(ref.alias("ref"), bad.alias("bad"), F.when(bad >= patience, c["step"].cast("long")).alias("stop"), F.greatest(a["best"], c["metric"]).alias("best"))
-        return F.when(a["stop"].isNotNull(), a).otherwise(then)
+def early_stop(checks: DataFrame, patience: int, compare: str = "best") -> DataFrame:
+    """stop_at and best of (step, metric): the first step with `patience` checks in a row that don't improve, and the best metric
+    up to it. Steps are unique.
 
-    return checks.agg(_bounded(F.array_sort(F.collect_list(F.struct("step", "metric")))).alias("x")).select(F.aggregate("x", zero, step).alias("r")).select(F.col("r.stop").alias("stop_at"), F.col("r.best").alias("best"))
+    compare: with the `best` so far, or with the `previous` check. Checks are numbered over all tasks and dealt to blocks of
+    BLOCK_CHECKS; what stands before a block comes from a row for each, so a run may have any number of checks.
+    """
+    rows = numbered(checks.select("step", "metric"), [F.col("step")], "_r").withColumn("_b", F.floor(F.col("_r") / BLOCK_CHECKS))
+    if compare == "best":
+        seen = _largest(rows, "metric", "_ref", -1)
+    else:
+        seen = rows.join(rows.select((F.col("_r") + 1).alias("_r"), F.col("metric").alias("_ref")), "_r", "left")
+    improved = F.when(F.col("_ref").isNull() | (F.col("metric") > F.col("_ref")), F.col("_r"))
+    last = kept(_largest(seen.withColumn("_at", improved), "_at", "_last", 0).select("step", "metric", "_r", "_last"))
+    stop = last.agg(F.min(F.when(F.col("_r") - F.col("_last") >= patience, F.struct("_r", "step"))).alias("_s"))
+    until = F.when(F.col("_s").isNull() | (F.col("_r") <= F.col("_s._r")), F.col("metric"))
+    best = last.crossJoin(F.broadcast(stop)).agg(F.max(until).cast("double").alias("best"))
+    return stop.crossJoin(F.broadcast(best)).select(F.col("_s.step").cast("long").alias("stop_at"), "best")
 
 
 def top_contributions(phi: DataFrame, row: str, k: int, strategy: str = "max", score: str | None = None, threshold: float = 0.5) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranking import hash_rank
@@ -32,19 +32,20 @@ Predict = Callable[[object, np.ndarray], np.ndarray]
 Metric = Callable[[np.ndarray, np.ndarray], float]
 
 
-def read_folds(path: str, columns: list[str], held: int, out: bool) -> Batches:
-    """The rows in the held-out fold, or outside it, in the order in which they are laid out."""
+def read_folds(path: str, columns: list[str], held: int, out: bool, *more: str) -> Batches:
+    """The rows in the held-out fold, or outside it, in the order in which they are laid out: features, targets and further columns."""
 
-    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def batches() -> Iterator[tuple[np.ndarray, ...]]:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         system, place = fs.FileSystem.from_uri(path)
         rows = ds.dataset(place, filesystem=system, format="parquet", partitioning="hive")
         own = ds.field("fold") == held
-        for batch in rows.to_batches(columns=[*columns, "_target"], filter=own if out else ~own, batch_size=BATCH_ROWS):
+        for batch in rows.to_batches(columns=[*columns, "_target", *more], filter=own if out else ~own, batch_size=BATCH_ROWS):
             if batch.num_rows:
-                yield np.column_stack([batch.column(c).to_numpy() for c in columns]), batch.column("_target").to_numpy()
+                rest = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_target", *more)]
+                yield np.column_stack([batch.column(c).to_numpy() for c in columns]), *rest
 
     return batches
 
@@ -54,24 +55,36 @@ def together(batches: Batches, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])) if parts else (np.empty((0, width)), np.empty(0))
 
 
+def _numbers(data: DataFrame, key: str, features: list[str], target: str, fold: Column | None, folds: int, seed: int, holdout: float | None, keep: bool = False) -> tuple[DataFrame, int]:
+    """Features as x0, x1, ..., _target and fold of rows without nulls, and the number of folds; with keep the key too."""
+    rows = data.dropna(subset=[*features, target])
+    numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)] + [F.col(target).cast("double").alias("_target")] + [F.col(key).alias("_key")] * keep
+    if fold is not None:
+        given = rows.select(*numbers, fold.cast("int").alias("fold"))
+        return given, int((given.agg(F.max("fold")).first()[0] if not holdout else 0) or 0) + 1
+    placed = hash_rank(rows.select(key, *features, target), F.col(key), seed, name="_rank")
+    held = F.when(F.col("_rank") < int(rows.count() * holdout), 0).otherwise(1) if holdout else F.pmod("_rank", F.lit(folds))
+    return placed.select(*numbers, held.cast("int").alias("fold")), 1 if holdout else folds
+
+
+def _tasks(data: DataFrame, n: int) -> DataFrame:
+    spark = data.sparkSession
+    return spark.range(n).repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)))
+
+
 def evaluate(
     data: DataFrame, key: str, features: list[str], target: str, candidates: list[dict], fit: Fit, predict: Predict, metric: Metric,
-    *, folds: int = 5, seed: int = 42, holdout: float | None = None, update: Callable[[object, dict], dict] | None = None, stream: bool = False,
+    *, folds: int = 5, seed: int = 42, holdout: float | None = None, fold: Column | None = None, update: Callable[[object, dict], dict] | None = None, stream: bool = False,
 ) -> DataFrame:
     """candidate, params (JSON), fold, effect and seconds of every candidate on every fold.
 
     A candidate is a dictionary of parameters; `features` in it names its subset. With holdout there is one fold, that
-    share of the rows, and update(model, params) may return the parameters that a fit has found. fit gets parameters,
-    features and targets, or with stream parameters and a function that starts a pass over batches of both. metric gets
-    the fold's targets and predictions. Rows with nulls are left out.
+    share of the rows, and update(model, params) may return the parameters that a fit has found. fold gives the rows' folds,
+    from 0; a row of another number is always learned from. fit gets parameters, features and targets, or with stream
+    parameters and a function that starts a pass over batches of both. metric gets the fold's targets and predictions.
+    Rows with nulls are left out.
     """
-    spark = data.sparkSession
-    rows = data.dropna(subset=[*features, target])
-    placed = hash_rank(rows.select(key, *features, target), F.col(key), seed, name="_rank")
-    held = F.when(F.col("_rank") < int(rows.count() * holdout), 0).otherwise(1) if holdout else F.pmod("_rank", F.lit(folds))
-    numbers = placed.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("_target"), held.cast("int").alias("fold"))
-    used = 1 if holdout else folds
-    todo = spark.range(len(candidates) * used).repartition(max(1, min(len(candidates) * used, 4 * spark.sparkContext.defaultParallelism)))
+    numbers, used = _numbers(data, key, features, target, fold, folds, seed, holdout)
     with staged_at(numbers, "fold") as path:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +104,38 @@ def evaluate(
                 yield pd.DataFrame(out, columns=["candidate", "params", "fold", "effect", "seconds"])
 
         schema = "candidate long, params string, fold long, effect double, seconds double"
-        return spark.createDataFrame([tuple(r) for r in todo.mapInPandas(run, schema).collect()], schema)
+        rows = _tasks(data, len(candidates) * used).mapInPandas(run, schema).collect()
+    return data.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def out_of_fold(
+    data: DataFrame, key: str, features: list[str], target: str, candidates: list[dict], fit: Fit, predict: Predict, out: str,
+    *, folds: int = 5, seed: int = 42, holdout: float | None = None, fold: Column | None = None, stream: bool = False,
+) -> DataFrame:
+    """key, the target as y, fold and p0, p1, ...: each candidate's prediction of a row by the model that hasn't seen its fold.
+
+    With holdout, or where fold gives another number to some rows, only held-out rows are predicted: what a blend learns
+    from. Tasks write what they predict to the folder `out`, a batch at a time. Keys are unique.
+    """
+    numbers, used = _numbers(data, key, features, target, fold, folds, seed, holdout, True)
+    kind = numbers.schema["_key"].dataType.simpleString()
+    with staged_at(numbers, "fold") as path:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in batch["id"]:
+                    c, f = divmod(int(i), used)
+                    params = dict(candidates[c])
+                    own = [f"x{features.index(name)}" for name in params.pop("features", features)]
+                    learn = read_folds(path, own, f, False)
+                    model = fit(params, learn) if stream else fit(params, *together(learn, len(own)))
+                    for x, y, keys in read_folds(path, own, f, True, "_key")():
+                        yield pd.DataFrame({"candidate": c, key: keys, "y": y, "fold": f, "p": np.asarray(predict(model, x), float)})
+
+        schema = f"candidate int, `{key}` {kind}, y double, fold int, p double"
+        _tasks(data, len(candidates) * used).mapInPandas(run, schema).write.mode("overwrite").parquet(out)
+    long = data.sparkSession.read.schema(schema).parquet(out)
+    return long.groupBy(key, "y", "fold").agg(*[F.max(F.when(F.col("candidate") == c, F.col("p"))).alias(f"p{c}") for c in range(len(candidates))])
 
 
 def summary(trials: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from sparkloom.operators import search as S
 from sparkloom.operators import selection as C
 from sparkloom.operators import trials as U
 from sparkloom.plans.base import query, table
+from sparkloom.sources.files import scratch
 
 NUM = ["l_quantity", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -220,3 +221,30 @@ def distributed_feature_search(spark, sf):
     candidates = [{**c, "alpha": 1.0} for c in U.subsets(["n", "mean", "most"], 1, 6, 1)]
     t = U.evaluate(_balances(spark, sf), "c_custkey", ["n", "mean", "most"], "y", candidates, _logistic, _predicted, _accuracy, holdout=0.3)
     return t.select("candidate", "params", F.round("effect", 6).alias("effect"))
+
+
+def _any_stack(spark, sf, **how):
+    """Two learners that need rows, and a logistic model, from sums, of their predictions of rows that they haven't seen."""
+    d, bases = _balances(spark, sf), [{"alpha": 1.0, "features": ["n"]}, {"alpha": 1.0}]
+    oof = U.out_of_fold(d, "c_custkey", ["n", "mean"], "y", bases, _logistic, _predicted, scratch(spark), **how)
+    w = G.fit(oof.withColumn("y", F.col("y").cast("int")), ["p0", "p1"], "y")[0]
+    return oof.select("c_custkey", "fold", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), F.round(G.probability(w, ["p0", "p1"]), 4).alias("p"))
+
+
+@query()
+def stack_any_learner(spark, sf):
+    """A stack over folds that a column gives."""
+    return _any_stack(spark, sf, fold=F.col("c_custkey") % 4)
+
+
+@query()
+def blend_any_learner(spark, sf):
+    """A blend: learners see what isn't held out, their votes are learned from what is."""
+    return _any_stack(spark, sf, holdout=0.3)
+
+
+@query()
+def stack_metrics_only(spark, sf):
+    """Only the scores of a stack's learners on given folds, and the weights that they vote with."""
+    t = U.evaluate(_balances(spark, sf), "c_custkey", ["n", "mean"], "y", [{"alpha": 1.0, "features": ["n"]}, {"alpha": 1.0}], _logistic, _predicted, _accuracy, fold=F.col("c_custkey") % 4)
+    return C.sigmoid_weights(U.summary(t).select(F.col("trial").alias("learner"), F.col("effect").alias("score")), "score").select("learner", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight"))

@@ -125,3 +125,30 @@ def test_trials_of_learners_from_batches(spark):
     best = {r.candidate: r.effect for r in trials.summary(got).withColumnRenamed("trial", "candidate").collect()}
     assert best[0] == pytest.approx(0, abs=1e-12) and best[1] < -1
     assert set(glob.glob(f"{tempfile.gettempdir()}/sparkloom-*/files-*")) == before
+
+
+def test_out_of_fold_predictions_of_any_learner(spark, tmp_path):
+    """Given folds, a holdout, and rows that no fold holds out, against a loop."""
+    from sparkloom.operators import trials
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 2))
+    y = x @ [1.0, 2.0] + rng.normal(size=90)
+    df = spark.createDataFrame([(f"k{i}", *map(float, r), float(v), i % 4) for i, (r, v) in enumerate(zip(x, y, strict=True))], "k string, a double, b double, y double, f int").repartition(3)
+    fit = lambda p, x, y: np.linalg.lstsq(np.c_[np.ones(len(x)), x], y, rcond=None)[0]
+    predict = lambda w, x: w[0] + x @ w[1:]
+    names = [{}, {"features": ["b"]}]
+    got = {r.k: r for r in trials.out_of_fold(df, "k", ["a", "b"], "y", names, fit, predict, f"file://{tmp_path}/f", fold=F.col("f")).collect()}
+    for f in range(4):
+        held = np.arange(90) % 4 == f
+        for c, own in enumerate(([0, 1], [1])):
+            w = least_squares(x[~held][:, own], y[~held])
+            for i in np.flatnonzero(held):
+                assert got[f"k{i}"].fold == f and got[f"k{i}"].y == y[i] and got[f"k{i}"][f"p{c}"] == pytest.approx(w[0] + x[i, own] @ w[1:])
+    part = trials.out_of_fold(df, "k", ["a", "b"], "y", names, fit, predict, f"file://{tmp_path}/h", holdout=0.3)
+    assert part.count() == 27 and set(part.columns) == {"k", "y", "fold", "p0", "p1"}
+    some = trials.out_of_fold(df, "k", ["a", "b"], "y", names, fit, predict, f"file://{tmp_path}/s", fold=F.when(F.col("f") < 2, F.col("f")).otherwise(-1))
+    assert some.count() == 46
+    scores = trials.evaluate(df, "k", ["a", "b"], "y", names, fit, predict, lambda y, p: -float(np.mean((y - p) ** 2)), fold=F.col("f"))
+    mse = np.mean([np.mean([(got[f"k{i}"].p0 - y[i]) ** 2 for i in range(f, 90, 4)]) for f in range(4)])
+    assert {r.trial: r.effect for r in trials.summary(scores).collect()}[0] == pytest.approx(-mse)

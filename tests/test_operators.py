@@ -130,6 +130,31 @@ def test_groups_of_features(spark):
         pick(1, {"x": ["a"], "y": ["a"]})
 
 
+def test_early_stop_over_blocks(spark, monkeypatch):
+    """As a loop over the checks, for blocks of any size."""
+    rng = np.random.default_rng(6)
+
+    def loop(metrics, patience, compare):
+        ref, bad, best = None, 0, None
+        for i, m in enumerate(metrics):
+            best = m if best is None else max(best, m)
+            if ref is None or m > ref:
+                ref, bad = m, 0
+            else:
+                bad += 1
+                ref = m if compare == "previous" else ref
+            if bad >= patience:
+                return 10 * i, best
+        return None, best
+
+    for n, patience, block in ((40, 3, 4), (40, 5, 1), (60, 30, 7), (1, 1, 5), (0, 2, 5)):
+        monkeypatch.setattr(selection, "BLOCK_CHECKS", block)
+        metrics = [float(x) for x in np.round(rng.normal(size=n).cumsum(), 1)]
+        df = spark.createDataFrame([(10 * i, m) for i, m in enumerate(metrics)], "step long, metric double").repartition(3)
+        for compare in ("best", "previous"):
+            assert tuple(selection.early_stop(df, patience, compare).first()) == loop(metrics, patience, compare)
+
+
 def test_groups_inside_a_row_are_those_of_windows(spark):
     rng = np.random.default_rng(5)
     names = list("abcdef")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import vocabulary as V
+from sparkloom.operators.ranking import numbered
 from sparkloom.plans.base import query, table
 from sparkloom.sources import files as S
 
@@ -150,3 +151,19 @@ def distinct_lines(spark, sf):
 def url_names(spark, sf):
     """The extension of a URL's last part, and the name under which its contents are kept."""
     return table(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", r"(\.[^./?#]+)$", 1)).alias("extension"), F.sha2("url", 256).alias("cache_name"))
+
+
+@query("""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: len(x) > 1)) AS w FROM documents),
+    p AS (SELECT w[i] AS l, w[i + 1] AS r, count(*) AS n FROM w, unnest(range(1, len(w))) t(i) GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank, l AS "left", r AS "right" FROM p""")
+def merges_saved(spark, sf):
+    """Pairs of letters by how often they stand together, saved as merges with the letters as vocabulary, and read back."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 1)
+    word = table(spark, sf, "documents").select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    pair = lambda i: F.struct(F.substring("w", i, 1).alias("left"), F.substring("w", i + 1, 1).alias("right"))
+    pairs = word.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), pair)).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+    merges = numbered(pairs, [-F.col("n"), F.col("left"), F.col("right")], "rank")
+    letters = spark.range(26).select(F.char(F.col("id") + 97).alias("token"), F.col("id"))
+    folder = S.scratch(spark)
+    S.write_tokenizer(letters, merges, ["<|end|>"], folder)
+    return S.read_tokenizer(spark, folder)[1]

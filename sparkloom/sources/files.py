@@ -122,6 +122,34 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
     vocab.select("token", "id").write.mode("overwrite").parquet(path)
 
 
+def write_merges(merges: DataFrame, path: str) -> None:
+    """Pairs (left, right) as lines in the order of their rank, in files whose names have that order; parts hold no white space."""
+    merges.orderBy("rank").select(F.concat_ws(" ", "left", "right").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    """rank, from 0 in the order of lines, left and right; blank lines and comments (#) don't count."""
+    lines = _in_order(spark, path).where("line <> '' AND NOT startswith(line, '#')").withColumn("parts", F.split("line", " "))
+    rows = numbered(lines.where(F.size("parts") == 2), [F.col("at.file"), F.col("at.block"), F.col("at.line")], "rank")
+    return rows.select("rank", F.get("parts", F.lit(0)).alias("left"), F.get("parts", F.lit(1)).alias("right"))
+
+
+def write_tokenizer(vocab: DataFrame, merges: DataFrame, specials: list[str], folder: str) -> None:
+    """A vocabulary (token, id), merges and special tokens, each in a place of its own below the folder."""
+    write_vocabulary(vocab, f"{folder}/vocab")
+    write_merges(merges, f"{folder}/merges")
+    vocab.sparkSession.createDataFrame([(s,) for s in specials], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/specials")  # a line for each
+
+
+def read_tokenizer(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """What write_tokenizer has saved; a vocabulary with a hole or a repeat in its ids is an error."""
+    vocab = read_vocabulary(spark, f"{folder}/vocab")
+    n, most, distinct = vocab.agg(F.count(F.lit(1)), F.max("id"), F.count_distinct("id")).first()
+    if n and (most != n - 1 or distinct != n):
+        raise ValueError("ids aren't the numbers from 0 on")
+    return vocab, read_merges(spark, f"{folder}/merges"), [r["value"] for r in spark.read.text(f"{folder}/specials").collect()]
+
+
 def write_delimited(df: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
     """Columns joined by sep, null as nothing; separators and line ends inside a value become spaces."""
     plain = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), f"\\Q{sep}\\E|[\\r\\n]", " ") for c in columns]

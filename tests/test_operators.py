@@ -130,6 +130,20 @@ def test_groups_of_features(spark):
         pick(1, {"x": ["a"], "y": ["a"]})
 
 
+def test_tokenizers_saved(spark, tmp_path):
+    vocab = spark.createDataFrame([("b", 1), ("a", 0), ("ab", 2)], "token string, id long")
+    merges = spark.createDataFrame([(i, f"l{i}", f"r{i}") for i in range(30)], "rank long, left string, right string").repartition(5)
+    files.write_tokenizer(vocab, merges, ["<|end|>", "<pad>"], f"file://{tmp_path}/t")
+    back = files.read_tokenizer(spark, f"file://{tmp_path}/t")
+    assert dict(back[0].collect()) == {"a": 0, "b": 1, "ab": 2} and back[2] == ["<|end|>", "<pad>"]
+    assert sorted(map(tuple, back[1].collect())) == [(i, f"l{i}", f"r{i}") for i in range(30)]
+    (tmp_path / "m").write_text("#version: 0.2\na b\n\nb c\n")
+    assert sorted(map(tuple, files.read_merges(spark, f"file://{tmp_path}/m").collect())) == [(0, "a", "b"), (1, "b", "c")]
+    files.write_tokenizer(vocab.where("id <> 1"), merges, [], f"file://{tmp_path}/u")
+    with pytest.raises(ValueError):
+        files.read_tokenizer(spark, f"file://{tmp_path}/u")
+
+
 def test_early_stop_over_blocks(spark, monkeypatch):
     """As a loop over the checks, for blocks of any size."""
     rng = np.random.default_rng(6)

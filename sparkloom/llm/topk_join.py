@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Vectors are lifted by one component, which brings all rows to the length M of the longest and is 0 for queries. Then
+Vectors are lifted by one component, which brings all rows to one length M and is 0 for queries. Then
 
     |q - x|^2 = |q|^2 + M^2 - 2 q.x
 
@@ -14,13 +14,16 @@ pivot, and each query group's number and largest distance.
    within the group's bound; for a query, if its own distance to the cell's pivot, or to the hyperplane between the
    pivots, shows it. Queries, which are the fewer, are replicated to the other cells alone and solved there.
 
+M is twice the greatest length in a bounded sample. Rows that are longer have a cell of their own, FAR, which every query
+visits, and queries beyond FAR_SQUARE visit all cells; bounds need neither, so a few huge vectors change nothing for the rest.
+
 Cells are cut into blocks of bounded size and so are the queries of a cell, so that no task holds a whole cell. Pivots
 come from a bounded sample and grow with the root of the rows, to PIVOTS, which bounds what is sent to tasks.
 
 Components are scaled and floored to integers, and products are exact whatever their size; a score beyond 64 bits is given
 as the least or greatest number of 64 bits. Vectors that are null or hold a null or non-finite component, and rows without
-an id, take no part. Vectors of different lengths aren't compared; lengths that the sample misses have one cell each. Ties
-go to the smaller id. A query never finds rows of its own id; if several rows have a query's id, the query has the least
+an id, take no part. Vectors of different lengths aren't compared; lengths that the sample misses have one cell each, cut
+into blocks as all others. Ties go to the smaller id. A query never finds rows of its own id; if several rows have a query's id, the query has the least
 vector of them, by bytes. Several candidate rows with one id are candidates each. Other columns are dropped.
 """
 
@@ -36,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import drop, written
+from sparkloom.operators.ranking import sent as sent_small
 
 K = 5
 #: Pivots at most, and rows of the sample for each pivot.
@@ -43,6 +47,8 @@ PIVOTS, PER_PIVOT = 1024, 8
 #: Rows and queries of a block.
 BLOCK, QUERIES = 16_384, 4096
 _LONG = (-(2**63), 2**63 - 1)
+#: The cell of rows outside the space, and the squared length from which a vector is outside any: below, scores fit 64 bits.
+FAR, FAR_SQUARE = -1, 2.0**62
 
 
 def pack(x: np.ndarray) -> list[bytes]:
@@ -57,12 +63,17 @@ def unpack(vectors: list[bytes], dim: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows of integers, exactly: as floating numbers while these are exact, else as Python's integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
+    """Inner products of rows of integers, exactly: as floating numbers for the rows of a for which these are exact, as
+    Python's integers for the others."""
+    most = np.abs(a).max(1, initial=0) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    small = most < 2**53
+    if small.all():
         return (a @ b.T).astype(np.int64)
     whole = lambda x: np.array([[int(v) for v in r] for r in x], object).reshape(x.shape)
-    return whole(a) @ whole(b).T
+    out = np.empty((len(a), len(b)), object)
+    out[small] = (a[small] @ b.T).astype(np.int64)
+    out[~small] = whole(a[~small]) @ whole(b).T
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -109,6 +120,11 @@ def spread(x: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
+def squares(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x * x).sum(1)
+
+
 def _spaces(rows: DataFrame, scale: int, pivots: int) -> dict[int, Space]:
     """Spaces of the lengths that a bounded sample has."""
     n = rows.count()
@@ -117,15 +133,14 @@ def _spaces(rows: DataFrame, scale: int, pivots: int) -> dict[int, Space]:
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r.v), []).append(r.v)
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x * scale) + 1, F.lit(2.0)))
-    longest = {r.dim: r.most for r in rows.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("most")).where(F.col("dim").isin(list(by_dim))).collect()}
     out = {}
     for dim, vectors in by_dim.items():
         x = np.floor(np.array(vectors, np.float64).reshape(len(vectors), dim) * scale)
-        most = max(float(longest[dim]), float((x * x).sum(1).max(initial=0)))
-        if dim and 0 < most < 1e100 and float(np.abs(x).max()) < 2**62:
+        near = squares(x) < FAR_SQUARE
+        most = min(4 * float(squares(x[near]).max(initial=0)), FAR_SQUARE)
+        if dim and most:
             space = Space(most, np.zeros((1, dim + 1)))
-            space.pivots = spread(space.lift(x), max(1, wanted * len(vectors) // len(sample)))
+            space.pivots = spread(space.lift(x[near]), max(1, wanted * len(vectors) // len(sample)))
             out[dim] = space
     return out
 
@@ -169,7 +184,7 @@ def topk(
 ) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows; queries are the ids divisible by `every`.
 
-    seen, where given, gets the numbers of queries' visits to cells and of pairs of queries and cells.
+    seen, where given, gets the numbers of queries' visits to cells, of pairs of queries and cells, and of blocks solved.
     """
     spark = table.sparkSession
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
@@ -183,9 +198,11 @@ def topk(
             for dim, at, x in _vectors(batch, "v", scale):
                 home, gap = np.zeros(len(at), np.int64), np.zeros(len(at))
                 if space := shared.value.get(dim):
-                    y = space.lift(x)
-                    home = space.distances(y).argmin(1)
-                    gap = np.sqrt(((y - space.pivots[home]) ** 2).sum(1))
+                    near = squares(x) <= space.most
+                    y = space.lift(x[near])
+                    home[:] = FAR
+                    home[near] = space.distances(y).argmin(1)
+                    gap[near] = np.sqrt(((y - space.pivots[home[near]]) ** 2).sum(1))
                 yield pa.RecordBatch.from_pydict({
                     "id": pa.array(ids[at], pa.int64()), "dim": pa.array([dim] * len(at), pa.int32()), "cell": pa.array(home, pa.int32()),
                     "gap": pa.array(gap, pa.float64()), "v": pa.array(pack(x), pa.binary()),
@@ -200,8 +217,11 @@ def topk(
             for dim, own in part.groupby("dim"):
                 home, gap = np.zeros(len(own), np.int64), np.zeros(len(own))
                 if space := shared.value.get(dim):
-                    d = space.distances(space.lift(unpack(own["qv"].tolist(), dim), True))
-                    home, gap = d.argmin(1), d.min(1)
+                    x = unpack(own["qv"].tolist(), dim)
+                    near = squares(x) < FAR_SQUARE
+                    d = space.distances(space.lift(x[near], True))
+                    home[:] = FAR
+                    home[near], gap[near] = d.argmin(1), d.min(1)
                 yield pa.RecordBatch.from_pandas(own.assign(home=home.astype("int32"), gap=gap), preserve_index=False)
 
     queries = data.where(F.col("id") % every == 0).groupBy(F.col("id").alias("qid"), "dim").agg(F.count(F.lit(1)).alias("copies"), F.min("v").alias("qv"))
@@ -215,21 +235,28 @@ def topk(
     groups = {(r[0], r[1]): tuple(r[2:]) for r in asked.where(known).groupBy("dim", "home").agg(F.count(F.lit(1)), F.max("gap"), F.max("copies")).collect()}
     first: dict[tuple[int, int], list[int]] = {}
     for (dim, g), (_, _, copies) in groups.items():
+        if g == FAR:
+            first[dim, g] = list(cells[dim])
+            continue
         c = spaces[dim].pivots
-        near = sorted(cells[dim], key=lambda j, c=c, g=g: float(((c[j] - c[g]) ** 2).sum()))
+        near = sorted((j for j in cells[dim] if j != FAR), key=lambda j, c=c, g=g: float(((c[j] - c[g]) ** 2).sum()))
         have = np.cumsum([cells[dim][j][0] for j in near])
-        first[dim, g] = near[: int(np.searchsorted(have, k + copies)) + 1]
+        first[dim, g] = near[: int(np.searchsorted(have, k + copies)) + 1] + [FAR] * (FAR in cells[dim])
 
     def blocks_for(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Blocks of the cells that queries were sent to, for each part of the queries; and the queries by block and part."""
         sent = {(r[0], r[1]): r[2] for r in routed.where(known).groupBy("dim", "cell").count().collect()}
         shape = [(dim, j, -(-n // block), -(-sent[dim, j] // QUERIES)) for dim, of in cells.items() for j, (n, *_) in of.items() if (dim, j) in sent]
         sizes = F.broadcast(spark.createDataFrame(shape, "dim int, cell int, salts int, parts int"))  # a row for each pivot
+        count = lambda df, size: df.where(~known).groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+        other = count(data, block).withColumnRenamed("n", "salts").join(count(routed, QUERIES).withColumnRenamed("n", "parts"), ["dim", "cell"])
+        other = sent_small(other)  # a row for each length that the sample misses
         several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        one = lambda df: df.join(sizes, ["dim", "cell"], "left").fillna(1, ["salts", "parts"])
-        used = data if not shape else data.join(sizes.select("dim", "cell", F.lit(True).alias("used")), ["dim", "cell"], "left").where(F.col("used") | ~known)
-        left = one(used).select("dim", "cell", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), several("parts").alias("part"), "id", "v")
+        one = lambda df: df.where(known).join(sizes, ["dim", "cell"]).unionByName(df.where(~known).join(other, ["dim", "cell"]))
+        left = one(data).select("dim", "cell", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), several("parts").alias("part"), "id", "v")
         right = one(routed).select("dim", "cell", several("salts").alias("salt"), F.pmod(F.xxhash64("qid"), "parts").cast("int").alias("part"), "qid", "qv")
+        if seen is not None:
+            seen["blocks"] = seen.get("blocks", 0) + left.select("dim", "cell", "salt", "part").distinct().count()
         return left, right
 
     sends = [(dim, g, j) for (dim, g), near in first.items() for j in near]
@@ -239,7 +266,7 @@ def topk(
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     held = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     border = held.groupBy(F.col("query_id").alias("qid")).agg(F.min("score").alias("border"), F.count(F.lit(1)).alias("n"))
-    bounded = written(asked.where(known).join(border.where(F.col("n") >= k).drop("n"), "qid", "left"))
+    bounded = written(asked.where(known & (F.col("home") != FAR)).join(border.where(F.col("n") >= k).drop("n"), "qid", "left"))
 
     def limit(space: Space, x: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Distances within which better rows lie."""
@@ -258,7 +285,7 @@ def topk(
     ways_of: dict[tuple[int, int], np.ndarray] = {}
     for dim, g, far in bounds:
         c = spaces[dim].pivots
-        js = np.array([j for j in cells[dim] if j not in first[dim, g]], np.int64)
+        js = np.array([j for j in cells[dim] if j != FAR and j not in first[dim, g]], np.int64)
         apart = np.sqrt(((c[js] - c[g]) ** 2).sum(1))
         low, high = (np.array([cells[dim][j][i] for j in js]) for i in (1, 2))
         ways_of[dim, g] = js[np.maximum(apart - high, low - apart) <= groups[dim, g][1] + far + spaces[dim].slack]

@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 DOUBLES = "array<double>"
 
 
+#: Elements after which an array that grows step by step is begun anew.
+BLOCK = 256
+
+
 def cumulate(a: Column, op) -> Column:
-    """Running results of op over the elements."""
-    first = F.slice(a, 1, 1)
-    return F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), first, lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+    """Running results of op over the elements, in their order.
+
+    An array that grows is copied at each step, so it grows within blocks; each starts from what all before it have made.
+    """
+    last = lambda x: F.element_at(x, -1)
+    blocks = F.floor((F.size(a) + BLOCK - 1) / BLOCK).cast("int")
+    items = lambda k: F.when(k == 0, F.slice(a, 2, BLOCK - 1)).otherwise(F.slice(a, k * BLOCK + 1, BLOCK))
+    heads = F.aggregate(F.sequence(F.lit(1), blocks), F.slice(a, 1, 1), lambda h, k: F.concat(h, F.array(F.aggregate(items(k - 1), last(h), op))))
+    grown = lambda h, k: F.aggregate(items(k), F.slice(h, k + 1, 1), lambda acc, x: F.concat(acc, F.array(op(last(acc), x))))
+    block = lambda h, k: F.when(k == 0, grown(h, k)).otherwise(F.slice(grown(h, k), 2, BLOCK))
+    made = F.get(F.transform(F.array(heads), lambda h: F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: block(h, k)))), 0)
+    return F.when(F.size(a) > 0, made).otherwise(a)
 
 
 def cumsum(a: Column) -> Column:

@@ -130,6 +130,25 @@ def test_groups_of_features(spark):
         pick(1, {"x": ["a"], "y": ["a"]})
 
 
+def test_running_sums_of_long_arrays(spark):
+    """In the order of the elements, bit for bit, and in a time that grows with the length."""
+    import time
+
+    from sparkloom.functions import arrays as A
+
+    rng = np.random.default_rng(7)
+    rows = [(n, [float(x) for x in rng.normal(size=n)]) for n in (0, 1, 2, 255, 256, 257, 512, 513, 1000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "n int, a array<double>")
+    got = {r.n: (r.s, r.p) for r in df.select("n", A.cumsum(F.col("a")).alias("s"), A.cumprod(F.col("a")).alias("p")).collect()}
+    assert got[-1] == (None, None)
+    for n, a in rows[:-1]:
+        assert got[n] == (list(itertools.accumulate(a)), list(itertools.accumulate(a, lambda x, y: x * y)))
+    long = spark.createDataFrame([(1, [1.0] * 100_000)], "n int, a array<double>")
+    start = time.perf_counter()
+    assert long.select(F.element_at(A.cumsum(F.col("a")), -1)).first()[0] == 100_000.0
+    assert time.perf_counter() - start < 20
+
+
 def test_tokenizers_saved(spark, tmp_path):
     vocab = spark.createDataFrame([("b", 1), ("a", 0), ("ab", 2)], "token string, id long")
     merges = spark.createDataFrame([(i, f"l{i}", f"r{i}") for i in range(30)], "rank long, left string, right string").repartition(5)

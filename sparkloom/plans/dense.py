@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays as A
 from sparkloom.functions import matrices as M
+from sparkloom.operators.ranking import sent
 from sparkloom.plans.base import ORACLES, QUERIES, query, table
 from sparkloom.plans.tabular import r6
 
@@ -105,7 +106,7 @@ def histogram_2d(spark, sf):
 @query("SELECT k::INT AS value, count(l_quantity) AS n FROM range(0, 52) t(k) LEFT JOIN lineitem ON l_quantity::INT = k GROUP BY k")
 def bincount_dense(spark, sf):
     n = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(52).select(F.col("id").cast("int").alias("value")).join(F.broadcast(n), "value", "left").na.fill(0, ["n"])  # a row for each value
+    return spark.range(52).select(F.col("id").cast("int").alias("value")).join(sent(n), "value", "left").na.fill(0, ["n"])  # a row for each value
 
 
 def _decomposition(name: str):

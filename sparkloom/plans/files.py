@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import vocabulary as V
-from sparkloom.operators.ranking import numbered
+from sparkloom.operators.ranking import numbered, sent
 from sparkloom.plans.base import query, table
 from sparkloom.sources import files as S
 
@@ -70,7 +70,7 @@ def _labels(spark, sf):
 @query("WITH l AS (SELECT n_nationkey AS code, n_name AS description, row_number() OVER (ORDER BY n_nationkey) - 1 AS label FROM nation) SELECT c_custkey, label, description FROM customer JOIN l ON code = c_nationkey")
 def label_code_join(spark, sf):
     """Codes to dense indices and, from these, to descriptions."""
-    labels = F.broadcast(_labels(spark, sf))  # a row for each label
+    labels = sent(_labels(spark, sf))  # a row for each label
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code")).join(labels.select("code", "label"), "code")
     return c.join(labels.select("label", "description"), "label").select("c_custkey", "label", "description")
 
@@ -99,7 +99,7 @@ def delimited_sink(spark, sf):
 
 @query("SELECT c_custkey AS id, c_nationkey::VARCHAR AS label, n_name AS label_desc FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def classes_as_json_lines(spark, sf):
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(sent(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     path = S.scratch(spark)
     S.write_json_lines(c.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("string").alias("label"), F.col("n_name").alias("label_desc")), path)
     back = S.read_json_lines(spark, path, "id long, label string, label_desc string").where("bad is null")

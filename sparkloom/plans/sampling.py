@@ -9,6 +9,7 @@ from sparkloom.operators import bins as B
 from sparkloom.operators import ranking as R
 from sparkloom.operators import sampling as S
 from sparkloom.operators import scoring
+from sparkloom.operators.ranking import sent
 from sparkloom.plans.base import query, table
 from sparkloom.plans.tabular import r6
 
@@ -98,7 +99,7 @@ def customer_space_time_features(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.countDistinct(F.date_trunc("month", "o_orderdate")).alias("n_months"), r6(F.avg("o_totalprice")).alias("mean_price"))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(o, "c_custkey", "left").na.fill(0, ["n_orders", "n_months"])
     nation = c.groupBy("c_nationkey").agg(F.avg("n_orders").alias("_m"))  # joined back, so that no window holds a nation
-    return c.join(F.broadcast(nation), "c_nationkey").select("c_custkey", "n_orders", "n_months", "mean_price", r6(F.col("n_orders") - F.col("_m")).alias("over_nation"))
+    return c.join(sent(nation), "c_nationkey").select("c_custkey", "n_orders", "n_months", "mean_price", r6(F.col("n_orders") - F.col("_m")).alias("over_nation"))
 
 
 @query("WITH d AS (SELECT (l_extendedprice / l_quantity > 1500)::INT AS y, floor(l_extendedprice / 1000) AS s FROM lineitem), g AS (SELECT s, sum(y) AS p, sum(1 - y) AS q FROM d GROUP BY s) SELECT round(sum(a.p * b.q * CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / ((SELECT sum(p) FROM g) * (SELECT sum(q) FROM g)), 9) AS auc FROM g a, g b")

@@ -11,6 +11,7 @@ from sparkloom.operators import profile as P
 from sparkloom.operators import ranking as R
 from sparkloom.operators import scoring as S
 from sparkloom.operators import selection as C
+from sparkloom.operators.ranking import sent
 from sparkloom.plans.base import query, table
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -191,7 +192,7 @@ def split_plain(spark, sf):
 def downsample_by_label(spark, sf):
     e = R.hash_rank(table(spark, sf, "events").select("event_id", "event_type"), F.col("event_id"), by=["event_type"])
     n = e.groupBy("event_type").count()
-    return e.join(F.broadcast(n), "event_type").where(F.col("rank") < F.floor(F.col("count") / 4)).select("event_id", "event_type")
+    return e.join(sent(n), "event_type").where(F.col("rank") < F.floor(F.col("count") / 4)).select("event_id", "event_type")
 
 
 @query(f"SELECT event_id, (row_number() OVER (ORDER BY {_H}) - 1) // 64 AS batch_id FROM events")

@@ -35,7 +35,7 @@ BLOCK_WORDS, MOST_WORDS = 3_000_000, 1 << 23
 #: Rows of keys in one Arrow batch.
 KEY_ROWS = 50_000
 #: Parts in which keys are exchanged, one after another, so that the disk holds a part of them at a time.
-KEY_PARTS = 2
+KEY_PARTS = 4
 #: Parts that the rows of a hot phrase are dealt to in joins, and those of a language before the last ranking.
 SALTS, HEATS = 8, 64
 #: A list's number in its block has this many bits; its name is the block's number and this.
@@ -43,9 +43,9 @@ LIST_BITS = 24
 #: A phrase that makes up this share of all words or more is hot; there can't be more of them than the share goes into one.
 HOT = 1 / 1000
 #: A block's lists: all places, each list's length and how many of it count, packed, and for phrases of several words the
-#: packed pairs of their parts among `names`. Level 1 has a row for each list besides, as its keys are strings.
+#: packed pairs of their parts among `names`; for words, these, one in a line, and the packed places of their languages.
 _BLOCK = "block long, lead int, lists binary, lengths binary, own binary"
-_WORDS, _PHRASES = f"{_BLOCK}, place long, a string, b binary, n long", f"{_BLOCK}, pairs binary, names binary"
+_WORDS, _PHRASES = f"{_BLOCK}, words binary, langs array<string>, spoken binary", f"{_BLOCK}, pairs binary, names binary"
 _END = b","
 
 
@@ -85,7 +85,7 @@ class _Numbers(dict):
         return n
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "binary": pa.binary()}
 
 
 def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -115,26 +115,28 @@ class _Block:
         if len(ids):
             named = sorted((n, lang, w) for lang, numbers in self.numbers.items() for w, n in numbers.items() if n >= 0)
             order = np.argsort(ids, kind="stable")
-            row, _, own = _lists(self.lead, 1, ids[order], places[order])
-            yield _batch(_WORDS, [{"block": self.block, **row}])
-            for at in range(0, len(named), KEY_ROWS):
-                part = named[at : at + KEY_ROWS]
-                place = pa.array(np.arange(at, at + len(part)) + (self.block << LIST_BITS))
-                keys = place, pa.array([x[1] for x in part], pa.string()), pa.array([x[2] for x in part], pa.binary()), pa.array(own[at : at + KEY_ROWS].astype(np.int64))
-                names = [f.split()[0] for f in _WORDS.split(", ")]
-                none = [pa.nulls(len(part), _KINDS[f.split()[1]]) for f in _BLOCK.split(", ")]
-                yield pa.RecordBatch.from_arrays([*none, *keys], names=names)
+            row, _, _ = _lists(self.lead, 1, ids[order], places[order])
+            langs = list(self.numbers)
+            spoken = packed(np.array([langs.index(x[1]) for x in named], np.int32))
+            yield _batch(_WORDS, [{"block": self.block, **row, "words": squeezed(b"\n".join(x[2] for x in named)), "langs": langs, "spoken": spoken}])
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Differences of integers, compressed, after their number."""
-    steps = np.diff(x, prepend=x.dtype.type(0))
-    return len(x).to_bytes(8, "little") + pa.compress(steps.tobytes(), codec="zstd", asbytes=True)
+    """Differences of integers, compressed."""
+    return squeezed(np.diff(x, prepend=x.dtype.type(0)).tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little") * np.dtype(kind).itemsize
-    return np.cumsum(np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), kind), dtype=kind)
+    return np.cumsum(np.frombuffer(whole(data), kind), dtype=kind)
 
 
 def _lists(lead: int, size: int, keys: np.ndarray, places: np.ndarray, last: bool = False) -> tuple[dict[str, bytes | int | None], np.ndarray, np.ndarray]:
@@ -183,14 +185,14 @@ def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool) -> Data
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, lead, whole, lengths = (batch.column(c)[i].as_py() for c in range(4))
+                block, lead, every, lengths = (batch.column(c)[i].as_py() for c in range(4))
                 local, name = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
                 local, name = local[order := np.argsort(name)], name[order]
-                whole, lengths = unpacked(whole, np.int32), unpacked(lengths, np.int32)
+                every, lengths = unpacked(every, np.int32), unpacked(lengths, np.int32)
                 n, starts = lengths[local], (np.cumsum(lengths, dtype=np.int32) - lengths)[local]
                 take = np.repeat(starts - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
-                places, phrase = whole[take], np.repeat(np.arange(len(local), dtype=np.int32), n)
-                del whole, take
+                places, phrase = every[take], np.repeat(np.arange(len(local), dtype=np.int32), n)
+                del every, take
                 order = np.argsort(places, kind="stable")  # merges sorted runs
                 places, phrase = places[order], phrase[order]
                 at = np.flatnonzero(places[1:] == places[:-1] + 1)
@@ -205,6 +207,23 @@ def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool) -> Data
     return rows.mapInArrow(run, _PHRASES)
 
 
+def word_keys(lists: DataFrame) -> DataFrame:
+    """place, a (the language), b (the word) and n of each list of single words."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, own, words, langs, spoken = (batch.column(c)[i].as_py() for c in range(5))
+                own, words, langs = unpacked(own, np.int32), whole(words).split(b"\n"), pa.array(langs, pa.string()).take(pa.array(unpacked(spoken, np.int32)))
+                for at in range(0, len(own), KEY_ROWS):
+                    part = own[at : at + KEY_ROWS].astype(np.int64)
+                    place = np.arange(at, at + len(part)) + (block << LIST_BITS)
+                    columns = [pa.array(place), langs.slice(at, len(part)), pa.array(words[at : at + len(part)], pa.binary()), pa.array(part)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["place", "a", "b", "n"])
+
+    return lists.select("block", "own", "words", "langs", "spoken").mapInArrow(run, "place long, a string, b binary, n long")
+
+
 def keys_of(lists: DataFrame, part: int) -> DataFrame:
     """place, a, b and n of each list of phrases of several words: its name if it comes first, its parts and how many count.
     Those of one of KEY_PARTS parts, by a hash of the phrase."""
@@ -278,7 +297,7 @@ def mine(
     if longest < 2 or not 0 < block_words <= MOST_WORDS:
         raise ValueError("phrases have two words at least, and a block at most MOST_WORDS")
     lists = written(blocks(docs, text, lang, longest, block_words))
-    keys = lists.where("lists is null").select("place", "a", "b", "n")
+    keys = word_keys(lists)
     words = written(keys.groupBy(F.col("a").alias("lang")).agg(F.sum("n").alias("n")))
     number = words.agg(F.sum("n")).first()[0] or 0
     parts = [written(frequencies(keys, least))]

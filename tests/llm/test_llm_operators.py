@@ -453,5 +453,7 @@ def test_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), c.execute(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    rows = lambda df: df[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    # whole numbers with nulls among them are floating numbers on one side
+    plain = lambda v: None if str(v) in ("None", "nan", "<NA>") and not isinstance(v, str) else int(v) if isinstance(v, float) and v.is_integer() else v
+    rows = lambda df: df[columns].astype(object).map(plain).astype(str).sort_values(columns).reset_index(drop=True)
     assert rows(got).equals(rows(want))

@@ -36,6 +36,8 @@ BLOCK_WORDS, MOST_WORDS = 3_000_000, 1 << 23
 KEY_ROWS = 50_000
 #: Parts in which keys are exchanged, one after another, so that the disk holds a part of them at a time.
 KEY_PARTS = 4
+#: Parts in which blocks are dealt out again for the next size, one after another as well.
+BLOCK_PARTS = 2
 #: Parts that the rows of a hot phrase are dealt to in joins, and those of a language before the last ranking.
 SALTS, HEATS = 8, 64
 #: A list's number in its block has this many bits; its name is the block's number and this.
@@ -175,12 +177,14 @@ def blocks(docs: DataFrame, text: str, lang: str, longest: int, words: int = BLO
     return source.mapInArrow(run, _WORDS)
 
 
-def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool) -> DataFrame:
-    """The lists of phrases of `size` words, where two frequent ones of a word less stand one place apart."""
+def merged(lists: DataFrame, frequent: DataFrame, size: int, last: bool, part: int = 0, parts: int = 1) -> DataFrame:
+    """The lists of phrases of `size` words, where two frequent ones of a word less stand one place apart. Of the blocks of
+    one of `parts` parts."""
     block = F.shiftright("place", LIST_BITS).alias("block")
     own = F.struct((F.col("place") % (1 << LIST_BITS)).cast("int").alias("local"), "name")
-    known = frequent.groupBy(block).agg(F.collect_list(own).alias("known")).select("block", F.col("known.local").alias("local"), F.col("known.name").alias("name"))
-    rows = lists.where("lists is not null").select("block", "lead", "lists", "lengths").join(known, "block")
+    here = lambda c: F.pmod(c, F.lit(parts)) == part
+    known = frequent.where(here(F.shiftright("place", LIST_BITS))).groupBy(block).agg(F.collect_list(own).alias("known")).select("block", F.col("known.local").alias("local"), F.col("known.name").alias("name"))
+    rows = lists.where(F.col("lists").isNotNull() & here(F.col("block"))).select("block", "lead", "lists", "lengths").join(known, "block")
 
     def run(batches):
         for batch in batches:
@@ -296,7 +300,8 @@ def mine(
     """
     if longest < 2 or not 0 < block_words <= MOST_WORDS:
         raise ValueError("phrases have two words at least, and a block at most MOST_WORDS")
-    lists = written(blocks(docs, text, lang, longest, block_words))
+    tables = [written(blocks(docs, text, lang, longest, block_words))]
+    lists = tables[0]
     keys = word_keys(lists)
     words = written(keys.groupBy(F.col("a").alias("lang")).agg(F.sum("n").alias("n")))
     number = words.agg(F.sum("n")).first()[0] or 0
@@ -306,16 +311,17 @@ def mine(
     short = written(short)
     found, used = [], [words, short]
     for size in range(2, longest + 1):
-        after = written(merged(lists, frequent, size, size == longest))
-        drop(lists, *parts)
-        lists, parts = after, [written(frequencies(keys_of(after, i), least)) for i in range(KEY_PARTS)]
+        after = [written(merged(lists, frequent, size, size == longest, i, BLOCK_PARTS)) for i in range(BLOCK_PARTS)]
+        drop(*tables, *parts)
+        tables, lists = after, reduce(DataFrame.unionByName, after)
+        parts = [written(frequencies(keys_of(lists, i), least)) for i in range(KEY_PARTS)]
         frequent = reduce(DataFrame.unionByName, parts)
         long = written(_longer(short, frequent, number))
         used.append(long)
         if size > 2:
             found.append(_lasting(short, long, percent))
         short = long
-    drop(lists, *parts)
+    drop(*tables, *parts)
     found.append(short)
     columns = ["lang", "phrase", "f", "heads", "tails"]
     every = found[0].select(columns)

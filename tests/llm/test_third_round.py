@@ -239,3 +239,39 @@ def test_suffix_dedup_of_many_rows_without_an_id_takes_no_longer(spark):
         assert suffix_dedup.dedup(df).where("n_removed > 0").count() == 0
         took[name] = time.perf_counter() - start
     assert max(took["none"], took["same"]) < 2 * took["own"] + 2
+
+
+def test_steps_of_hashes_come_back():
+    import numpy as np
+
+    from sparkloom.llm import jaccard_join
+
+    g = np.sort(np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64)))
+    cuts = np.array([0, 1, 400, 999])
+    step = jaccard_join._steps(g, cuts)
+    ends = [*cuts[1:].tolist(), len(g)]
+    packed = [step[a:b].T.tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)]
+    assert jaccard_join._hashes(packed, [b - a for a, b in zip(cuts.tolist(), ends, strict=True)]).tolist() == g.tolist()
+
+
+def test_shingles_of_copies_are_not_shuffled(spark, monkeypatch):
+    """Documents that stay out of the join leave before the exchange, and partitions follow the text."""
+    from sparkloom.llm import jaccard_join
+
+    plans, shuffled, make = [], [], jaccard_join.written
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        shuffled.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return make(df)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    monkeypatch.setattr(jaccard_join, "PARTITION_BYTES", 1 << 8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words)] * 20 + [" ".join([*words, str(i)]) for i in range(5)] + ["other words are here now", None]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = jaccard_join.jaccard_components(table(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 25 else i for i in range(27)}
+    own = next(p for columns, p in plans if columns[:2] == ["doc", "shingle"] and "doc_id" not in columns)
+    assert "flags" in own and "Aggregate" not in own
+    assert min(shuffled) > int(before) == int(spark.conf.get("spark.sql.shuffle.partitions"))

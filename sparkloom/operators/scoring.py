@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _counts(df: DataFrame, feature: str, label: str) -> DataFrame:
-    """A row for each value and label, with totals; far fewer rows than df."""
-    cells = df.groupBy(F.col(feature).alias("v"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    """A row for each value and label, with totals; far fewer rows than df. Counts are doubles: their products pass 64 bits."""
+    cells = df.groupBy(F.col(feature).alias("v"), F.col(label).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     by_v = cells.groupBy("v").agg(F.sum("n").alias("n_v"))
     by_y = cells.groupBy("y").agg(F.sum("n").alias("n_y"))
     total = cells.agg(F.sum("n").alias("n_all"))

@@ -287,8 +287,10 @@ def masked_cross_entropy(spark, sf):
 
 
 def _trials(spark, sf):
+    """Averages of decimals: sums of doubles depend on the order of rows, and with them the side to which a tie is rounded."""
     e = table(spark, sf, "events")
-    return e.groupBy((F.col("user_id") + 1).alias("trial")).agg(F.round(F.avg("value"), 1).alias("effect"), F.count(F.lit(1)).alias("seconds"))
+    mean = F.avg(F.col("value").cast("decimal(28,8)")).cast("double")
+    return e.groupBy((F.col("user_id") + 1).alias("trial")).agg(F.round(mean, 1).alias("effect"), F.count(F.lit(1)).alias("seconds"))
 
 
 @query("WITH t AS (SELECT user_id + 1 AS trial, round(avg(value), 1) AS effect, count(*) AS seconds FROM events GROUP BY 1) SELECT trial, effect, seconds FROM t ORDER BY effect DESC, seconds, trial LIMIT 1")

@@ -137,3 +137,19 @@ def test_corpora_by_their_rules(spark, tmp_path):
     assert counts == want
     with pytest.raises(ValueError):
         corpora.read(spark, f"{root}/other")
+
+
+def test_chi_square_of_counts_whose_products_pass_64_bits(spark):
+    from sparkloom.operators import scoring
+
+    df = spark.range(2_200_000).select(F.lit(1).alias("v"), F.lit("a").alias("y"))
+    assert scoring.chi_square(df, "v", "y").first()["chi2"] == 0
+
+
+def test_trial_averages_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """0.1 and 0.2 average to 0.15 exactly; a thousand of each, as doubles, do not."""
+    from sparkloom.plans import registry
+
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("user_id"), F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.2).alias("value"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["effect"] for r in registry.queries()["trial_scores"](spark, str(tmp_path)).collect()] == [0.2]

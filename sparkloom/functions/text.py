@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -23,8 +24,15 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(spaced, r"[\x{0}\x{FFFD}\p{C}]", "")
 
 
+def _beyond(text: Column, first: str, changed: Callable[[Column], Column]) -> Column:
+    """changed, for texts with a character from this one on; others have none that would change. One range is quick to look
+    for. The text is bound, so that it isn't made anew at each place where it stands."""
+    here = f"[\\x{{{ord(first):X}}}-\\x{{10FFFF}}]"
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(here), changed(t)).otherwise(t)), 0)
+
+
 def space_ideographs(text: Column) -> Column:
-    return F.regexp_replace(text, f"([{CJK}])", " $1 ")
+    return _beyond(text, "\u3400", lambda t: F.regexp_replace(t, f"([{CJK}])", " $1 "))
 
 
 #: Syllables of Hangul decompose by rule: their first one, and how many of their first, second and third parts there are.
@@ -57,15 +65,15 @@ def _syllables(text: Column) -> Column:
         return F.concat(F.get(part(0x1100, LEADS), F.floor(i / (VOWELS * TAILS)).cast("int")), F.get(part(0x1161, VOWELS), F.floor(i % (VOWELS * TAILS) / TAILS).cast("int")), tail)
 
     known = f"[{chr(HANGUL)}-{chr(HANGUL + LEADS * VOWELS * TAILS - 1)}]"
-    return F.when(text.rlike(known), F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(known), parts(c)).otherwise(c)), "")).otherwise(text)
+    return _beyond(text, chr(HANGUL), lambda t: F.when(t.rlike(known), F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(known), parts(c)).otherwise(c)), "")).otherwise(t))
 
 
 def strip_accents(text: Column) -> Column:
     """Canonically decomposed, without combining marks."""
     letters, bases, marks, several = accents()
-    split = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in several.items() for x in p]), c), c)), "")
-    whole = F.when(text.rlike("[" + "".join(several) + "]"), split).otherwise(text)
-    return _syllables(F.translate(whole, letters + marks, bases))
+    split = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in several.items() for x in p]), c), c)), "")
+    whole = _beyond(text, min(several), lambda t: F.when(t.rlike("[" + "".join(several) + "]"), split(t)).otherwise(t))
+    return _syllables(_beyond(whole, min(letters + marks), lambda t: F.translate(t, letters + marks, bases)))
 
 
 def space_punctuation(text: Column) -> Column:

@@ -147,9 +147,32 @@ def test_chi_square_of_counts_whose_products_pass_64_bits(spark):
 
 
 def test_trial_averages_do_not_depend_on_the_order_of_rows(spark, tmp_path):
-    """0.1 and 0.2 average to 0.15 exactly; a thousand of each, as doubles, do not."""
+    """0.7 and 0.6 average to 0.65 exactly; thousands of each, as doubles, do not."""
     from sparkloom.plans import registry
 
-    rows = spark.range(3000).select(F.lit(1).cast("long").alias("user_id"), F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.2).alias("value"))
+    rows = spark.range(0, 6000, 1, 1).select(F.lit(1).cast("long").alias("user_id"), F.when(F.col("id") % 2 == 0, 0.7).otherwise(0.6).alias("value"))
     rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
-    assert [r["effect"] for r in registry.queries()["trial_scores"](spark, str(tmp_path)).collect()] == [0.2]
+    assert [r["effect"] for r in registry.queries()["trial_scores"](spark, str(tmp_path)).collect()] == [0.7]
+
+
+def test_basic_tokens_make_each_text_once(spark):
+    from sparkloom.functions import text as T
+
+    df = spark.createDataFrame([("Ça va, 漢字 한국 ÀÉ কো",), (None,), ("plain",)], "t string")
+    out = df.select(T.basic_tokens(F.col("t")).alias("w"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r["w"] for r in out.collect()][1:] == [[], ["plain"]]
+    assert out.first()["w"][:5] == ["ca", "va", ",", "漢", "字"]
+
+
+def test_batches_of_words_have_a_bound_in_bytes(spark):
+    from sparkloom.operators import pieces
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        pieces.word_pieces(spark.range(1), "id", F.array(F.lit("a")), ["a"])
+        assert int(spark.conf.get(name)) == pieces.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)

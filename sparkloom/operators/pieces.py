@@ -23,6 +23,8 @@ MARK, UNK, LONGEST = "##", "[UNK]", 100
 MOST_ENTRIES = 2_000_000
 #: Bytes of words and pieces that a task keeps, and rows that it works on at once.
 KEPT_BYTES, ROWS = 32 << 20, 256
+#: Bytes of a batch that Spark sends to a task's Python: by rows alone, batches of long texts would be as large as these.
+BATCH_BYTES = 4 << 20
 
 
 def cut(word: str, vocab: set[str], longest: int = LONGEST) -> list[str]:
@@ -96,12 +98,22 @@ class _Kept:
         return out
 
 
+def _short_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have no more than BATCH_BYTES; a lower bound of the user's stays. No result depends
+    on it, and plans run after they are returned, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name)
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def in_rows(df: DataFrame, key: str, items: Column, name: str, kind: str, made: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     """key and an array that has, for each item of a row's array, what is made of it, in order: a list for each item.
 
     made() gives, in a task, what maps a batch's items to lists. Null arrays have no items, and null items no results.
     """
-    source = df.select(F.col(key), items.alias("_items"))
+    source = _short_batches(df.select(F.col(key), items.alias("_items")))
     schema = f"array<{kind}>"
     typed = source.select(key, F.array().cast(schema).alias(name)).schema
     to = to_arrow_type(typed[1].dataType)

@@ -98,7 +98,7 @@ class _Kept:
         return out
 
 
-def _short_batches(df: DataFrame) -> DataFrame:
+def short_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches have no more than BATCH_BYTES; a lower bound of the user's stays. No result depends
     on it, and plans run after they are returned, so the setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -113,7 +113,7 @@ def in_rows(df: DataFrame, key: str, items: Column, name: str, kind: str, made:
 
     made() gives, in a task, what maps a batch's items to lists. Null arrays have no items, and null items no results.
     """
-    source = _short_batches(df.select(F.col(key), items.alias("_items")))
+    source = short_batches(df.select(F.col(key), items.alias("_items")))
     schema = f"array<{kind}>"
     typed = source.select(key, F.array().cast(schema).alias(name)).schema
     to = to_arrow_type(typed[1].dataType)

@@ -176,3 +176,12 @@ def test_batches_of_words_have_a_bound_in_bytes(spark):
         assert int(spark.conf.get(name)) == pieces.BATCH_BYTES
     finally:
         spark.conf.set(name, before)
+
+
+def test_entities_need_no_shuffle(spark):
+    from sparkloom.operators import sequences
+
+    df = spark.createDataFrame([(1, ["I-X", "B-X", "I-X", "I-Y", "I-X", "B-Y"]), (2, None), (3, []), (4, ["I-Y", "O", "B-X"])], "id long, tags array<string>")
+    out = sequences.bio_entities(df, "id", "tags")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "X", 1, 2), (1, "Y", 5, 5), (4, "X", 2, 2)]

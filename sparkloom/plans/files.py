@@ -113,13 +113,8 @@ p AS (SELECT doc_id, k, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id
 @query(_CAPS + "SELECT doc_id, CASE WHEN length(w) > 6 THEN 'LONG' ELSE 'SHORT' END AS tag, w AS surface, s::INT AS \"start\", (s + length(w) - 1)::INT AS \"end\" FROM p WHERE regexp_matches(w, '^[A-Z][a-z]+$')")
 def spans_as_json_lines(spark, sf):
     """Spans of capitalised words as {tag: {surface: [[start, end]]}}, written and read back."""
-    words = F.split("text", " ")
-    ends = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w) + 1)))
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text"), F.explode(F.arrays_zip(words.alias("w"), F.slice(ends, 1, F.size(words)).alias("s"))).alias("x"))
-    d = d.where(F.col("x.w").rlike("^[A-Z][a-z]+$"))
-    tag = F.when(F.length("x.w") > 6, "LONG").otherwise("SHORT")
-    by = d.groupBy("doc_id", tag.alias("tag"), F.col("x.w").alias("surface")).agg(F.collect_list(F.array(F.col("x.s"), F.col("x.s") + F.length("x.w") - 1)).alias("at"))
-    by = by.groupBy("doc_id", "tag").agg(F.map_from_entries(F.collect_list(F.struct("surface", "at"))).alias("m")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "m"))).alias("label"))
+    d = table(spark, sf, "documents").where("text is not null")
+    by = S.pattern_spans(d, "doc_id", F.col("text"), r"(?<![^ ])[A-Z][a-z]+(?![^ ])", lambda w: "LONG" if len(w) > 6 else "SHORT")
     path = S.scratch(spark)
     S.write_json_lines(by, path)
     back = S.read_json_lines(spark, path, f"doc_id long, label {S.SPANS}").where("bad is null")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from sparkloom.operators.pieces import short_batches
 from sparkloom.operators.ranking import numbered
 
 SPANS = "map<string,map<string,array<array<int>>>>"
@@ -170,3 +175,26 @@ def surfaces(text: Column, spans: Column) -> Column:
         return F.map_from_entries(F.transform(F.array_distinct(F.transform(own, word)), lambda w: F.struct(w, places(w))))
 
     return F.map_from_entries(F.transform(tags, lambda t: F.struct(t, words(t))))
+
+
+def pattern_spans(df: DataFrame, key: str, text: Column, pattern: str, tag: Callable[[str], str]) -> DataFrame:
+    """key and label, {tag: {surface: [[start, end]]}} of the places of a pattern (of Python's re) in a text; tag names a surface's.
+    A text is read once, in its row, without a shuffle. Texts without places are left out."""
+    source = short_batches(df.select(F.col(key), text.alias("_text")))
+    typed = source.select(key, F.create_map().cast(SPANS).alias("label")).schema
+    kind = to_arrow_type(typed[1].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).finditer
+        for batch in batches:
+            rows, labels = [], []
+            for i, value in enumerate(batch.column(1)):
+                places: dict[str, dict[str, list[list[int]]]] = {}
+                for m in find(value.as_py() or ""):
+                    places.setdefault(tag(m[0]), {}).setdefault(m[0], []).append([m.start(), m.end() - 1])
+                if places:
+                    rows.append(i)
+                    labels.append([(t, list(words.items())) for t, words in places.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(labels, kind)], names=[key, "label"])
+
+    return source.mapInArrow(run, typed)

@@ -124,7 +124,7 @@ def _words():
 def _text_explained(spark, sf, rounds):
     d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", "left")
     model = W.fit(d, "doc_id", _words(), "y", rounds=rounds, tolerance=0.0, out=scratch(spark))
-    return W.explain(d, "doc_id", _words(), model)
+    return W.explain(table(spark, sf, "documents"), "doc_id", _words(), model)
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t, quality AS y FROM documents LEFT JOIN labels USING (doc_id)),

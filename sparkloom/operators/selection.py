@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def top_of_row(parts: Column, k: int, strategy: str = "max", score: Column | Non
         by = lambda x: F.when(score >= threshold, order["max"](x)).otherwise(order["min"](x))
     else:
         by = order[strategy]
-    keyed = F.array_sort(F.transform(parts, lambda x: F.struct(by(x).alias("k"), x["feature"].alias("f"), x.alias("x"))))
+    keyed = F.sort_array(F.transform(parts, lambda x: F.struct(by(x).alias("k"), x["feature"].alias("f"), x.alias("x"))))
     return F.transform(F.slice(keyed, 1, k), lambda e: e["x"])
 
 
@@ -96,6 +98,11 @@ def _named(groups: dict[str, list[str]]) -> dict[str, str]:
     return dict(named)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), which is made once: in place, it would be made anew wherever it stands."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def groups_of_row(parts: Column, groups: dict[str, list[str]], features: list[str]) -> Column:
     """The groups of a row's array of structs with feature and phi: structs of group, group_phi and its parts, by highest sum, then
     name; parts by highest contribution, then name. features are all that there are; one in no group is a group of its own.
@@ -104,25 +111,29 @@ def groups_of_row(parts: Column, groups: dict[str, list[str]], features: list[st
     names = list(dict.fromkeys([*groups, *(f for f in features if f not in of)]))
     inside = {g: [f for f in features if of.get(f, f) == g] for g in names}
 
-    def one(g: str) -> Column:
-        own = F.filter(parts, lambda x: x["feature"].isin(inside[g]))
-        ordered = F.transform(F.array_sort(F.transform(own, lambda x: F.struct((-x["phi"]).alias("k"), x["feature"].alias("f"), x.alias("x")))), lambda e: e["x"])
+    def one(g: str, own: Column) -> Column:
+        if len(inside[g]) > 1:
+            ordered = F.transform(F.sort_array(F.transform(own, lambda x: F.struct((-x["phi"]).alias("k"), x["feature"].alias("f"), x.alias("x")))), lambda e: e["x"])
+        else:
+            ordered = own
         total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["phi"])
-        return F.struct((-total).alias("k"), F.lit(g).alias("group"), total.alias("group_phi"), ordered.alias("parts"))
+        return _bound(total, lambda t: F.struct((-t).alias("k"), F.lit(g).alias("group"), t.alias("group_phi"), ordered.alias("parts")))
+
+    def of(x: Column) -> Column:
+        each = [_bound(F.filter(x, lambda e: e["feature"].isin(inside[g])), lambda own: one(g, own)) for g in names if inside[g]]  # noqa: B023
+        return F.filter(F.array(*each), lambda e: F.size(e["parts"]) > 0)
 
-    there = F.filter(F.array(*[one(g) for g in names if inside[g]]), lambda e: F.size(e["parts"]) > 0)
-    return F.transform(F.array_sort(there), lambda e: F.struct(e["group"].alias("group"), e["group_phi"].alias("group_phi"), e["parts"].alias("parts")))
+    return F.transform(F.sort_array(_bound(parts, of)), lambda e: F.struct(e["group"].alias("group"), e["group_phi"].alias("group_phi"), e["parts"].alias("parts")))
 
 
 def quota_of_row(sorted_groups: Column, k: int) -> Column:
     """As top_by_group, of what groups_of_row gives: structs of group, rank of the group and part."""
-    n = F.size(sorted_groups)
 
-    def took(e: Column, i: Column) -> Column:
+    def took(n: Column, e: Column, i: Column) -> Column:
         share = F.when(n >= k, F.when(i < k, 1).otherwise(0)).otherwise(F.floor(F.lit(k) / n) + F.when(i < F.lit(k) % n, 1).otherwise(0)).cast("int")
         return F.transform(F.slice(e["parts"], 1, share), lambda x: F.struct(e["group"].alias("group"), (i + 1).alias("rank"), x.alias("part")))
 
-    return F.flatten(F.transform(sorted_groups, took))
+    return F.flatten(_bound(sorted_groups, lambda groups: F.transform(groups, lambda e, i: took(F.size(groups), e, i))))
 
 
 def grouped(phi: DataFrame, row: str, groups: dict[str, list[str]]) -> DataFrame:
@@ -151,4 +162,4 @@ def top_by_group(phi: DataFrame, row: str, k: int, groups: dict[str, list[str]])
 def reason(top: DataFrame, row: str, value: str) -> DataFrame:
     """One phrase for each row: `feature value is v`, in the order of rank."""
     phrase = F.concat(F.col("feature"), F.lit(" value is "), F.col(value).cast("string"))
-    return top.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("rank", phrase.alias("p")))).alias("x")).select(row, F.array_join(F.transform("x", lambda e: e["p"]), ",").alias("reason"))
+    return top.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("rank", phrase.alias("p")))).alias("x")).select(row, F.array_join(F.transform("x", lambda e: e["p"]), ",").alias("reason"))

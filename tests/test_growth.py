@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators import selection, sparse_text
 from sparkloom.plans import registry
+from sparkloom.sources import readers
 
 
 def _documents(spark, folder, rows):
@@ -18,3 +20,36 @@ def test_spans_of_a_long_text_and_at_line_ends(spark, tmp_path):
     assert sorted(map(tuple, got.where("doc_id > 1").collect())) == [(2, "SHORT", "Rome", 0, 3), (3, "LONG", "Alpinist", 3, 10)]
     bobs = got.where("doc_id = 1").agg(F.count("*"), F.min("start"), F.max("end"), F.sum(F.col("end") - F.col("start")), F.sum(F.col("start") % 6)).first()
     assert tuple(bobs) == (n // 2, 2, 3 * n - 2, n, n)
+
+
+def test_words_are_explained_without_a_shuffle(spark, tmp_path):
+    """Of texts whose tokens are all hot; before, each token of a text was a row that was shuffled twice. Nulls are no tokens."""
+    df = spark.createDataFrame([(1, ["a", "b", None], 1.0), (2, ["a"], 0.0), (3, None, None)], "k long, t array<string>, y double")
+    model = sparse_text.fit(df, "k", F.col("t"), "y", rounds=2, tolerance=0.0, out=f"file://{tmp_path}/w")
+    out = sparse_text.explain(df, "k", F.col("t"), model)
+    assert set(model.hot) == {"a", "b"} and not model.rare
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: [p.feature for p in r.parts] for r in out.collect()} == {1: ["a", "b"], 2: ["a"], 3: []}
+
+
+def test_groups_of_a_row_are_made_once(spark):
+    """A plan that sorted a row's parts anew for each group's rank was cubic in what it sorts."""
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("id") * w).cast("double").alias("phi")) for f, w in (("a", 3), ("b", -2), ("c", 1))])
+    df = spark.range(3).select("id", parts.alias("parts"))
+    made = selection.quota_of_row(selection.groups_of_row(F.col("parts"), {"x": ["a"], "y": ["b", "c"]}, ["a", "b", "c"]), 3)
+    plan = df.select("id", made.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sort_array(") + plan.count("array_sort(") == 2
+    assert [[p.part.feature for p in r.x] for r in df.select(made.alias("x")).collect()] == [["a", "b"], ["a", "c"], ["a", "c"]]  # of equal ones the first by name
+
+
+def test_a_part_of_a_pass_is_bounded(spark, monkeypatch, tmp_path):
+    """Before, a part held sixteen batches however large, and one task wrote it."""
+    monkeypatch.setattr(readers, "PART_ROWS", 10)
+    reader, seen = readers.Reader(spark.range(100), "id", 40, f"file://{tmp_path}/r", last="carry"), []
+    for _ in range(3):
+        batch, after = reader.take()
+        seen.append([r.id for r in batch.orderBy("batch_place").collect()])
+        reader.commit(after)
+    assert [len(b) for b in seen] == [40, 40, 40] and sorted(sum(seen, [])[:100]) == list(range(100))
+    sizes = [r["count"] for r in spark.read.parquet(f"file://{tmp_path}/r/pass-0-10").groupBy("part").count().collect()]
+    assert sizes == [10] * 10

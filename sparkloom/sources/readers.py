@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.ranking import hash_rank, numbered
 
-#: Batches of a part.
-PART = 16
+#: Batches of a part, and rows of one at most: a task writes a part whole.
+PART, PART_ROWS = 16, 1_000_000
 LAST = ("keep", "drop", "carry")
 
 
@@ -42,25 +42,27 @@ class Reader:
         if not self.rows or last == "drop" and self.rows < size:
             raise ValueError("the table has no batch")
         self._columns = df.columns
+        self._wide = min(size * PART, PART_ROWS)
 
     def _there(self, path: str) -> bool:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
 
     def _laid_out(self, turn: int) -> DataFrame:
-        path = f"{self.folder}/pass-{turn}"
+        path = f"{self.folder}/pass-{turn}-{self._wide}"
         if not self._there(f"{path}/_SUCCESS"):
             order = F.col(self.key)
             if self.shuffle:
                 ranked = hash_rank(self.df, order, self.seed + turn, name="_place")
             else:
                 ranked = numbered(self.df, [order], "_place")
-            part = F.floor(F.col("_place") / (self.size * PART)).alias("part")
-            ranked.select("*", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+            part = F.floor(F.col("_place") / self._wide).alias("part")
+            parts = -(-self.rows // self._wide)
+            ranked.select("*", part).repartitionByRange(parts, "part").write.mode("overwrite").partitionBy("part").parquet(path)
         return self.spark.read.parquet(path)
 
     def _slice(self, turn: int, low: int, high: int) -> DataFrame:
-        rows, wide = self._laid_out(turn), self.size * PART
+        rows, wide = self._laid_out(turn), self._wide
         return rows.where(F.col("part").between(low // wide, (high - 1) // wide) & (F.col("_place") >= low) & (F.col("_place") < high))
 
     def cursor(self) -> Cursor:

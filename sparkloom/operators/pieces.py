@@ -134,20 +134,21 @@ def in_rows(df: DataFrame, key: str, items: Column, name: str, kind: str, made:
     return source.mapInArrow(run, typed)
 
 
-def by_word(df: DataFrame, key: str, words: Column, made: Callable[[], Callable[[str], list]], kind: str) -> DataFrame:
-    """key and pieces, the results of all words of a row, in order; made() gives, in a task, what makes a word's."""
+def by_word(df: DataFrame, key: str, words: Column, made: Callable[[], Callable[[str], list]], kind: str, name: str = "pieces") -> DataFrame:
+    """key and, as `name`, the results of all words of a row, in order; made() gives, in a task, what makes a word's."""
+    results = pa.list_(pa.int32() if kind == "int" else pa.string())
 
     def each():
         of = _Kept(made())
 
         def lists(flat: pa.Array) -> pa.Array:
             coded = flat.dictionary_encode()
-            cuts = pa.array([of(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.string()))
+            cuts = pa.array([of(w) for w in coded.dictionary.to_pylist()], results)
             return cuts.take(coded.indices)
 
         return lists
 
-    return in_rows(df, key, words, "pieces", kind, each)
+    return in_rows(df, key, words, name, kind, each)
 
 
 def _sent(df: DataFrame, known):
@@ -165,6 +166,11 @@ def word_pieces(df: DataFrame, key: str, tokens: Column, vocab) -> DataFrame:
 def merged_pieces(df: DataFrame, key: str, words: Column, merges: list[tuple[str, str]], *, end: str | None = None, in_bytes: bool | None = None, specials: Iterable[str] = ()) -> DataFrame:
     """key and pieces of each row's words by merges in the order of their ranks: of the letters of a word's bytes, or of its
     characters (by default where there is an end mark, which the last one carries). Specials are pieces as they stand."""
+    return by_word(df, key, words, _merging(df, merges, end, in_bytes, specials), "string")
+
+
+def _merging(df: DataFrame, merges: list[tuple[str, str]], end: str | None, in_bytes: bool | None, specials: Iterable[str]) -> Callable[[], Callable[[str], list[str]]]:
+    """What gives, in a task, what cuts a word."""
     ranks, whole = _sent(df, {p: i for i, p in enumerate(merges)}), frozenset(specials)
     of_bytes = end is None if in_bytes is None else in_bytes
 
@@ -179,7 +185,27 @@ def merged_pieces(df: DataFrame, key: str, words: Column, merges: list[tuple[str
 
         return of
 
-    return by_word(df, key, words, made, "string")
+    return made
+
+
+def merged_ids(
+    df: DataFrame, key: str, words: Column, merges: list[tuple[str, str]], vocab: dict[str, int], unknown: int | None = 0, *, end: str | None = None, in_bytes: bool | None = None, specials: Iterable[str] = ()
+) -> DataFrame:
+    """As ids_of of merged_pieces, in one pass: a word's ids are kept as its pieces would be, and pieces never leave a task."""
+    cutting, known = _merging(df, merges, end, in_bytes, specials), _sent(df, vocab)
+
+    def made():
+        cut_up, ids = cutting(), known.value
+
+        def of(word: str) -> list[int]:
+            out = [ids.get(p, unknown) for p in cut_up(word)]
+            if None in out:
+                raise ValueError(f"not in the vocabulary: a piece of {word}")
+            return out
+
+        return of
+
+    return by_word(df, key, words, made, "int", "ids")
 
 
 def around_specials(text: Column, specials: Iterable[str], words: Callable[[Column], Column]) -> Column:

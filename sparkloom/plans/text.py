@@ -167,24 +167,22 @@ def _merges(name: str):
     return P.read_merges(public_tokenizers.path(name))
 
 
-def _byte_pieces(spark, sf):
-    _, merges = _merges("byte_bpe_50k.json")
-    return P.merged_pieces(_docs(spark, sf), "doc_id", T.pre_tokens(F.col("text")), merges)
+def _byte_ids(spark, sf):
+    vocab, merges = _merges("byte_bpe_50k.json")
+    return P.merged_ids(_docs(spark, sf), "doc_id", T.pre_tokens(F.col("text")), merges, vocab), vocab
 
 
 @query()
 def gpt2_ids(spark, sf):
     """Byte-level pieces of pre-tokens by merges, and their ids."""
-    vocab, _ = _merges("byte_bpe_50k.json")
-    ids = P.ids_of(_byte_pieces(spark, sf), "doc_id", "pieces", vocab)
+    ids, _ = _byte_ids(spark, sf)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
 def gpt2_round_trip(spark, sf):
     """Texts to ids and back."""
-    vocab, _ = _merges("byte_bpe_50k.json")
-    ids = P.ids_of(_byte_pieces(spark, sf), "doc_id", "pieces", vocab)
+    ids, vocab = _byte_ids(spark, sf)
     return P.tokens_of(ids, "doc_id", "ids", vocab).select("doc_id", F.md5(P.decode_bytes(F.col("tokens"))).alias("text"))
 
 
@@ -207,8 +205,7 @@ def _special_ids(spark, sf):
     specials = ["<|endoftext|>", "<|en|>", "<|de|>"]
     whole = P.with_specials(vocab, specials)
     words = P.around_specials(_special_text(), specials, T.pre_tokens)
-    pieces = P.merged_pieces(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", words, merges, specials=specials)
-    return P.ids_of(pieces, "doc_id", "pieces", whole), whole
+    return P.merged_ids(_docs(spark, sf).select("doc_id", "text", "lang"), "doc_id", words, merges, whole, specials=specials), whole
 
 
 @query()
@@ -231,7 +228,7 @@ def gpt_word_ids(spark, sf):
     """Ids of lower-cased words by merges of their bytes, the last of which carries an end mark."""
     vocab, merges = _merges("word_bpe_49k.json")
     words = T.cased_words(F.col("text"))
-    ids = P.ids_of(P.merged_pieces(_docs(spark, sf), "doc_id", words, merges, end="</w>", in_bytes=True), "doc_id", "pieces", vocab, None)
+    ids = P.merged_ids(_docs(spark, sf), "doc_id", words, merges, vocab, None, end="</w>", in_bytes=True)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
 
 

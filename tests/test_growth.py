@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators import pieces as P
 from sparkloom.operators import selection, sparse_text
 from sparkloom.plans import registry
 from sparkloom.sources import readers
@@ -53,3 +54,15 @@ def test_a_part_of_a_pass_is_bounded(spark, monkeypatch, tmp_path):
     assert [len(b) for b in seen] == [40, 40, 40] and sorted(sum(seen, [])[:100]) == list(range(100))
     sizes = [r["count"] for r in spark.read.parquet(f"file://{tmp_path}/r/pass-0-10").groupBy("part").count().collect()]
     assert sizes == [10] * 10
+
+
+def test_ids_are_made_in_one_pass(spark, tmp_path):
+    """Before, pieces went out of Python as strings and back again for their ids."""
+    sf = _documents(spark, tmp_path, [(1, "hello  wörld 12", "en"), (2, None, "de")])
+    for name in ("gpt2_ids", "gpt2_special_ids", "gpt_word_ids"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    words, merges, vocab = F.split("text", " "), [("h", "e"), ("he", "l")], {"hel": 5, "l": 6, "o": 7}
+    df = spark.createDataFrame([(1, "hello xo"), (2, None)], "k long, text string")
+    want = {r.k: r.ids for r in P.ids_of(P.merged_pieces(df, "k", words, merges), "k", "pieces", vocab, 9).collect()}
+    assert {r.k: r.ids for r in P.merged_ids(df, "k", words, merges, vocab, 9).collect()} == want == {1: [5, 6, 7, 9, 7], 2: []}

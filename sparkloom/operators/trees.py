@@ -34,6 +34,8 @@ from sparkloom.operators.tables import staged
 QUANTILE_ERROR = 0.05
 #: Of splits whose gains are this close, in parts of the best, the first feature's first bin is taken.
 TIE = 1e-9
+#: Cells of bins up to which rows are counted by cell before trees are boosted: what passes read is no more than these.
+CELLS = 1 << 22
 
 
 @dataclass
@@ -125,6 +127,19 @@ class Model:
     def _inputs(self) -> Column:
         return F.struct(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(self.features)])
 
+    def shares(self) -> Column:
+        """A struct of raw and phi0, phi1, ... of the features, as plain numbers: one pass for both."""
+        names = [f"phi{i}" for i in range(len(self.features))]
+
+        @F.pandas_udf(", ".join(f"{n} double" for n in ("raw", *names)))
+        def made(x: pd.DataFrame) -> pd.DataFrame:
+            values = x.to_numpy(float)
+            out = pd.DataFrame(self.contributions(values), columns=names)
+            out.insert(0, "raw", self.margin(values))
+            return out
+
+        return made(self._inputs())
+
     def raw(self) -> Column:
         """The sum of the trees for a row."""
 
@@ -134,20 +149,15 @@ class Model:
 
         return predicted(self._inputs())
 
-    def predict(self) -> Column:
-        """The mean for a regression, a probability for a classification."""
-        return 1 / (1 + F.exp(-self.raw())) if self.odds else self.raw()
+    def predict(self, shares: Column | None = None) -> Column:
+        """The mean for a regression, a probability for a classification; of a row's shares, where they have been made."""
+        raw = self.raw() if shares is None else shares["raw"]
+        return 1 / (1 + F.exp(-raw)) if self.odds else raw
 
-    def parts(self) -> Column:
+    def parts(self, shares: Column | None = None) -> Column:
         """(feature, phi, value) of each feature, for selection.top_of_row; phi adds up to raw() less expected()."""
-
-        @F.pandas_udf("array<double>")
-        def phi(x: pd.DataFrame) -> pd.Series:
-            return pd.Series(list(self.contributions(x.to_numpy(float))))
-
-        value = lambda i: F.get(F.array(*[F.col(f"`{c}`").cast("double") for c in self.features]), i)
-        name = lambda i: F.get(F.array(*map(F.lit, self.features)), i)
-        return F.transform(phi(self._inputs()), lambda p, i: F.struct(name(i).alias("feature"), p.alias("phi"), value(i).alias("value")))
+        of = self.shares() if shares is None else shares
+        return F.array(*[F.struct(F.lit(c).alias("feature"), of[f"phi{i}"].alias("phi"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(self.features)])
 
 
 @dataclass
@@ -191,7 +201,7 @@ def _histograms(rows: DataFrame, model: Model, growing: list[_Growing], cuts: li
                 slot = np.full(len(g.tree.feature), -1)
                 slot[list(place)] = list(place.values())
                 at = slot[node]
-                w = counts(key, g.number, seed, share) if drawn else np.ones(len(y))
+                w = counts(key, g.number, seed, share) if drawn else key
                 took = np.flatnonzero((at >= 0) & (w > 0))
                 for j in range(d):
                     cell = at[took] * width + binned[j][took]
@@ -266,7 +276,27 @@ def _grow(rows: DataFrame, model: Model, growing: list[_Growing], cuts, *, depth
 def _rows(df: DataFrame, features: list[str], target: str, key: Column | None) -> DataFrame:
     number = [F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
     rows = df.where(F.col(target).isNotNull())
-    return rows.select((F.lit(0) if key is None else key).cast("long").alias("_key"), F.col(target).cast("double").alias("_y"), F.lit(0.0).alias("_margin"), *number)
+    return rows.select((F.lit(1) if key is None else key).cast("long").alias("_key"), F.col(target).cast("double").alias("_y"), F.lit(0.0).alias("_margin"), *number)
+
+
+def _cells(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """rows with bins for values, and one row, which counts as many as `_key`, for all that are in the same bins: a tree tells
+    them apart no more, and their targets count by their mean."""
+    widths = [len(c) + 1 for c in cuts]
+
+    def run(batches):
+        for batch in batches:
+            y, *columns = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+            cell = np.zeros(len(y), np.int64)
+            for x, c, width in zip(columns, cuts, widths, strict=True):
+                cell = cell * width + np.where(np.isnan(x), 0, np.searchsorted(c, x))
+            found, at = np.unique(cell, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at)), pa.array(np.bincount(at, y))], names=["cell", "n", "y"])
+
+    names = [f"_x{i}" for i in range(len(cuts))]
+    sums = rows.select("_y", *names).mapInArrow(run, "cell long, n long, y double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    bins = [F.floor(F.col("cell") / math.prod(widths[i + 1 :])) % w for i, w in enumerate(widths)]
+    return sums.select(F.col("n").alias("_key"), (F.col("y") / F.col("n")).alias("_y"), F.lit(0.0).alias("_margin"), *[b.cast("double").alias(n) for b, n in zip(bins, names, strict=True)])
 
 
 def _usable(cuts: list[np.ndarray]) -> None:
@@ -292,6 +322,9 @@ def boost(
             raise ValueError("a classification needs both classes")
         cuts = _cuts(rows, len(features), bins)
         _usable(cuts)
+        own = cuts
+        if math.prod(len(c) + 1 for c in cuts) <= CELLS:
+            rows, cuts = stack.enter_context(staged(_cells(rows, cuts))), [np.arange(len(c), dtype=float) for c in cuts]
         model, since = Model(features, math.log(mean / (1 - mean)) if classify else float(mean), odds=classify), 0
         rows = rows.withColumn("_margin", F.lit(model.base))
         for t in range(trees):
@@ -302,6 +335,10 @@ def boost(
             g = _Growing(Tree.empty(depth), t, {})
             _grow(rows, model, [g], cuts, depth=depth, l2=l2, rate=rate, least=least, columns=1.0, share=None, seed=0, drawn=False, since=since)
             model.trees.append(g.tree)
+    if cuts is not own:
+        for tree in model.trees:
+            for i in np.flatnonzero(tree.feature >= 0):
+                tree.threshold[i] = own[tree.feature[i]][int(tree.threshold[i])]
     return model
 
 

@@ -81,9 +81,9 @@ def tree_stump_phi(spark, sf):
 
 def _explained(d, model):
     """Prediction, expectation and the contribution of each feature, by row."""
-    phi = F.transform("parts", lambda p: F.round(p["phi"], 6))
-    rows = d.select(*KEYS, F.round(model.raw(), 6).alias("raw"), model.parts().alias("parts"))
-    return rows.select(*KEYS, "raw", F.lit(round(model.expected(), 6)).alias("expected"), *[F.get(phi, F.lit(i)).alias(f"phi_{c}") for i, c in enumerate(model.features)])
+    rows = d.select(*KEYS, model.shares().alias("s"))
+    phi = [F.round(f"s.phi{i}", 6).alias(f"phi_{c}") for i, c in enumerate(model.features)]
+    return rows.select(*KEYS, F.round("s.raw", 6).alias("raw"), F.lit(round(model.expected(), 6)).alias("expected"), *phi)
 
 
 def _boosted(spark, sf):
@@ -110,7 +110,7 @@ def tree_reasons(spark, sf):
     d, model = _boosted(spark, sf)
     phrase = lambda x: F.concat(x["feature"], F.lit(" value is "), x["value"].cast("string"))
     top = C.top_of_row(F.col("parts"), 2, "threshold", F.col("p"), 0.5)
-    rows = d.select(*KEYS, model.predict().alias("p"), model.parts().alias("parts"))
+    rows = d.select("*", model.shares().alias("s")).select(*KEYS, model.predict(F.col("s")).alias("p"), model.parts(F.col("s")).alias("parts"))
     return rows.select(*KEYS, F.round("p", 6).alias("p"), F.array_join(F.transform(top, phrase), ",").alias("reason"))
 
 

@@ -1,9 +1,12 @@
 """Steps whose work must grow no faster than their input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import decoding as D
 from sparkloom.operators import pieces as P
-from sparkloom.operators import selection, sparse_text
+from sparkloom.operators import selection, sparse_text, trees
 from sparkloom.plans import registry
 from sparkloom.sources import readers
 
@@ -66,3 +69,26 @@ def test_ids_are_made_in_one_pass(spark, tmp_path):
     df = spark.createDataFrame([(1, "hello xo"), (2, None)], "k long, text string")
     want = {r.k: r.ids for r in P.ids_of(P.merged_pieces(df, "k", words, merges), "k", "pieces", vocab, 9).collect()}
     assert {r.k: r.ids for r in P.merged_ids(df, "k", words, merges, vocab, 9).collect()} == want == {1: [5, 6, 7, 9, 7], 2: []}
+
+
+def test_trees_are_boosted_on_cells_of_bins(spark, monkeypatch):
+    """Passes read a row for each cell, not each row; trees are those of the rows. Nulls are in the lowest bin."""
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("b"), ((F.col("id") * 37) % 10 < F.col("id") % 7).cast("int").alias("y"))
+    rows = trees._rows(df, ["a", "b"], "y", None)
+    cuts = [np.arange(7.0), np.arange(11.0)]
+    cells = trees._cells(rows, cuts).toPandas()
+    assert len(cells) <= 77 and cells["_key"].sum() == 3000 and (cells["_key"] * cells["_y"]).sum() == df.agg(F.sum("y")).first()[0]
+    by_cell = trees.boost(df, ["a", "b"], "y", classify=True, trees=2, depth=2)
+    monkeypatch.setattr(trees, "CELLS", 0)
+    by_row = trees.boost(df, ["a", "b"], "y", classify=True, trees=2, depth=2)
+    for s, t in zip(by_cell.trees, by_row.trees, strict=True):
+        assert s.feature.tolist() == t.feature.tolist() and s.threshold.tolist() == t.threshold.tolist() and s.value == pytest.approx(t.value)
+
+
+def test_partitions_of_all_rows_at_once(monkeypatch):
+    rng, moves = np.random.default_rng(4), np.array([[0.5, -0.2, -np.inf], [-0.4, 0.6, 0.0], [0.2, 0.1, 0.3]])
+    rows = [rng.normal(size=(n, 3)) * s for n, s in ((0, 1), (1, 1), (2, 900), (7, 1), (64, 5), (301, 900), (0, 1), (5, 1))]
+    for positions in (100_000, 8):
+        monkeypatch.setattr(D, "POSITIONS", positions)
+        assert D.log_partitions(rows, moves) == pytest.approx(np.array([D.log_partition(s, moves) for s in rows]))
+    assert len(D.log_partitions([], moves)) == 0

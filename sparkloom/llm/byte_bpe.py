@@ -5,8 +5,8 @@ one for each bucket of lengths. In each round every row merges its leftmost pair
 an open-addressing hash table, and rows without a pair left are taken out. A piece of over LONG bytes, for which a matrix
 would need as many rounds and columns as the piece has bytes, takes the same merges in the same order from a heap.
 
-Results of pieces are kept in each task, in a table of bounded size. Null texts count as empty and have no ids. A
-document column with the name of a result column is replaced.
+Ids of pieces are kept in each task, packed and up to a bound in bytes; those met of late outlive the others. Null
+texts count as empty and have no ids. A document column with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
@@ -23,9 +25,11 @@ from pyspark.sql import types as T
 from sparkloom.llm.common import map_texts
 
 LONG = 256
-CELLS = 1 << 19
-#: Pieces whose results a task keeps at most.
-KEPT_PIECES = 200_000
+CELLS = 1 << 17
+#: Bytes that each of a task's two tables of ids may take, and bytes of text whose pieces are held at once.
+KEPT_BYTES, CUT_BYTES = 12 << 20, 1 << 20
+#: About what a table takes for a piece beside its key and its ids.
+ENTRY_BYTES = 100
 NONE = np.int64(1 << 40)
 
 
@@ -173,6 +177,48 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Kept:
+    """Ids of pieces, as little-endian int32. There are two tables: if the new one is full it becomes the old one, whose
+    pieces come back when they are met again. So memory is bounded by KEPT_BYTES, not by how many different pieces a task
+    meets or how long they are; beside that only the pieces of one call are held."""
+
+    def __init__(self, bpe: ByteBPE):
+        self.bpe, self.size = bpe, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _put(self, piece: str, ids: bytes) -> None:
+        self.new[piece] = ids
+        self.size += sys.getsizeof(piece) + sys.getsizeof(ids) + ENTRY_BYTES
+
+    def of(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """A table that has all of these."""
+        if self.size > KEPT_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
+        unmet = []
+        for piece in {p for p in pieces if p not in self.new}:
+            if (ids := self.old.pop(piece, None)) is not None:
+                self._put(piece, ids)
+            else:
+                unmet.append(piece)
+        for piece, ids in zip(unmet, self.bpe.encode_pieces([p.encode() for p in unmet]), strict=True):
+            self._put(piece, np.array(ids, "<i4").tobytes())
+        return self.new
+
+
+def _runs(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Texts in order, in runs of about CUT_BYTES."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text or b"")
+        if size >= CUT_BYTES:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", with_ids: bool = True, keep: list[str] | None = None
 ) -> DataFrame:
@@ -186,24 +232,22 @@ def encode(
 
     def make():
         bpe = ByteBPE(shared.value, pattern)
-        find = bpe.pattern.findall
-        known: dict[str, tuple[list[int], str, bytes]] = {}
+        find, kept = bpe.pattern.findall, Kept(bpe)
+        decimal = {i: str(i) for i in bpe.bytes_of}.__getitem__
 
         def work(texts):
             out = {f.name: [] for f in fields}
-            cut = [find(x.decode()) if x else [] for x in texts]
-            if len(known) > KEPT_PIECES:
-                known.clear()
-            new = list({p for pieces in cut for p in pieces if p not in known})
-            for piece, ids in zip(new, bpe.encode_pieces([p.encode() for p in new]), strict=True):
-                known[piece] = ids, ",".join(map(str, ids)), bpe.decode(ids)
-            for pieces in cut:
-                got = [known[p] for p in pieces]
-                out["n_tokens"].append(sum(len(g[0]) for g in got))
-                out["ids_sha256"].append(hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())
-                if with_ids:
-                    out["ids"].append([i for g in got for i in g[0]])
+            for run in _runs(texts):
+                cut = [find(x.decode()) if x else [] for x in run]
+                known = kept.of(p for pieces in cut for p in pieces)
+                for pieces in cut:
+                    ids = np.frombuffer(b"".join([known[p] for p in pieces]), "<i4")
+                    listed = ids.tolist()
+                    out["n_tokens"].append(len(listed))
+                    out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal, listed)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(listed)).hexdigest())
+                    if with_ids:
+                        out["ids"].append(ids)
             return out
 
         return work
